@@ -72,7 +72,7 @@ def test_sharding_law_and_places(spark, rows):
     assert sharding.shard_documents(table(spark, [])).count() == 0
 
 
-def test_sharding_is_even_and_map_edits_move_slots_only_as_needed():
+def test_sharding_is_even_and_map_edits_move_little():
     rng = np.random.default_rng(1)
     size = rng.lognormal(8, 1.5, sharding.SLOTS).astype(int).tolist()
     first = sharding.first_map(size, 16)
@@ -82,7 +82,7 @@ def test_sharding_is_even_and_map_edits_move_slots_only_as_needed():
     new = np.bincount(grown, weights=size, minlength=17)
     assert new.max() - new.min() < 0.05 * new.mean()
     moved = [v for v in range(len(size)) if first[v] != grown[v]]
-    assert all(grown[v] == 16 for v in moved) and len(moved) < len(size) / 8
+    assert sum(size[v] for v in moved) < 1.5 * new.mean()  # little more than what the new shard has to get
 
 
 def test_slot_map_versions(spark):
