@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds a Python worker's memory.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 #: Row id given to rows whose id is null: they count as the last ones.
 NULL_ID = (1 << 63) - 1
