@@ -95,13 +95,18 @@ def word_hashes(texts: pa.Array, sep: np.ndarray, lower: bool) -> tuple[np.ndarr
     """A 64-bit hash of each word of all texts, and for each text the number of its first word (one more entry at the end)."""
     raw, at = buffers(pc.utf8_lower(texts.fill_null("")) if lower else texts)
     starts, stops, first = word_spans(raw, at, sep)
+    return span_hashes(raw, starts, stops), first
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
     if not len(starts):
-        return np.zeros(0, np.uint64), first
+        return np.zeros(0, np.uint64)
     size = stops - starts
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     place = np.arange(size.sum()) - np.repeat(begin, size)
     value = _MIX[raw[np.repeat(starts, size) + place]] * powers(int(size.max()))[place]
-    return mixed(np.add.reduceat(value, begin) + size.astype(np.uint64)), first
+    return mixed(np.add.reduceat(value, begin) + size.astype(np.uint64))
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, NULL_ID, bloom, buffers, maybe_in, mixed, powers, slices, word_hashes, word_spans, written
+from .common import ALNUM_SEP, NULL_ID, bloom, buffers, maybe_in, mixed, powers, slices, span_hashes, word_hashes, word_spans, written
 
 #: Largest edit distance as a share of the item's length, tables and sampled places of each, and the window sizes in words.
-EDITS, TABLES, SAMPLES, SIZES = 0.2, 6, 4, (8, 16, 32)
+EDITS, TABLES, SAMPLES, SIZES = 0.2, 10, 6, (12, 24)
+#: Least share of a walk's places at which two windows must agree (one minus their Hamming distance) to be verified.
+AGREE = 0.55
 #: Document windows of these sizes begin at every fourth word: an item's windows begin at each of its words.
 STRIDE = 4
 #: Bytes of benchmark text that one scan takes; a larger benchmark is taken in several scans.
@@ -21,12 +23,13 @@ SCAN_BYTES = 8 << 20
 
 
 def size_for(n: int) -> int:
-    """The window size for an item of n words: the largest that leaves STRIDE windows; for short items the whole item."""
-    return max((c for c in SIZES if c + STRIDE - 1 <= n), default=min(n, SIZES[0]))
+    """The window size for an item of n words: the largest of which two at least begin where documents' windows do; items too short for that get a smaller window, looked for at every word."""
+    return max((c for c in SIZES if c + 2 * STRIDE - 1 <= n), default=min(n, SIZES[0] - 1))
 
 
 def walk(h: np.ndarray, starts: np.ndarray, steps: int):
-    """CGK's random walk over words from each start: yields each step's word hashes. Bit j of a word's hash decides whether step j moves on.
+    """CGK's random walk over words from each start: yields each step's word hashes. Two bits of a word's hash for
+    each step decide whether it moves on: at three steps of four, lest a frequent word hold many walks.
 
     An edit in a window disturbs a few steps until two walks are in step again,
     so the embeddings' Hamming distance follows the edit distance. A zero hash
@@ -36,14 +39,14 @@ def walk(h: np.ndarray, starts: np.ndarray, steps: int):
     for j in range(steps):
         now = h[at]
         yield now
-        at += ((now >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        at += (((now >> np.uint64(j % 64)) | (now >> np.uint64((j + 31) % 64))) & np.uint64(1)).astype(np.int64)
 
 
 def sampled(size: int, tables: int = TABLES, samples: int = SAMPLES) -> np.ndarray:
     """The embedding's places that each table samples, for windows of that many words."""
     rng = np.random.default_rng(size)
-    upto = max(1, size * 3 // 2)
-    return np.array([np.sort(rng.choice(upto, min(samples, upto), replace=False)) for _ in range(tables)])
+    tables = tables if size >= SIZES[0] else tables // 2  # small windows begin at every word
+    return np.array([np.sort(rng.choice(size, min(samples, size), replace=False)) for _ in range(tables)])
 
 
 def table_keys(h: np.ndarray, starts: np.ndarray, sizes: list[int]) -> dict[int, list[np.ndarray]]:
@@ -117,23 +120,30 @@ class Items:
         order = np.argsort(keys, kind="stable")
         self.keys, self.which = keys[order], which[order]
         self.owner, self.offset = np.array(owners, np.int64), np.array(offsets, np.int64)
+        self.h, self.starts, self.window = h, starts_, sizes_
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def candidates(self, h: np.ndarray, starts: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
-        """(index in starts, window) pairs whose keys are equal in some table."""
-        out: set[tuple[int, int]] = set()
-        fine = {c: np.arange(len(starts)) if c < SIZES[0] else np.flatnonzero(place % STRIDE == 0) for c in self.sizes}
+    def candidates(self, h: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices into starts and windows of the pairs whose keys are equal in some table and whose embeddings are near enough."""
+        pairs = [np.zeros(0, np.int64)]
         for sizes in ([c for c in self.sizes if c < SIZES[0]], [c for c in self.sizes if c >= SIZES[0]]):
             if not sizes:
                 continue
-            own = fine[sizes[0]]
+            own = np.arange(len(starts)) if sizes[0] < SIZES[0] else np.flatnonzero(place % STRIDE == 0)
             for keys in (k for same in table_keys(h, starts[own], sizes).values() for k in same):
                 hit = np.flatnonzero(self.gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 low, high = (np.searchsorted(self.keys, keys[hit], side=s) for s in ("left", "right"))
-                for k, a, b in zip(own[hit][high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                    out.update((k, w) for w in self.which[a:b].tolist())
-        return out
+                n = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                pairs.append(np.repeat(own[hit], n) * len(self.starts) + self.which[at])
+        found = np.unique(np.concatenate(pairs))
+        k, w = found // max(len(self.starts), 1), found % max(len(self.starts), 1)
+        same, steps = np.zeros(len(k), np.int64), self.window[w] if len(w) else w
+        for j, (a, b) in enumerate(zip(walk(h, starts[k], int(steps.max(initial=0))), walk(self.h, self.starts[w], int(steps.max(initial=0))), strict=True)):
+            same += (a == b) & (j < steps)
+        near = same >= AGREE * steps
+        return k[near], w[near]
 
 
 def _words(text: str) -> list[str]:
@@ -180,13 +190,14 @@ def _scan(rows: DataFrame, ids: list[int], texts: list[str], edits: float) -> Da
             lowered = pc.utf8_lower(s.column("text").fill_null(""))
             raw, at = buffers(lowered)
             begins, stops, first = word_spans(raw, at, ALNUM_SEP)
-            h, head = ended(*word_hashes(lowered, ALNUM_SEP, False))
+            h, head = ended(span_hashes(raw, begins, stops), first)
             size = np.diff(first)
             doc = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(begins)) - first[doc]
             if not len(place) or not items.sizes:
                 continue
-            asked = {(int(doc[k]), int(items.owner[w]), (int(place[k]) - int(items.offset[w])) // STRIDE) for k, w in items.candidates(h, head[doc] + place, place)}
+            k, w = items.candidates(h, head[doc] + place, place)
+            asked = set(zip(doc[k].tolist(), items.owner[w].tolist(), ((place[k] - items.offset[w]) // STRIDE).tolist(), strict=True))
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for d, k, about in sorted(asked):
                 words = items.words[k]
