@@ -20,7 +20,8 @@ NULL_ID = (1 << 63) - 1
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """The named table of a data folder."""
+    """The named table of a data folder. Arrow batches of the session get 2,000 rows at most, so that long texts do not fill Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -81,9 +81,30 @@ class Crf:
                 value += rate * step / np.sqrt(total + 1e-9)  # AdaGrad
             np.maximum(self.weights, 0.0, out=self.weights)
 
-    def emissions(self, word: str) -> np.ndarray:
-        z = self.weights @ self.signals(word) + self.bias
-        return np.exp(z - z.max()).astype(np.float32)
+    def emissions(self):
+        """A function words -> emissions (words x labels): each word's weighted features are looked up and summed for all words at once."""
+        number: list[dict[str, int]] = []
+        rows = [np.zeros((1, len(self.labels)))]
+        for table, weight in zip(self.tables, self.weights, strict=True):
+            at = sum(map(len, rows))
+            number.append({value: at + k for k, value in enumerate(table)})
+            if table:
+                rows.append(weight * np.array(list(table.values())))
+        value = np.concatenate(rows).astype(np.float32)
+        lexicon, prefix, suffix, ngram = (x.get for x in number)
+
+        def run(words: list[str]) -> np.ndarray:
+            single, grams, begin = [], [], []
+            for w in words:
+                single += (lexicon(w[:40], 0), prefix(w[:3], 0), suffix(w[-3:], 0))
+                begin.append(len(grams))
+                e = f"^{w[:30]}$"
+                grams += [ngram(e[k : k + 3], 0) for k in range(len(e) - 2)]
+            n = np.diff(np.append(begin, len(grams)))[:, None]
+            z = value[single].reshape(len(words), 3, -1).sum(1) + np.add.reduceat(value[grams], begin) / n + self.bias
+            return np.exp(z - z.max(1, keepdims=True)).astype(np.float32)
+
+        return run
 
 
 def posteriors(emit: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -194,25 +215,21 @@ def language(docs: DataFrame, key: str = "doc_id", model: Crf | None = None) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         move = np.exp(crf.moves) if crf else None
+        emit = crf.emissions() if crf else None
         number: dict[str, int] = {}
-        table = np.zeros((1024, len(crf.labels) if crf else 1), np.float32)
+        table = np.zeros((0, len(crf.labels) if crf else 1), np.float32)
         for s in slices(batches, most=2 << 20):
-            ids, first = [], [0]
+            found = [WORD.findall(t.lower()) if t and crf else [] for t in s.column("text").to_pylist()]
+            first = np.cumsum([0, *map(len, found)])
             if len(number) > REMEMBERED:
-                number = {}
-            for t in s.column("text").to_pylist():
-                if t and crf:
-                    for w in WORD.findall(t.lower()):
-                        k = number.get(w)
-                        if k is None:
-                            k = number[w] = len(number)
-                            if k >= len(table):
-                                table = np.concatenate((table, np.zeros_like(table)))
-                            table[k] = crf.emissions(w)
-                        ids.append(k)
-                first.append(len(ids))
+                number, table = {}, table[:0]
+            new = list(dict.fromkeys(w for words in found for w in words if w not in number))
+            if new:
+                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+                table = np.concatenate((table, emit(new)))
+            ids = [number[w] for words in found for w in words]
             size = np.diff(first)
-            mean = posteriors(table[ids], np.array(first), move) if ids else np.zeros((len(size), table.shape[1]))
+            mean = posteriors(table[ids], first, move) if ids else np.zeros((len(size), table.shape[1]))
             best = mean.argmax(1)
             names = [crf.labels[k] if n else "und" for k, n in zip(best, size, strict=True)] if crf else ["und"] * len(size)
             score = np.where(size > 0, np.clip(mean[np.arange(len(size)), best], 0, 1), 0.0)
