@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: An hour is wet above this, and a peak counts from this height and distance on.
@@ -75,7 +75,7 @@ def max_quartile(series: Column) -> Column:
         a, b = _at(share, low + 1), _at(share, F.least(low + 2, n))
         return a + (b - a) * (p - low)
 
-    steps = F.array(*[value((k + 1) / 4) - value(k / 4) for k in range(4)])
+    steps = F.array(*[F.round(value((k + 1) / 4) - value(k / 4), 9) for k in range(4)])  # equal but for the last digits counts as equal
     return F.when(n > 1, F.array_position(steps, F.array_max(steps)) - 1).cast("int")
 
 
@@ -111,9 +111,13 @@ def modality(peaks: Column) -> Column:
     return F.when(peaks == 0, "none").when(peaks == 1, "unimodal").when(peaks == 2, "bimodal").otherwise("multimodal")
 
 
-def metrics(series: Column) -> dict[str, Column]:
-    """All metrics of a series; those of an all-dry one are 0 or NULL."""
-    t = trimmed(series)
+def with_metrics(df: DataFrame, series: str, wet: float = WET) -> DataFrame:
+    """df with all metrics of a column of series; the series is trimmed once."""
+    return df.withColumn("_t", trimmed(F.col(series), wet)).withColumns(metrics(F.col(series), F.col("_t"))).drop("_t")
+
+
+def metrics(series: Column, t: Column) -> dict[str, Column]:
+    """All metrics of a series whose wet part is t; those of an all-dry one are 0 or NULL."""
     k, total = peak_index(t), _sum(t)
     before, after = _sum(F.slice(t, F.lit(1), k)), _sum(F.slice(t, k + 2, F.size(t)))
     dry = t.isNull()

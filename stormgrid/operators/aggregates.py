@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import running_total
+
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """mean, median, std, sem, ci95, count (non-null), size (rows) by group."""
@@ -61,9 +65,6 @@ def simple_ols(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def with_p_value(df: DataFrame, t: str = "t", dof: str = "df", out: str = "p") -> DataFrame:
     """Two-sided p of t, by the continued fraction of the incomplete beta function (a pandas UDF over one row per group)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(ts: pd.Series, ns: pd.Series) -> pd.Series:
         from math import exp, lgamma, log
@@ -97,9 +98,10 @@ def trend(df: DataFrame, keys: Sequence[str], year: str, value: str, least: int
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """df with ranks from 1, equal values sharing their mean rank."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """df with ranks from 1, equal values sharing their mean rank. Rows are counted by value first, and a group's values are spread over range partitions; rows with a NULL key or value go."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranks = running_total(counts, keys, [value], "_c", "_b").select(*keys, value, (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
+    return df.join(ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -136,13 +138,18 @@ def climatology(df: DataFrame, keys: Sequence[str], members: Sequence[str], valu
     return df.groupBy(*keys, *members).agg(F.avg(value).alias("m")).groupBy(*keys).agg(F.avg("m").alias("clim_mean"), F.stddev_pop("m").alias("clim_std"))
 
 
-def problem_combos(df: DataFrame, keys: Sequence[str], value: str, key: str, threshold: float) -> DataFrame:
-    """By group: rows, rows over the threshold, percent (1 decimal), and the offending ids in order."""
+def problem_combos(df: DataFrame, keys: Sequence[str], value: str, threshold: float) -> DataFrame:
+    """By group with any: rows, rows over the threshold, percent (1 decimal)."""
     over = F.col(value) > threshold
-    out = df.groupBy(*keys).agg(F.count("*").alias("total"), F.count(F.when(over, 1)).alias("n_over"), F.array_sort(F.collect_list(F.when(over, F.col(key)))).alias("ids")).where("n_over > 0")
+    out = df.groupBy(*keys).agg(F.count("*").alias("total"), F.count(F.when(over, 1)).alias("n_over")).where("n_over > 0")
     return out.withColumn("percent", F.round(F.col("n_over") / F.col("total") * 100, 1))
 
 
+def offending(df: DataFrame, keys: Sequence[str], value: str, key: str, threshold: float) -> DataFrame:
+    """The rows over the threshold, one each: a group can have any number, so they are not gathered into lists."""
+    return df.where(F.col(value) > threshold).select(*keys, key, value)
+
+
 def diff_report(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str], rtol: float = 1e-6, atol: float = 1e-6, tolerances: dict[str, float] | None = None) -> DataFrame:
     """By column: how many values of two versions differ, and by how much at most. One full join, one aggregation, then a row per column."""
     a = old.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in columns])

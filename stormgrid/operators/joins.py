@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,13 +49,22 @@ def day_before(events: DataFrame, daily: DataFrame, keys: Sequence[str], onset:
 
 
 def asof_before(events: DataFrame, series: DataFrame, keys: Sequence[str], anchor: str, at: str, value: str) -> DataFrame:
-    """Each event with the last value strictly before its anchor. One sort of the union of both sides by key and time."""
-    both = series.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("_seen"), F.lit(None).cast(events.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row")).unionByName(
-        events.select(*keys, F.col(anchor).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(series.select(F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("s")).schema["s"].dataType).alias("_seen"), F.struct("*").alias("_row"))
-    )
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = both.withColumn("_last", F.last("_seen", ignorenulls=True).over(w)).where("_side = 0")
-    return got.select("_row.*", F.col("_last.v").alias(f"{value}_before"))
+    """Each event with the last value strictly before its anchor, NULL without one. Of values at the same time the largest counts.
+
+    One sort of the union of both sides by key and time, over range partitions: a key's last value is carried from part to part, so a hot key is spread.
+    """
+    seen = F.struct(F.col(at).alias("t"), F.col(value).alias("v"))
+    none = F.lit(None).cast(series.select(seen.alias("s")).schema["s"].dataType)
+    row = F.lit(None).cast(events.select(F.struct("*").alias("r")).schema["r"].dataType)
+    both = series.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), seen.alias("_seen"), row.alias("_row")).unionByName(events.select(*keys, F.col(anchor).alias("_t"), F.lit(0).alias("_side"), none.alias("_seen"), F.struct("*").alias("_row")))
+    both = in_parts(both, [*keys, "_t", "_side"]).drop("_mono")
+    here = Window.partitionBy("_pid", *keys).orderBy("_t", "_side", "_seen").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = both.withColumn("_last", F.last("_seen", ignorenulls=True).over(here)).where("_side = 0")
+    parts = both.groupBy("_pid", *keys).agg(F.max("_seen").alias("_seen"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_pid", *keys, F.last("_seen", ignorenulls=True).over(earlier).alias("_carried"))  # a row per key and part
+    on = [got["_pid"] == parts["_pid"], *[got[k].eqNullSafe(parts[k]) for k in keys]]
+    return got.join(parts, on, "left").select("_row.*", F.coalesce("_last", "_carried")["v"].alias(f"{value}_before"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str = "rings") -> DataFrame:
@@ -80,13 +90,44 @@ def bind_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str | C
     return a.join(b.drop(*dup), "_place").drop("_place")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder: for results that another computation, or one after a lost executor, could give differently."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def in_parts(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """df in range partitions of an order, sorted, with their numbers in `_pid`. Settled: bounds come from samples, and all uses have to see the same parts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """df with the total of the rows before each, by group and order; within range partitions, then over them, so a hot group is spread. NULL keys are a group."""
+    df = in_parts(df, [*keys, *order]).drop("_mono")
+    here = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("_pid", *keys).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))  # a row per group and part
+    on = F.col("_pid") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    got = df.withColumn("_in", F.coalesce(F.sum(value).over(here), F.lit(0))).join(parts, on)
+    return got.withColumn(out, F.col("_in") + F.col("_before")).drop("_pid", "_p", "_in", "_before", *[f"_k_{k}" for k in keys])
+
+
 def with_place(df: DataFrame, order: Sequence[str | Column], out: str = "_place") -> DataFrame:
-    """df with each row's place in an order, from 0: range-partitioned sort, rows counted per partition, offsets added."""
-    df = df.repartitionByRange(*[F.expr(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    df = df.withColumn("_mono", F.monotonically_increasing_id())
-    counts = df.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
+    """df with each row's place in a total order, from 0: range-partitioned sort, rows counted per partition, offsets added."""
+    order = [F.expr(c) if isinstance(c, str) else c for c in order]
+    df = in_parts(df, order)
+    counts = df.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mono").alias("_low"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    return df.join(F.broadcast(offsets.select("_pid", "_first", "_before")), "_pid").withColumn(out, F.col("_mono") - F.col("_first") + F.col("_before")).drop("_pid", "_mono", "_first", "_before")
+    return df.join(F.broadcast(offsets.select("_pid", "_low", "_before")), "_pid").withColumn(out, F.col("_mono") - F.col("_low") + F.col("_before")).drop("_pid", "_mono", "_low", "_before")
 
 
 def total_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

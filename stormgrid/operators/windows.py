@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import running_total, with_place
+
 
 def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, least: int, out: str = "rolling") -> DataFrame:
     """Centred rolling mean; an even width reaches one row further back. NULL with fewer than `least` values."""
@@ -25,10 +27,9 @@ def rolling_max_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
 
 def group_number(df: DataFrame, key: Sequence[str], order: str, out: str = "group_id") -> DataFrame:
-    """Dense number of each group, from 0, by first appearance."""
+    """Dense number of each group, from 0, by first appearance. Groups are counted over range partitions; rows with a NULL key go."""
     first = df.groupBy(*key).agg(F.min(order).alias("_first"))
-    numbered = first.withColumn(out, (F.row_number().over(Window.orderBy("_first", *key)) - 1).cast("long")).drop("_first")  # a row per group
-    return df.join(numbered, list(key))
+    return df.join(with_place(first, ["_first", *key], out).drop("_first"), list(key))
 
 
 def demean(df: DataFrame, keys: Sequence[str], value: str, out: str = "within") -> DataFrame:
@@ -55,9 +56,10 @@ def dominant(df: DataFrame, columns: Sequence[str], out: str = "dominant") -> Da
 
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], out: str = "ecdf") -> DataFrame:
-    """Place in the sorted group over its size."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.row_number().over(w.orderBy(value, *tie)) / F.count("*").over(w))
+    """Place in the sorted group over its size; the tie columns make the order total. A hot group is spread over range partitions; rows with a NULL key go."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    placed = running_total(df.withColumn("_one", F.lit(1)), keys, [value, *tie], "_one", "_before_")
+    return placed.join(sizes, list(keys)).withColumn(out, (F.col("_before_") + 1) / F.col("_size")).drop("_one", "_before_", "_size")
 
 
 def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Queries over the driver tables and their SQL."""
+"""All queries over the driver tables and their SQL; importing the modules registers them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import regional, storms  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
