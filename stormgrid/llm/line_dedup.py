@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A line is boilerplate on a site if more than this share of the site's pages contain it, and at least so many pages.
 RATIO, LEAST_PAGES = 0.02, 3
 
@@ -27,15 +29,17 @@ def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ra
     """Every row with its boilerplate lines taken out of the text, in a column order like df's, plus `n_lines` and `n_dropped`.
 
     Each site's boilerplate is one short array: a line is in over `ratio` of the
-    pages, so a site has at most (lines per page) / ratio of them. Rows meet that
-    array by a join on site, which Spark broadcasts where it proves small and
-    splits where a site is hot.
+    pages, so a site has at most (lines per page) / ratio of them. The arrays are
+    written first, so that Spark knows their size before it plans the join on
+    site: it broadcasts them where they are below its threshold, without moving
+    any text, and else joins by shuffle, where it splits hot sites.
 
     A null site is a site of its own, together with the empty one. Null texts
     stay null, with 0 lines; repeated rows are kept; a text that loses all its
     lines becomes empty and stays.
     """
     bad = boilerplate_lines(df, site, text, ratio, least).groupBy("site").agg(F.collect_list("line_md5").alias("_bad")).withColumnRenamed("site", "_site")
+    bad = written(bad, "boilerplate")
     rows = df.withColumn("_site", F.coalesce(F.col(site), F.lit(""))).join(bad, "_site", "left")
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), F.unhex(F.md5(F.trim(x)))))
