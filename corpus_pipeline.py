@@ -48,7 +48,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL cannot tokenize, nor learn the toxicity lexicon; tests hold the stages against brute force.
+#: SQL cannot tokenize, nor learn the toxicity lexicon. tests/llm tests the operators behind the stages; run() as a whole has no test yet.
 ORACLE_SQL = None
 
 
