@@ -18,10 +18,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go, and n_chars follows the text. Documents stay, but those that boilerplate made empty."""
+    """Boilerplate lines of each source go, and n_chars follows the text. A document of boilerplate alone stays whole: the next stage keeps one of each group of copies."""
     from pyspark.sql import functions as F
 
-    kept = drop_boilerplate(docs).where("n_dropped = 0 or trim(text) <> ''")
+    kept = drop_boilerplate(docs, spare_copies=True)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL cannot tokenize, nor learn the toxicity lexicon. tests/llm tests the operators behind the stages; run() as a whole has no test yet.
+#: SQL cannot tokenize, nor learn the toxicity lexicon. tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -25,7 +25,7 @@ def boilerplate_lines(df: DataFrame, site: str = "source", text: str = "text", r
     return held.join(total, "site").where(F.col("pages") > ratio * F.col("total"))
 
 
-def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, spare_copies: bool = False) -> DataFrame:
     """Every row with its boilerplate lines taken out of the text, in a column order like df's, plus `n_lines` and `n_dropped`.
 
     Each site's boilerplate is one short array: a line is in over `ratio` of the
@@ -36,7 +36,9 @@ def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ra
 
     A null site is a site of its own, together with the empty one. Null texts
     stay null, with 0 lines; repeated rows are kept; a text that loses all its
-    lines becomes empty and stays.
+    lines becomes empty and stays. With spare_copies, a text with no other lines
+    than boilerplate is left whole: a whole text repeated on a site is a group of
+    copies, of which a later step may keep one, and not boilerplate around a text.
     """
     bad = boilerplate_lines(df, site, text, ratio, least).groupBy("site").agg(F.collect_list("line_md5").alias("_bad")).withColumnRenamed("site", "_site")
     bad = written(bad, "boilerplate")
@@ -44,5 +46,7 @@ def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ra
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), F.unhex(F.md5(F.trim(x)))))
     rows = rows.withColumn("_kept", F.when(F.col("_bad").isNull(), parts).otherwise(kept))
+    if spare_copies:
+        rows = rows.withColumn("_kept", F.when(F.exists("_kept", lambda x: F.trim(x) != ""), F.col("_kept")).otherwise(parts))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
     return rows.select(*[F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(c) for c in df.columns], n.alias("n_lines"), (n - F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept"))).cast("long").alias("n_dropped"))
