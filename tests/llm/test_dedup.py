@@ -195,6 +195,38 @@ def test_search_matches_brute_force_over_all_terms(spark, rows):
             assert set(gap) <= {d for d, _ in got[q]}
 
 
+def test_search_as_registered_matches_brute_force_on_long_queries(spark, rows):
+    copies = [(400 + k, rows[20][1]) for k in range(12)]
+    docs = rows + copies
+    asked = [r for r in docs if r[0] is not None and r[0] % 20 == 0] + [(902, "rain river flood")]
+    got = {}
+    for r in search.search(table(spark, docs), table(spark, asked)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((common.NULL_ID if r["doc_id"] is None else r["doc_id"], r["score"]))
+    want = {q: v for q, v in brute_search(docs, asked, search.TOP, None).items() if v}
+    assert got.keys() == want.keys() and max(len(set(ALNUM.findall((t or "").lower()))) for _, t, *_ in asked) > 100
+    for q in want:
+        assert [round(s, 5) for _, s in got[q]] == [round(s, 5) for _, s in want[q]]
+        gap = [a for (a, s), (_, t) in zip(want[q], want[q][1:] + [(0, -1.0)], strict=True) if abs(s - t) > 1e-5]
+        assert set(gap) <= {d for d, _ in got[q]}
+
+
+def test_long_queries_lose_nothing_and_break_ties_by_id():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n, terms = int(rng.integers(1, 700)), int(rng.integers(1, 60))
+        held = rng.random((terms, n)) < rng.random((terms, 1)) ** 3
+        part = np.round(rng.random((terms, n)) * 2, 1) * held
+        weight, ids = np.round(rng.random(terms) * 5, 2), rng.permutation(n).astype(np.int64) * 3
+        term, number = np.nonzero(part)
+        long = search.LongQueries(term, number, ids, part[term, number])
+        total = np.round(weight @ part, 6)
+        want = sorted((-s, int(d)) for s, d in zip(total, ids, strict=True) if s > 0)[:10]
+        t = np.arange(len(long.terms))
+        got = [(-s, d) for s, d in long.best(t, weight[long.terms], 10)]
+        np.testing.assert_allclose([s for s, _ in got], [s for s, _ in want], atol=2e-6)
+        assert [d for _, d in got] == [d for _, d in want]
+
+
 def test_wand_skips_but_loses_nothing():
     rng = np.random.default_rng(3)
     for _ in range(60):
