@@ -69,6 +69,8 @@ def _paths(rows: DataFrame, trees: int, depth: int, n: int, skip=None) -> DataFr
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, same: bool) -> np.ndarray:
     """Which pairs reach the threshold: a left x right matrix, from counts of common shingles."""
+    if not left or not right:  # a block that the hash left empty
+        return np.zeros((len(left), len(right)), bool)
     size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     value, number = np.unique(np.concatenate(right), return_inverse=True)
     of = np.repeat(np.arange(len(right)), size_r)
@@ -90,7 +92,7 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, s
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, links, low): of each document in each pair of blocks, how many it is linked to there and the smallest of them.
+    """(id, links, low): of each document in each pair of blocks, how many it is linked to there and the smallest document that these links join it to, over any number of steps.
 
     rows: id, shingles (bytes), a pair of blocks (comp, p, q), block. All pairs
     of two blocks are compared in one task; blocks hold at most a few hundred
@@ -103,18 +105,30 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
         x, y = ([np.frombuffer(v, np.uint64) for v in part["shingles"]] for part in (a, b))
         ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
         hit = _linked(x, y, threshold, p == q)
-        out = [_summed(hit, ids_a, ids_b)]
+        low_a, low_b = _lowest(hit, ids_a, ids_b)
+        out = [_summed(hit, ids_a, low_a)]
         if p != q:
-            out.append(_summed(hit.T, ids_b, ids_a))
+            out.append(_summed(hit.T, ids_b, low_b))
         return pd.concat(out)
 
     return rows.groupBy("comp", "p", "q").applyInPandas(run, "id long, links long, low long")
 
 
-def _summed(hit: np.ndarray, own: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+def _lowest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of each row's and each column's component, if the rows and columns of every hit are joined. A row and a column of one id are one document."""
+    low_l, low_r = left.copy(), right.copy()
+    while True:
+        new_l = np.minimum(low_l, np.where(hit, low_r, NULL_ID).min(1, initial=NULL_ID))
+        new_r = np.minimum(low_r, np.where(hit, new_l[:, None], NULL_ID).min(0, initial=NULL_ID))
+        if (new_l == low_l).all() and (new_r == low_r).all():
+            return low_l, low_r
+        low_l, low_r = new_l, new_r
+
+
+def _summed(hit: np.ndarray, own: np.ndarray, low: np.ndarray) -> pd.DataFrame:
     n = hit.sum(1)
     got = n > 0
-    return pd.DataFrame({"id": own[got], "links": n[got], "low": other[hit.argmax(1)][got]})
+    return pd.DataFrame({"id": own[got], "links": n[got], "low": low[got]})
 
 
 def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, n: int = SHINGLE, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:

@@ -87,6 +87,28 @@ def test_near_links_match_brute_force(spark, rows):
     assert near_join.near_links(table(spark, [])).count() == 0
 
 
+def test_classes_hold_all_that_links_join(spark):
+    rng = random.Random(21)
+    groups = [[(10, 0), (2, 8), (20, 16), (1, 24)], [(200, 20), (101, 12), (102, 28), (103, 29)]]  # a chain 10-2-20-1; 200 linked to 101, 102, 103, and 102 to 103
+    groups += [list(zip(rng.sample(range(1000 * k, 1000 * k + 99), 9), [rng.randrange(60) for _ in range(9)], strict=True)) for k in range(1, 25)]
+    docs = []
+    for group in groups:
+        words = prose(rng, 170).split()
+        docs += [(d, " ".join(words[a : a + 100])) for d, a in group]
+    sets = {d: shingle_set(t) for d, t in docs}
+    label, links = {d: min(e for e, u in docs if u == t) for d, t in docs}, {}
+    for d, t in docs:
+        links[d] = [e for e, u in docs if u != t and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])]
+    for _ in docs:
+        for d, t in docs:
+            label[d] = min([label[d]] + [label[e] for e in links[d]] + [label[e] for e, u in docs if u == t])
+    assert label[10] == label[2] == label[20] == 1 and label[200] == label[102] == label[103] == 101
+    assert 1 not in links[10] + links[2] and sorted(links[102]) == [103, 200]
+    for block in (256, 3):
+        got = {r["doc_id"]: r["class_id"] for r in near_join.near_links(table(spark, docs), block=block).collect()}
+        assert got == label
+
+
 def test_forest_depth_reaches_the_recall():
     d = near_join.depth_for()
     assert 1 - (1 - 0.8**d) ** near_join.TREES >= near_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_join.TREES
