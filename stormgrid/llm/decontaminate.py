@@ -219,8 +219,13 @@ def _scan(rows: DataFrame, ids: list[int], texts: list[str], edits: float) -> Da
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents that hold no benchmark item, with their columns. Only ids are shuffled for most rows."""
-    found = written(leaks(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "leaks")
+    """Documents that hold no benchmark item, with their columns. Only ids are shuffled for most rows. Rows with a null id are decided one by one, by their own text."""
+    named = docs.where("doc_id is not null")
+    found = written(leaks(named, benchmark, **options).select("doc_id").distinct(), "leaks")
     asked = bloom(found, "doc_id")
-    held = maybe_in(docs, "doc_id", asked).join(found, "doc_id", "left_anti").select(*docs.columns)
-    return maybe_in(docs, "doc_id", asked, negate=True).unionByName(held)
+    held = maybe_in(named, "doc_id", asked).join(found, "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.where("doc_id is null")
+    digest = F.xxhash64("text")
+    bad = leaks(nameless.select(digest.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("text_digest")).distinct()
+    clean = nameless.withColumn("text_digest", digest).join(bad, "text_digest", "left_anti").select(*docs.columns)
+    return maybe_in(named, "doc_id", asked, negate=True).unionByName(held).unionByName(clean)

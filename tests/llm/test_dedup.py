@@ -186,6 +186,14 @@ def test_decontamination_finds_planted_leaks_and_nothing_else(spark, rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if d not in {x for x, _ in got})
 
 
+def test_rows_without_an_id_are_dropped_by_their_own_text(spark):
+    rng = random.Random(12)
+    item = prose(rng, 30)
+    docs = [(None, prose(rng, 20) + " " + item), (None, prose(rng, 40)), (1, item), (2, prose(rng, 40)), (None, None)]
+    kept = decontaminate.drop_leaks(table(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([docs[1], docs[3], docs[4]], key=str)
+
+
 def brute_search(rows, asked, k, most):
     words = [ALNUM.findall((t or "").lower()) for _, t, *_ in rows]
     df = Counter(x for w in words for x in set(w))
