@@ -1,4 +1,4 @@
-"""Jaccard join on word n-grams: MinHash LSH forest for candidates, exact verification in blocks."""
+"""Jaccard join on word n-grams: MinHash prefixes of a fixed length for candidates, exact verification in blocks."""
 
 from __future__ import annotations
 
@@ -140,8 +140,9 @@ def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     - class_id: the smallest doc_id of all documents joined to this one by links and copies.
 
     Copies are reduced to one representative first. Representatives meet where
-    their paths in a tree of the forest share a prefix whose length is shortened
-    from the full path until the recall is reached at the threshold. Candidate
+    their paths in a tree share a prefix of one fixed length, the longest that by
+    the formula of depth_for reaches the recall at the threshold: this is banded
+    MinHash, and no prefix is shortened by what it matches. Candidate
     components are cut into blocks, and each pair of blocks is verified exactly
     in a task of its own: a group of near copies is neither collected in one
     task nor written as pairs. A component of m texts costs m / block copies of
