@@ -89,14 +89,25 @@ class SlotMap:
         return self.spark.read.schema("virtual_slot int, shard int, bytes long").parquet(f"{self.path}/version={version}")
 
 
+def edit_map(store: SlotMap, version: int, size: list[int], shards: int) -> int:
+    """Reads a stored version, moves slots until `shards` shards are near equal, stores the result as the next version and returns its number."""
+    held = {r["virtual_slot"]: r["shard"] for r in store.read(version).collect()}  # a row per slot
+    store.store(version + 1, rebalanced_map([held[v] for v in range(len(size))], size, shards), size)
+    return version + 1
+
+
 def shard_documents(df: DataFrame, shards: int = 16, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every record with its shard under law `bytes`, and its place there.
 
-    Version 1 of the map is made from the slots' bytes and stored; version 2 has
-    one shard more and moves slots from the fullest shards only into it or into
-    lighter ones. Columns: doc_id, size, text_crc32, law, shard, slot (place in
-    its shard, gapless from 0, by virtual slot, doc_id and text), grown_shard
-    (null under this law), virtual_slot, map_version.
+    Version 1 of the map is made from the slots' bytes and stored. Then the map is
+    edited for one shard more: the stored version is read, slots leave the fullest
+    shards for lighter ones, the new one first, and the result is stored as
+    version 2. A record's slot is the same in both. Columns: doc_id, size,
+    text_crc32, law, shard (version 1), slot (place in its shard, gapless from 0,
+    by virtual slot, doc_id and text), grown_shard (null under this law),
+    virtual_slot, map_version, next_shard and next_version (after the edit).
+
+    Equal texts of different ids are dealt apart by their ids, like any others.
 
     Places are counted per virtual slot and text-hash part and then offset by a
     table with one row per slot and part, so no task sees a whole shard.
@@ -108,7 +119,8 @@ def shard_documents(df: DataFrame, shards: int = 16, slots: int = SLOTS, key: st
     size = slot_bytes(df, key, text, slots)
     store = SlotMap(df.sparkSession)
     store.store(1, first_map(size, shards), size)
-    now = store.read(1).select("virtual_slot", "shard")
+    latest = edit_map(store, 1, size, shards + 1)
+    now = store.read(1).select("virtual_slot", "shard").join(F.broadcast(store.read(latest).select("virtual_slot", F.col("shard").alias("next_shard"))), "virtual_slot")
     parts = 8
     rows = df.select(
         F.col(key).alias("doc_id"),
@@ -123,5 +135,5 @@ def shard_documents(df: DataFrame, shards: int = 16, slots: int = SLOTS, key: st
     return (
         rows.withColumn("at", F.row_number().over(place).cast("long"))
         .join(F.broadcast(offset), ["virtual_slot", "part"])  # slots times parts rows at most
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"), "next_shard", F.lit(latest).alias("next_version"))
     )

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stormgrid.llm import language, licenses, packing, sharding, toxicity
 
@@ -85,6 +86,18 @@ def test_sharding_is_even_and_map_edits_move_little():
     assert sum(size[v] for v in moved) < 2 * new.mean()  # the new shard has to get one mean
 
 
+def test_sharding_edits_the_stored_map(spark):
+    """The query's own output: near equal bytes under both versions, and an edit that moves about the new shard's part only."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 37).cast("int")).alias("text"))
+    got = sharding.shard_documents(docs).toPandas()
+    for column, n in (("shard", 16), ("next_shard", 17)):
+        held = got.groupby(column)["size"].sum()
+        assert sorted(held.index) == list(range(n)) and held.max() <= 1.03 * held.mean()
+    moved = got[got["shard"] != got["next_shard"]]
+    assert (moved["next_shard"] == 16).mean() > 0.9 and moved["size"].sum() <= 1.3 * got["size"].sum() / 17
+    assert set(got["map_version"]) == {1} and set(got["next_version"]) == {2}
+
+
 def test_slot_map_versions(spark):
     store = sharding.SlotMap(spark)
     store.store(1, [0, 1, 0], [5, 6, 7])
@@ -99,8 +112,7 @@ def test_packing_ids_equal_the_named_tokenizer(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    odd = [(200, "Grüße, 世界!   tabs\t\tand   spaces \r\n\n numbers 12345 don't we'll <|endoftext|> 👩‍👩‍👧 ﬁ Ⅷ x́"), (201, "\x00\x01 a b ퟿"), (202, "a" * 5000)]
+    odd = [(203, "<|endoftext|>"), (204, "a <|endoftext|><|endoftext|> b\n<|endoftext|>"), (205, "<|endoftext|"), (206, "  <|endoftext|>  <|ENDOFTEXT|> it's<|endoftext|>'s"), (200, "Grüße, 世界!   tabs\t\tand   spaces \r\n\n numbers 12345 don't we'll <|endoftext|> 👩‍👩‍👧 ﬁ Ⅷ x́"), (201, "\x00\x01 a b ퟿"), (202, "a" * 5000)]
     docs = rows + odd
     got = packing.pack(table(spark, docs)).toPandas()
     for d, text, *_ in docs:
