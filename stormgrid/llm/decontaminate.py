@@ -1,8 +1,9 @@
-"""Benchmark decontamination: CGK embedding of word windows, bit-sampling LSH, exact edit distance."""
+"""Benchmark decontamination: CGK embedding of character windows, bit-sampling LSH, exact edit distance."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,64 +11,108 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, NULL_ID, bloom, buffers, maybe_in, mixed, powers, slices, span_hashes, word_hashes, word_spans, written
+from .common import ALNUM_SEP, NULL_ID, bloom, maybe_in, mixed, slices, written
 
-#: Largest edit distance as a share of the item's length, tables and sampled places of each, and the window sizes in words.
-EDITS, TABLES, SAMPLES, SIZES = 0.2, 10, 6, (12, 24)
-#: Least share of a walk's places at which two windows must agree (one minus their Hamming distance) to be verified.
-AGREE = 0.55
-#: Document windows of these sizes begin at every fourth word: an item's windows begin at each of its words.
-STRIDE = 4
+#: Largest edit distance as a share of the item's length, the share of such passages to find, and their length in characters that the number of tables is reckoned for.
+EDITS, RECALL, LENGTH = 0.2, 0.9, 120
+#: Steps of a walk, for items long enough; each table samples half of them.
+STEPS = 32
+#: Windows begin where words do, and at every further character of a longer word than this.
+LONG_WORD = 12
+#: Candidate places of one item this near to each other are verified together.
+NEAR = 16
 #: Bytes of benchmark text that one scan takes; a larger benchmark is taken in several scans.
 SCAN_BYTES = 8 << 20
 
+_random = np.random.default_rng(17)
+#: For each step and kind of character: does the walk move on (kind 0, the end of a text, holds it), and the character's hash there.
+_MOVES = (_random.random((STEPS, 256)) < 0.5).astype(np.int32)
+_MOVES[:, 0] = 0
+_VALUES = _random.integers(0, 1 << 63, (STEPS, 256), dtype=np.uint64)
 
-def size_for(n: int) -> int:
-    """The window size for an item of n words: the largest of which two at least begin where documents' windows do; items too short for that get a smaller window, looked for at every word."""
-    return max((c for c in SIZES if c + 2 * STRIDE - 1 <= n), default=min(n, SIZES[0] - 1))
 
+def steps_for(size: int) -> int:
+    """Steps of an item's windows: STEPS, or the largest smaller power of two with half as many characters again in the item."""
+    n = STEPS
+    while n > 1 and 3 * n > 2 * size:
+        n //= 2
+    return n
 
-def walk(h: np.ndarray, starts: np.ndarray, steps: int):
-    """CGK's random walk over words from each start: yields each step's word hashes. Two bits of a word's hash for
-    each step decide whether it moves on: at three steps of four, lest a frequent word hold many walks.
 
-    An edit in a window disturbs a few steps until two walks are in step again,
-    so the embeddings' Hamming distance follows the edit distance. A zero hash
-    holds a walk in its place: it marks the end of a text.
-    """
-    at = starts.copy()
-    for j in range(steps):
-        now = h[at]
-        yield now
-        at += (((now >> np.uint64(j % 64)) | (now >> np.uint64((j + 31) % 64))) & np.uint64(1)).astype(np.int64)
+@cache
+def sampled(steps: int, tables: int) -> list[list[int]]:
+    """For each step of a walk, the tables that sample it."""
+    rng = np.random.default_rng(steps)
+    chosen = [rng.choice(steps, max(steps // 2, min(steps, 4)), replace=False) for _ in range(tables)]
+    return [[t for t, places in enumerate(chosen) if j in places] for j in range(steps)]
+
+
+def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased texts' code points, words divided by single spaces, with a 0 behind each text; and where each text begins (one more entry at the end)."""
+    raw = np.frombuffer("".join(t + " " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
+    low = raw < 128
+    raw[low] = np.where(ALNUM_SEP[raw[low]], 32, raw[low])
+    raw[ends] = 0
+    gap = raw == 32
+    before = np.concatenate(([True], (gap | (raw == 0))[:-1])) if len(raw) else gap
+    raw = raw[~(gap & before)]
+    behind = np.append(raw[1:] == 0, True) if len(raw) else raw == 0
+    raw = raw[~((raw == 32) & behind)]
+    return raw, np.concatenate(([0], np.flatnonzero(raw == 0) + 1))
 
 
-def sampled(size: int, tables: int = TABLES, samples: int = SAMPLES) -> np.ndarray:
-    """The embedding's places that each table samples, for windows of that many words."""
-    rng = np.random.default_rng(size)
-    tables = tables if size >= SIZES[0] else tables // 2  # small windows begin at every word
-    return np.array([np.sort(rng.choice(size, min(samples, size), replace=False)) for _ in range(tables)])
+def kinds(codes: np.ndarray) -> np.ndarray:
+    """A byte for each character, 0 for the end of a text alone."""
+    return np.where(codes == 0, 0, (codes + (codes >> 7) * 37) % 255 + 1).astype(np.uint8)
 
 
-def table_keys(h: np.ndarray, starts: np.ndarray, sizes: list[int]) -> dict[int, list[np.ndarray]]:
-    """For each window size, each table's key of the windows at the starts: a hash of the sampled places' words."""
-    places = {c: sampled(c) for c in sizes}
-    up = powers(SAMPLES + 1)
-    out = {c: [np.full(len(starts), np.uint64(c * 64 + t), np.uint64) for t in range(len(p))] for c, p in places.items()}
-    for j, now in enumerate(walk(h, starts, max(int(p.max()) for p in places.values()) + 1)):
-        for c, p in places.items():
-            for t, row in enumerate(p):
-                for k in np.flatnonzero(row == j):
-                    out[c][t] += now * up[k + 1]
-    return {c: [mixed(x) for x in keys] for c, keys in out.items()}
+def window_starts(codes: np.ndarray) -> np.ndarray:
+    """Places where windows begin."""
+    at = np.arange(len(codes), dtype=np.int32)
+    gap = (codes == 32) | (codes == 0)
+    within = at - np.maximum.accumulate(np.where(gap, at, -1)) - 1 if len(codes) else at
+    return np.flatnonzero(~gap & ((within == 0) | (within >= LONG_WORD))).astype(np.int32)
 
 
-def ended(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with a zero behind each text, and where each text begins now."""
-    size = np.diff(first)
-    out = np.zeros(len(h) + len(size), np.uint64)
-    out[np.arange(len(h)) + np.repeat(np.arange(len(size)), size)] = h
-    return out, first + np.arange(len(first))
+def table_keys(kind: np.ndarray, starts: np.ndarray, steps: int, tables: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """CGK's random walk over characters from each start, and for each table a hash of the steps that it samples; where the walks end.
+
+    At each step a random bit of the character there says whether the walk moves
+    on. An edit in a window disturbs a few steps until two walks are in step
+    again, so the embeddings' Hamming distance follows the edit distance, and a
+    table misses the disturbed steps with a chance that does so as well.
+    """
+    at = starts.copy()
+    out = [np.full(len(starts), t, np.uint64) for t in range(tables)]
+    for j, users in enumerate(sampled(steps, tables)):
+        now = kind[at]
+        value = _VALUES[j][now]
+        for t in users:
+            out[t] += value
+        at += _MOVES[j][now]
+    return [mixed(x) for x in out], at
+
+
+@cache
+def tables_for(edits: float = EDITS, recall: float = RECALL, length: int = LENGTH, most: int = 64, trials: int = 200) -> int:
+    """How many tables find the wanted share of passages of that length with that share of edits: tried out on random words, edited at random. `most` if none does."""
+    rng = np.random.default_rng(3)
+    first = np.full(trials, most)
+    for trial in range(trials):
+        text = list(rng.choice(np.array([*"abcdefghijklmnopqrstuvwxyz    "]), length))
+        item, start = normalised(["".join(text)])
+        for _ in range(int(edits * length)):
+            k, way = int(rng.integers(len(text))), int(rng.integers(3))
+            text[k : k + 1] = [] if way == 0 else [chr(97 + int(rng.integers(26)))] if way == 1 else [text[k], chr(97 + int(rng.integers(26)))]
+        passage, _ = normalised(["".join(text)])
+        a, b = window_starts(item), window_starts(passage)
+        steps = steps_for(int(start[1]) - 1)
+        x, end = table_keys(kinds(item), a, steps, most)
+        y, _ = table_keys(kinds(passage), b, steps, most)
+        fits = (end < start[1] - 1)[:, None] & (np.abs(a[:, None] - b[None, :]) <= edits * length)
+        first[trial] = next((t for t in range(most) if (fits & (x[t][:, None] == y[t][None, :])).any()), most)
+    return int(min(most, np.sort(first)[min(trials - 1, int(np.ceil(recall * trials)) - 1)] + 1))
 
 
 def edit_distance_within(item: str, region: str) -> int:
@@ -93,64 +138,45 @@ def edit_distance_within(item: str, region: str) -> int:
 
 
 class Items:
-    """Benchmark items ready for lookup: keys of all their windows, and their words."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        lowered = pc.utf8_lower(pa.array(texts, pa.string()).fill_null(""))
-        h, first = ended(*word_hashes(lowered, ALNUM_SEP, False))
-        self.ids, self.words = ids, [_words(t) for t in lowered.to_pylist()]
-        starts, sizes, owners, offsets = [], [], [], []
-        for k, words in enumerate(self.words):
-            if words:
-                c = size_for(len(words))
-                for o in range(len(words) - c + 1):
-                    starts.append(first[k] + o)
-                    sizes.append(c)
-                    owners.append(k)
-                    offsets.append(o)
-        self.sizes = sorted(set(sizes))
-        starts_, sizes_ = np.array(starts, np.int64), np.array(sizes, np.int64)
-        found = []
-        for c in self.sizes:
-            own = np.flatnonzero(sizes_ == c)
-            for keys in table_keys(h, starts_[own], [c])[c]:
-                found.append((keys, own))
-        keys = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        which = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.which = keys[order], which[order]
-        self.owner, self.offset = np.array(owners, np.int64), np.array(offsets, np.int64)
-        self.h, self.starts, self.window = h, starts_, sizes_
-        self.gate = np.zeros(1 << 20, bool)
-        self.gate[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def candidates(self, h: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices into starts and windows of the pairs whose keys are equal in some table and whose embeddings are near enough."""
-        pairs = [np.zeros(0, np.int64)]
-        for sizes in ([c for c in self.sizes if c < SIZES[0]], [c for c in self.sizes if c >= SIZES[0]]):
-            if not sizes:
-                continue
-            own = np.arange(len(starts)) if sizes[0] < SIZES[0] else np.flatnonzero(place % STRIDE == 0)
-            for keys in (k for same in table_keys(h, starts[own], sizes).values() for k in same):
-                hit = np.flatnonzero(self.gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                low, high = (np.searchsorted(self.keys, keys[hit], side=s) for s in ("left", "right"))
-                n = high - low
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                pairs.append(np.repeat(own[hit], n) * len(self.starts) + self.which[at])
-        found = np.unique(np.concatenate(pairs))
-        k, w = found // max(len(self.starts), 1), found % max(len(self.starts), 1)
-        same, steps = np.zeros(len(k), np.int64), self.window[w] if len(w) else w
-        for j, (a, b) in enumerate(zip(walk(h, starts[k], int(steps.max(initial=0))), walk(self.h, self.starts[w], int(steps.max(initial=0))), strict=True)):
-            same += (a == b) & (j < steps)
-        near = same >= AGREE * steps
-        return k[near], w[near]
-
-
-def _words(text: str) -> list[str]:
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    starts, stops, _ = word_spans(data, np.array([0, len(data)]), ALNUM_SEP)
-    return [raw[a:b].decode(errors="replace") for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    """Benchmark items ready for lookup: keys of all their windows, and their texts."""
+
+    def __init__(self, ids: list[int], texts: list[str], tables: int):
+        codes, first = normalised(pc.utf8_lower(pa.array(texts, pa.string()).fill_null("")).to_pylist())
+        kind, starts = kinds(codes), window_starts(codes)
+        self.ids, self.tables = ids, tables
+        self.texts = [_text(codes[a : b - 1]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        owner = np.searchsorted(first, starts, side="right") - 1
+        steps = np.array([steps_for(len(t)) for t in self.texts], np.int64)[owner]
+        self.steps = sorted(set(steps.tolist()))
+        self.found = {}
+        for n in self.steps:
+            own = np.flatnonzero(steps == n)
+            keys, end = table_keys(kind, starts[own], n, tables)
+            whole = (end < first[owner[own] + 1] - 1) | (starts[own] == first[owner[own]])  # the walk stays in the item
+            own, keys = own[whole], np.concatenate([x[whole] for x in keys])
+            order = np.argsort(keys, kind="stable")
+            which = np.tile(own, tables)[order]
+            gate = np.zeros(1 << 20, bool)
+            gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.found[n] = keys[order], owner[which].astype(np.int64), (starts[which] - first[owner[which]]).astype(np.int64), gate
+
+    def candidates(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows of text, item, and where the item would begin if nothing before the window that led there were edited, in steps of NEAR characters."""
+        kind, starts = kinds(codes), window_starts(codes)
+        pairs = [np.zeros((0, 3), np.int64)]
+        for n, (sorted_keys, owner, offset, gate) in self.found.items():
+            for keys in table_keys(kind, starts, n, self.tables)[0]:
+                hit = np.flatnonzero(gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                low, high = (np.searchsorted(sorted_keys, keys[hit], side=s) for s in ("left", "right"))
+                size = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                begin = np.repeat(starts[hit], size)
+                pairs.append(np.stack([np.searchsorted(first, begin, side="right") - 1, owner[at], (begin - offset[at]) // NEAR * NEAR], 1))
+        return np.unique(np.concatenate(pairs), axis=0)
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
@@ -158,10 +184,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     Both sides are lower-cased words (runs of letters and digits) with single
     spaces between. A pair is a leak if the item is within `edits` of its length
-    of some passage of the document, in character edits. Items' windows (at each
-    word) and documents' windows (at every fourth word) are embedded by CGK
-    walks; windows whose sampled places agree in a table are verified by exact
-    edit distance around the aligned place.
+    of some passage of the document, in character edits. Windows at each word of
+    both sides are embedded by CGK walks over characters; where the steps that a
+    table samples agree, the exact edit distance around the aligned place
+    decides. There are as many tables as find RECALL of the passages of LENGTH
+    characters at the largest distance; less damaged and longer ones are found
+    more often, items under 1.5 STEPS characters less often, and items of a part
+    of a word only where a word begins with it.
 
     Items with null or no text match nothing; null ids of either side stay
     null; repeated rows give one pair; other columns are ignored. Only the
@@ -182,38 +211,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def _scan(rows: DataFrame, ids: list[int], texts: list[str], edits: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(Items(ids, texts))
+    shared = rows.sparkSession.sparkContext.broadcast(Items(ids, texts, tables_for(edits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for s in slices(batches):
-            lowered = pc.utf8_lower(s.column("text").fill_null(""))
-            raw, at = buffers(lowered)
-            begins, stops, first = word_spans(raw, at, ALNUM_SEP)
-            h, head = ended(span_hashes(raw, begins, stops), first)
-            size = np.diff(first)
-            doc = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(begins)) - first[doc]
-            if not len(place) or not items.sizes:
+            codes, first = normalised(pc.utf8_lower(s.column("text").fill_null("")).to_pylist())
+            if not items.steps or not len(codes):
                 continue
-            k, w = items.candidates(h, head[doc] + place, place)
-            asked = set(zip(doc[k].tolist(), items.owner[w].tolist(), ((place[k] - items.offset[w]) // STRIDE).tolist(), strict=True))
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for d, k, about in sorted(asked):
-                words = items.words[k]
-                slack = int(edits * len(words)) + STRIDE + 1
-                a, b = max(0, about * STRIDE - slack), min(int(size[d]), about * STRIDE + STRIDE + len(words) + slack)
-                item = " ".join(words)
-                if b <= a or best.get((d, k), (1, 0))[0] == 0:
-                    continue
-                a, b = a + first[d], b + first[d]
-                region = " ".join(raw[x:y].tobytes().decode(errors="replace") for x, y in zip(begins[a:b].tolist(), stops[a:b].tolist(), strict=True))
-                distance = edit_distance_within(item, region)
-                if distance <= edits * len(item):
-                    best[d, k] = min(best.get((d, k), (len(item) + 1, 0)), (distance, len(item)))
-            own = s.column("id").to_numpy()
+            best: dict[tuple[int, int], int] = {}
+            for d, k, at in items.candidates(codes, first).tolist():
+                item = items.texts[k]
+                most = int(edits * len(item))
+                a, b = max(int(first[d]), at - most), min(int(first[d + 1]) - 1, at + NEAR + len(item) + most)
+                if best.get((d, k), 1) > 0 and (distance := edit_distance_within(item, _text(codes[a:b]))) <= most:
+                    best[d, k] = min(best.get((d, k), distance), distance)
             if best:
-                yield pa.record_batch([pa.array([own[d] for d, _ in best], pa.int64()), pa.array([items.ids[k] for _, k in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int64()), pa.array([v[1] for v in best.values()], pa.int64())], ["id", "item", "distance", "size"])
+                own = s.column("id").to_numpy()
+                yield pa.record_batch([pa.array([own[d] for d, _ in best], pa.int64()), pa.array([items.ids[k] for _, k in best], pa.int64()), pa.array(list(best.values()), pa.int64()), pa.array([len(items.texts[k]) for _, k in best], pa.int64())], ["id", "item", "distance", "size"])
 
     return rows.mapInArrow(run, "id long, item long, distance long, size long")
 

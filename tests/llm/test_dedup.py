@@ -186,6 +186,45 @@ def test_decontamination_finds_planted_leaks_and_nothing_else(spark, rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if d not in {x for x, _ in got})
 
 
+def edited(rng, text, share):
+    """The text with that share of its characters substituted, inserted or deleted at random."""
+    out = list(text)
+    for _ in range(int(share * len(text))):
+        k, way = rng.randrange(len(out)), rng.randrange(3)
+        out[k : k + 1] = [] if way == 0 else [rng.choice("abcdefgh ")] if way == 1 else [out[k], rng.choice("abcdefgh ")]
+    return "".join(out)
+
+
+def test_decontamination_reaches_its_recall_at_every_damage(spark):
+    """All pairs by brute force; the share found of those within the distance, by damage up to the accepted distance, and nothing else."""
+    rng = random.Random(31)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r")]
+    text = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    items = [(k, text(rng.randrange(18, 50))) for k in range(40)]
+    levels = (0.02, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2)
+    docs = [(1000 * n + k, text(20) + " " + edited(rng, item, share) + " " + text(20)) for n, share in enumerate(levels) for k, item in items]
+    norm = lambda t: " ".join(ALNUM.findall(t.lower()))
+    real = {(d, i) for d, t in docs for i, item in items if decontaminate.edit_distance_within(norm(item), norm(t)) <= int(decontaminate.EDITS * len(norm(item)))}
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found <= real
+    for n in range(len(levels)):
+        at = {p for p in real if p[0] // 1000 == n}
+        assert len(at) >= 30 and len(found & at) >= decontaminate.RECALL * len(at), levels[n]
+
+
+def test_decontamination_of_empty_tables_and_odd_texts(spark):
+    docs, items = "doc_id long, text string", "item_id long, text string"
+    none = spark.createDataFrame([], items)
+    assert decontaminate.leaks(spark.createDataFrame([(1, "a b c")], docs), none).count() == 0
+    assert decontaminate.leaks(spark.createDataFrame([], docs), spark.createDataFrame([(1, "a b c d e")], items)).count() == 0
+    long = "word" * 3000
+    rows = [(1, "\x00 A\x00b  c "), (2, "x" + long), (3, None), (4, ""), (5, " . "), (6, "世界你好 " * 20), (7, "é b")]
+    asked = [(1, "a b c"), (2, long[:400]), (3, "世界你好世界你好"), (4, "é"), (None, None), (6, "..")]
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(spark.createDataFrame(rows, docs), spark.createDataFrame(asked, items)).collect()}
+    assert {(1, 1, 0), (2, 2, 0), (7, 4, 0)} <= got and not {d for d, _, _ in got} & {3, 4, 5}
+
+
 def test_rows_without_an_id_are_dropped_by_their_own_text(spark):
     rng = random.Random(12)
     item = prose(rng, 30)
