@@ -1,4 +1,4 @@
-"""Licence scan: ordered signature rules behind a keyword gate, with priority and containment. DataFrame functions only."""
+"""Licence scan: ordered signature rules behind a keyword gate; priority and containment resolve overlaps. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -99,14 +99,15 @@ SINGLE = [
     ("public-domain", "domain", "(?:released into|placed in|dedicated to|is in) the public domain", 40, 0.8),
     ("proprietary", "proprietary", "proprietary and confidential", 30, 0.8),
     ("proprietary", "confidential", "confidential information of", 20, 0.5),
-    ("proprietary", "eula", "end user licen[cs]e agreement(?: eula)?", 30, 0.7),
+    ("proprietary", "eula", "end user licen[cs]e agreement eula", 30, 0.7),
     ("proprietary", "agreement", "end user licen[cs]e agreement", 30, 0.7),
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", 70, 1.0),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 70, 1.0),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 70, 1.0),
     ("bsd-3-clause", "endorse", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse", 75, 1.0),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", 65, 0.95),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", 65, 0.95),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?", 65, 0.95),
+    ("bsd-2-clause", "freebsd", "freebsd licen[cs]e", 65, 0.95),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: licen[cs]e)?", 65, 0.95),
     ("0bsd", "0bsd", "0bsd", 60, 0.9),
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?", 65, 0.9),
@@ -131,7 +132,61 @@ SINGLE = [
     ("dual", "dual", "dual licen[cs]ed under", 20, 0.4),
     ("open-source", "osi", "osi approved(?: licen[cs]e)?", 20, 0.4),
     ("no-derivatives", "derivative", "no derivative works", 25, 0.4),
-    ("non-commercial", "commercial", "(?:for )?non ?commercial use only", 25, 0.5),
+    ("non-commercial", "commercial", "(?:for )?non commercial use only", 25, 0.5),
+    ("non-commercial", "noncommercial", "(?:for )?noncommercial use only", 25, 0.5),
+    # sentences of licence texts and notices
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 85, 1.0),
+    ("gpl", "hope", "this program is distributed in the hope that it will be useful but without any warranty", 62, 0.8),
+    ("gpl", "along", "you should have received a copy of the gnu general public licen[cs]e along with", 84, 1.0),
+    ("gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it", 70, 1.0),
+    ("gpl", "copyleft", "(?:strong )?copyleft licen[cs]e", 20, 0.4),
+    ("lgpl", "library", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 85, 1.0),
+    ("lgpl", "along", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with", 84, 1.0),
+    ("agpl", "affero", "under the terms of the gnu affero general public licen[cs]e", 84, 1.0),
+    ("agpl", "remotely", "all users interacting with it remotely through a computer network", 72, 0.9),
+    ("gfdl", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", 85, 1.0),
+    ("mit", "portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 72, 1.0),
+    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement", 45, 0.7),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 72, 1.0),
+    ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 72, 1.0),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 76, 1.0),
+    ("apache", "apache", "licensed under the apache license version 2 0 the license", 84, 1.0),
+    ("apache", "writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 70, 0.95),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license", 84, 1.0),
+    ("mpl", "contents", "the contents of this file are subject to the mozilla public license", 84, 1.0),
+    ("cddl", "contents", "the contents of this file are subject to the terms of the common development and distribution license", 84, 1.0),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license", 84, 1.0),
+    ("isc", "fee", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 70, 1.0),
+    ("hpnd", "documentation", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and without fee)? is hereby granted", 70, 1.0),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 74, 1.0),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 74, 0.9),
+    ("bsl", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 75, 1.0),
+    ("unlicense", "compile", "anyone is free to copy modify publish use compile sell or distribute this software", 78, 1.0),
+    ("cc0", "neighboring", "waived all copyright and related or neighboring rights", 70, 0.95),
+    ("cc-by", "redistribute", "you are free to share copy and redistribute the material in any medium or format", 40, 0.7),
+    ("cc-by", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made", 42, 0.8),
+    ("cc-by-sa", "contributions", "you must distribute your contributions under the same license as the original", 45, 0.8),
+    ("cc-by-nc", "purposes", "you may not use the material for commercial purposes", 45, 0.8),
+    ("cc-by-nd", "modified", "you may not distribute the modified material", 45, 0.8),
+    ("ofl", "font", "this font software is licensed under the sil open font license", 84, 1.0),
+    ("ofl", "reserved", "with reserved font name", 60, 0.8),
+    ("artistic", "package", "the intent of this document is to state the conditions under which a package may be copied", 75, 1.0),
+    ("psf", "python", "this license agreement is between the python software foundation", 75, 1.0),
+    ("lppl", "latex", "this work may be distributed and or modified under the conditions of the latex project public license", 84, 1.0),
+    ("elastic", "hosted", "you may not provide the software to third parties as a hosted or managed service", 75, 1.0),
+    ("busl", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 78, 1.0),
+    ("sspl", "functionality", "if you make the functionality of the program or a modified version available to third parties as a service", 78, 1.0),
+    ("json", "evil", "the software shall be used for good not evil", 74, 1.0),
+    ("blessing", "disclaims", "the author disclaims copyright to this source code", 74, 1.0),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 74, 1.0),
+    ("openssl", "cryptographic", "this product includes cryptographic software written by eric young", 74, 1.0),
+    ("openrail", "derivatives", "you agree not to use the model or derivatives of the model", 70, 0.9),
+    ("llama", "llama", r"llama (?:\d(?: \d)? )?community licen[cs]e(?: agreement)?", 70, 0.95),
+    ("gemma", "gemma", "gemma (?:is provided under and subject to the gemma )?terms of use", 65, 0.9),
+    ("research-only", "research", "for (?:non ?commercial )?research purposes only", 40, 0.6),
+    ("evaluation-only", "evaluation", "for (?:internal )?evaluation purposes only", 40, 0.6),
+    ("government-use", "restricted", "restricted rights legend", 30, 0.5),
+    ("government-use", "disclosure", "use duplication or disclosure by the government is subject to restrictions", 30, 0.5),
     ("terms-of-use", "terms", "subject to (?:our|the|these) terms of (?:use|service)", 10, 0.3),
 ]
 
@@ -160,6 +215,8 @@ def _rules() -> list[dict]:
 
 #: Every rule, in order.
 RULES = _rules()
+#: Type of a text's detections; sorted, the one that decides comes first.
+FOUND = "array<struct<neg_priority:int,neg_words:int,rule:int,start:int,end:int,label:string,weight:double>>"
 
 
 def _text(text: str) -> Column:
@@ -174,7 +231,7 @@ def _words_in(c: Column) -> Column:
 
 
 def _detections() -> Column:
-    """All rules' matches in `norm`, for rules whose gate word is there: array of (start, neg_end, neg_priority, label, weight), in words.
+    """All rules' matches in `norm`, for rules whose gate word is there: array of (neg_priority, neg_words, rule, start, end, label, weight), places in words.
 
     Matches of one rule follow one another without overlap, so a match's place is
     that of the pieces and matches before it.
@@ -182,7 +239,7 @@ def _detections() -> Column:
     by_gate: dict[str, list[dict]] = {}
     for r in RULES:
         by_gate.setdefault(r["gate"], []).append(r)
-    one = lambda r: F.struct(F.lit(f"(?<= )(?:{r['pattern']})(?= )").alias("re"), F.lit(r["label"]).alias("label"), F.lit(r["priority"]).alias("priority"), F.lit(float(r["weight"])).alias("weight"))
+    one = lambda r: F.struct(F.lit(f"(?<= )(?:{r['pattern']})(?= )").alias("re"), F.lit(r["rule"]).alias("rule"), F.lit(r["label"]).alias("label"), F.lit(r["priority"]).alias("priority"), F.lit(float(r["weight"])).alias("weight"))
     table = F.create_map(*[x for g, rules in sorted(by_gate.items()) for x in (F.lit(g), F.array(*map(one, rules)))])
     gates = F.array_intersect("words", F.array(*map(F.lit, sorted(by_gate))))
     chosen = F.filter(F.flatten(F.transform(gates, lambda g: F.element_at(table, g))), lambda r: F.rlike(F.col("norm"), r["re"]))
@@ -195,26 +252,23 @@ def _detections() -> Column:
         def step(acc: Column, k: Column) -> Column:
             start = acc["at"] + spaces(F.element_at(pieces, k))
             n = spaces(F.element_at(hits, k)) + 1
-            found = F.struct((start - 1).cast("int").alias("start"), (-(start - 1 + n)).cast("int").alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["label"].alias("label"), r["weight"].alias("weight"))
+            found = F.struct((-r["priority"]).alias("neg_priority"), (-n).cast("int").alias("neg_words"), r["rule"].alias("rule"), (start - 1).cast("int").alias("start"), (start - 1 + n).cast("int").alias("end"), r["label"].alias("label"), r["weight"].alias("weight"))
             return F.struct((start + n - 1).cast("int").alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,label:string,weight:double>>").alias("found"))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
         return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(1), F.size(hits)), none, step, lambda a: a["found"])).otherwise(none["found"])
 
     return F.flatten(F.transform(chosen, places))
 
 
 def _kept() -> Column:
-    """Detections that stand, from `found` sorted by (start, longest, priority): one is dropped if it lies within an earlier one.
-
-    So a longer match suppresses what it contains, and of two equal intervals the
-    one with the higher priority stands.
-    """
-    start = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+    """Detections that stand: of the highest priority first, then the longest, then by the order of the rules, each one is dropped if it lies within or overlaps one that stands."""
+    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
 
     def step(acc: Column, d: Column) -> Column:
-        stands = -d["neg_end"] > acc["reach"]
-        return F.when(stands, F.struct((-d["neg_end"]).alias("reach"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["best"], d["weight"]).alias("best"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+        taken = F.exists(acc["spans"], lambda k: (k["start"] < d["end"]) & (d["start"] < k["end"]))
+        with_it = F.struct(F.concat(acc["spans"], F.array(F.struct(d["start"].alias("start"), d["end"].alias("end")))).alias("spans"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["best"], d["weight"]).alias("best"), (acc["n"] + 1).alias("n"))
+        return F.when(taken, acc).otherwise(with_it)
 
     return F.aggregate(F.array_sort("found"), start, step)
 
@@ -227,7 +281,8 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     its version; 0 without any), n_detections.
 
     Nothing is shuffled: each text is scanned where it is read, its rules chosen
-    by the gate words among its words. Null and empty texts have no words, empty
+    by the gate words among its words. Detections that overlap are settled by
+    priority, then length, then the order of the rules. Null and empty texts have no words, empty
     label strings, null places and score 0. Repeated rows are scanned one by one;
     other columns are ignored.
     """
@@ -242,7 +297,7 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.when(F.col("gated"), _words_in(F.element_at(F.split("norm", phrase, 2), 1)) - 1).alias("first_word"),
         F.when(F.col("gated"), _words_in(F.regexp_extract("norm", f"(?s)^(.*){phrase}", 1)) - 1).alias("last_word"),
         F.when(F.col("gated"), F.filter(F.array(*[F.when(F.contains(F.col("norm"), F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")).alias("base"),
-        F.when(F.col("gated"), _detections()).otherwise(F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,label:string,weight:double>>")).alias("found"),
+        F.when(F.col("gated"), _detections()).otherwise(F.array().cast(FOUND)).alias("found"),
     ).withColumn("kept", _kept())
     has = F.col("n_base") > 0
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
