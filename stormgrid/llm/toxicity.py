@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +23,12 @@ STEMS, LEAST_WEIGHT, MOST_ENTRIES = (4, 5, 6), 2.5, 4000
 
 #: Word classes of the grammar written by hand, in English, German, French and Spanish.
 INSULT = "idiot moron loser scum trash stupid pathetic worthless imbecile dumbass bastard asshole idioten dummkopf arschloch abschaum versager trottel crétin connard salaud imbécile ordure abruti gilipollas estúpido basura escoria cabrón".split()
-THREAT = "kill hurt destroy beat shoot stab töten umbringen schlagen vernichten tuer frapper détruire buter matar golpear destruir disparar".split()
+THREAT = (
+    "kill kills killed killing hurt hurts hurting destroy destroys destroying beat beats beating shoot shoots shooting stab stabs stabbing strangle strangling "
+    "töten töte tötet umbringen bringe schlagen schlage schlägt vernichten vernichte erschießen ersteche "
+    "tuer tue tuerai tuerons frapper frappe frapperai détruire détruis détruirai buter buterai "
+    "matar mato mata mataré mataremos golpear golpeo golpearé destruir destruyo destruiré disparar disparo dispararé"
+).split()
 TARGET = "you your yourself u du dich dir ihr euch dein tu te toi vous ton usted ustedes ti tus they them he she him her".split()
 NEGATION = "not no never neither nor without isn aren wasn don nicht kein keine nie niemals ohne pas jamais sans aucun ningún nunca jamás sin tampoco".split()
 REPORTED = "said says called wrote quoted claimed alleged reportedly sagte sagt nannte schrieb zitierte dit disait appelé écrit cité dijo dice llamó escribió citó".split()
@@ -46,13 +52,19 @@ NEGATION_FST: Arcs = {
     **{(s, x): (s - 1, f"{x}_N", 0.0) for s in (1, 2, 3) for x in ("INSULT", "THREAT")},
     **{(s, x): (s - 1, x, 0.0) for s in (1, 2, 3) for x in ("o", "TARGET", "INSULT_R", "THREAT_R", "QUOTE", "REPORT")},
 }
-#: Scoring: a direct insult counts in full, more beside a target; a threat needs a target; negated and reported ones count little.
-SCORE_FST: Arcs = {
-    (0, "TARGET"): (1, "o", 0.0), (1, "TARGET"): (1, "o", 0.0), (2, "TARGET"): (3, "o", 0.25), (3, "TARGET"): (3, "o", 0.0), (4, "TARGET"): (3, "o", 1.0),
-    (0, "INSULT"): (2, "o", 1.0), (1, "INSULT"): (3, "o", 1.25), (2, "INSULT"): (2, "o", 0.5), (3, "INSULT"): (3, "o", 0.5), (4, "INSULT"): (3, "o", 1.25),
-    (0, "THREAT"): (4, "o", 0.0), (1, "THREAT"): (3, "o", 1.0), (2, "THREAT"): (3, "o", 0.5), (3, "THREAT"): (3, "o", 0.5), (4, "THREAT"): (4, "o", 0.0),
-    **{(s, f"INSULT_{k}"): (s, "o", 0.1) for s in range(5) for k in "NR"},
+#: Targets: an insult beside a target comes out as aimed (or the target does, if it comes later); a threat comes out only with its target, before or after it. States: nothing, target, insult, threat, both waiting for a target.
+TARGET_FST: Arcs = {
+    (0, "TARGET"): (1, "o", 0.0), (1, "TARGET"): (1, "o", 0.0), (2, "TARGET"): (1, "AIM", 0.0), (3, "TARGET"): (1, "THREAT_T", 0.0), (4, "TARGET"): (1, "AIM_THREAT", 0.0),
+    (0, "INSULT"): (2, "INSULT", 0.0), (1, "INSULT"): (1, "INSULT_T", 0.0), (2, "INSULT"): (2, "INSULT", 0.0), (3, "INSULT"): (4, "INSULT", 0.0), (4, "INSULT"): (4, "INSULT", 0.0),
+    (0, "THREAT"): (3, "o", 0.0), (1, "THREAT"): (1, "THREAT_T", 0.0), (2, "THREAT"): (4, "o", 0.0), (3, "THREAT"): (3, "o", 0.0), (4, "THREAT"): (4, "o", 0.0),
 }
+#: Insults: the first in a clause counts in full, further ones half, the first beside a target a quarter more; negated and reported ones little.
+INSULT_FST: Arcs = {
+    (0, "INSULT"): (1, "o", 1.0), (0, "INSULT_T"): (1, "o", 1.25), (1, "INSULT"): (1, "o", 0.5), (1, "INSULT_T"): (1, "o", 0.5), (1, "AIM"): (1, "o", 0.25), (1, "AIM_THREAT"): (1, "THREAT_T", 0.25),
+    **{(s, f"INSULT_{k}"): (s, "o", 0.1) for s in (0, 1) for k in "NR"},
+}
+#: Threats: the first in a clause counts in full, further ones half; negated and reported ones not at all.
+THREAT_FST: Arcs = {(0, "THREAT_T"): (1, "o", 1.0), (1, "THREAT_T"): (1, "o", 0.5)}
 
 
 def compose(parts: list[Arcs], symbols: list[str]) -> dict[tuple[tuple, str], tuple[tuple, float]]:
@@ -73,8 +85,9 @@ def compose(parts: list[Arcs], symbols: list[str]) -> dict[tuple[tuple, str], tu
     return out
 
 
-GRAMMAR = compose([REPORT_FST, NEGATION_FST, SCORE_FST], ["o", "INSULT", "THREAT", "TARGET", "NEG", "REPORT", "QUOTE"])
-_START = (0, 0, 0)
+MACHINES, SYMBOLS = [REPORT_FST, NEGATION_FST, TARGET_FST, INSULT_FST, THREAT_FST], ["o", "INSULT", "THREAT", "TARGET", "NEG", "REPORT", "QUOTE"]
+GRAMMAR = compose(MACHINES, SYMBOLS)
+_START = (0,) * len(MACHINES)
 _CLASS = {**dict.fromkeys(TARGET, "TARGET"), **dict.fromkeys(NEGATION, "NEG"), **dict.fromkeys(REPORTED, "REPORT"), **dict.fromkeys(THREAT, "THREAT"), **dict.fromkeys('"“”«»„', "QUOTE")}
 
 
@@ -94,18 +107,18 @@ class Matcher:
         return max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS)])
 
     def clauses(self, text: str) -> Iterator[float]:
-        """The score of each clause that the grammar matches."""
-        low, upto = text.lower(), 0
+        """The score of each clause that the grammar matches: the machine runs over the whole clause, however long."""
+        low, upto, ends = text.lower(), 0, None
         for end, size in self.keys.iter(low):
             at = end - size + 1
             if at < upto or (at and low[at - 1].isalpha()):
                 continue
-            before = max((low.rfind(c, 0, at) for c in ".!?;\n\r"), default=-1) + 1
-            stop = CLAUSE_END.search(low, at)
-            upto = stop.start() if stop else len(low)
-            if (score := self.clause(low[max(before, at - 2000) : min(upto, at + 20_000)])) > 0:
+            if ends is None:
+                ends = [-1, *(m.start() for m in CLAUSE_END.finditer(low)), len(low)]
+            k = bisect_left(ends, at)
+            upto = ends[k]
+            if (score := self.clause(low[ends[k - 1] + 1 : upto])) > 0:
                 yield score
-            upto = min(upto, at + 20_000)
 
     def clause(self, clause: str) -> float:
         state, total, most = _START, 0.0, 0.0
@@ -135,7 +148,7 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def _keys_of(text: str) -> set[str]:
-    words = set(re.findall(r"[^\W\d_]{3,40}", text.lower()))
+    words = set(re.findall(r"[^\W\d_]{3,}", text.lower()))
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -159,7 +172,7 @@ def _one_per_copy(rows: DataFrame) -> DataFrame:
         for s in slices(iter(batches)):
             h, first = word_hashes(s.column("text"), ALNUM_SEP, True)
             w = window_hashes(h, 5)
-            low = [int(w[a : max(b - 4, a + 1)].min().view(np.int64)) if b > a and a < len(w) else -1 for a, b in zip(first[:-1], first[1:], strict=True)]
+            low = [int(w[a : b - 4].min().view(np.int64)) if b - a >= 5 else int(np.bitwise_xor.reduce(h[a:b]).view(np.int64)) if b > a else -1 for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([s.column("doc_id"), s.column("toxic"), pa.array(low, pa.int64())], ["doc_id", "toxic", "low"])
 
     ids = rows.mapInArrow(least, "doc_id long, toxic int, low long").groupBy("low", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -181,7 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> dict:
         some = {r["key"]: r["n"] for r in _counted(rows.where("toxic = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(20 * MOST_ENTRIES).collect()}
         clean = {r["key"]: r["n"] for r in _counted(rows.where("toxic = 0"), some).collect()}
         weight = {k: float(min(8.0, np.log((v + 0.5) / (n1 + 1)) - np.log((clean.get(k, 0) + 0.5) / (n0 + 1)))) for k, v in some.items()}
-        best = sorted((k for k, w in weight.items() if w >= LEAST_WEIGHT and clean.get(k, 0) <= some[k]), key=lambda k: (-weight[k] * np.log1p(some[k]), k))[:MOST_ENTRIES]
+        # a stem has to be in clearly more texts than any one word that it begins: else that word is what was learned
+        longest: Counter = Counter()
+        for k, v in some.items():
+            for n_ in STEMS:
+                if not k.endswith("*") and len(k) > n_:
+                    longest[k[:n_] + "*"] = max(longest[k[:n_] + "*"], v)
+        best = sorted((k for k, w in weight.items() if w >= LEAST_WEIGHT and clean.get(k, 0) <= some[k] and 2 * some[k] >= 3 * longest[k]), key=lambda k: (-weight[k] * np.log1p(some[k]), k))[:MOST_ENTRIES]
         lexicon |= {k: weight[k] for k in best}
     matcher = Matcher(lexicon)
     seen = [(1.0, *f, r["toxic"]) for r in _featured(rows, lexicon).select("best", "several", "toxic").collect() for f in [(r["best"], r["several"])]] if n1 and n0 else [(1.0, 0.0, 0.0, 0), (1.0, matcher.weight("idiot"), 0.69, 1)]
