@@ -28,6 +28,8 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="stormgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,6 +44,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+    """Inner join on `key`, where right has one row per key, and in `weight` the number of left's rows with it.
+
+    Keys with over 1 / most of all weight, of which there are `most` at most, are
+    broadcast: left's rows with such a key stay where they are, however many.
+    The others are joined by shuffle. Both sides should be written tables.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * F.lit(most) > F.lit(total)
+    hot, other = F.broadcast(right.where(is_hot)), right.where(~is_hot)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(other, key))
+
+
 # ---------------------------------------------------------------- words
 
 #: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z were lower-cased: every other ASCII byte.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, NULL_ID, bloom, bloom_has, components, maybe_in, mixed, powers, slices, window_hashes, word_hashes, written
+from .common import ALNUM_SEP, NULL_ID, bloom, bloom_has, components, join_hot, maybe_in, mixed, powers, slices, window_hashes, word_hashes, written
 
 #: Words of a shingle, least similarity, trees of the forest, hashes of a full path, recall to reach at the threshold, documents of a block.
 SHINGLE, THRESHOLD, TREES, DEEPEST, RECALL, BLOCK = 5, 0.8, 40, 16, 0.999, 256
@@ -154,9 +154,9 @@ def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     """
     depth = depth_for(threshold, trees, recall)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = rows.select("id", F.unhex(F.md5("text")).alias("digest"))
-    classes = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
-    members = written(keyed.join(classes, "digest").select("id", "rep", "n_copies"), "members")
+    keyed = written(rows.select("id", F.unhex(F.md5("text")).alias("digest")), "digests")
+    classes = written(keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "copies")
+    members = written(join_hot(keyed, classes, "digest", "n_copies").select("id", "rep", "n_copies"), "members")
 
     copies = members.where("id <> rep").select("id").distinct()
     others = bloom(copies, "id", 1 << 25)
