@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE_SEP, bloom, buffers, maybe_in, slices, window_hashes, word_hashes, word_spans, written
+from .common import NULL_ID, SPACE_SEP, bloom, buffers, join_hot, maybe_in, slices, span_hashes, window_hashes, word_hashes, word_spans, written
 
 #: Words of a window.
 WINDOW = 50
@@ -37,52 +37,56 @@ def _anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, place int, hash long")
 
 
+def _near_anchors(n: int, places: list[int]) -> np.ndarray:
+    """Which of n windows hold one of the anchors."""
+    mark = np.zeros(n + 1, np.int64)
+    p = np.array(places, np.int64)
+    np.add.at(mark, np.minimum(np.maximum(p - PERIOD + 1, 0), n), 1)
+    np.add.at(mark, np.minimum(p + 1, n), -1)
+    return np.flatnonzero(np.cumsum(mark[:-1]))
+
+
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """id, place, hash of the windows that hold one of the row's shared anchors (column `places`)."""
+    """id, hash of the windows that hold one of the row's shared anchors (column `places`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             h, first = word_hashes(s.column("text"), SPACE_SEP, False)
             w = window_hashes(h, window)
-            ids, out, places = s.column("id").to_numpy(), [], []
+            ids, out = s.column("id").to_numpy(), []
             for k, shared in enumerate(s.column("places").to_pylist()):
                 n = int(first[k + 1] - first[k]) - window + 1
-                if n <= 0:
-                    continue
-                mark = np.zeros(n + 1, np.int64)
-                p = np.array(shared, np.int64)
-                np.add.at(mark, np.minimum(np.maximum(p - PERIOD + 1, 0), n), 1)
-                np.add.at(mark, np.minimum(p + 1, n), -1)
-                at = np.flatnonzero(np.cumsum(mark[:-1]))
-                places.append(at)
-                out.append((ids[k], len(at), w[first[k] + at]))
+                if n > 0:
+                    found = np.unique(w[first[k] + _near_anchors(n, shared)])
+                    out.append((ids[k], len(found), found))
             if out:
-                yield pa.record_batch([pa.array(np.repeat([x[0] for x in out], [x[1] for x in out]).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate([x[2] for x in out]).view(np.int64))], ["id", "place", "hash"])
+                yield pa.record_batch([pa.array(np.repeat([x[0] for x in out], [x[1] for x in out]).astype(np.int64)), pa.array(np.concatenate([x[2] for x in out]).view(np.int64))], ["id", "hash"])
 
-    return rows.mapInArrow(run, "id long, place int, hash long")
+    return rows.mapInArrow(run, "id long, hash long")
 
 
 def _digests(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, n_removed, kept text, from id, text, flagged window places (null: none) and whether all goes."""
+    """doc_id, n_words, n_removed, kept text, from id, text, hashes of the windows that go (null: none) and whether all goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches):
             raw, at = buffers(s.column("text"))
             starts, stops, first = word_spans(raw, at, SPACE_SEP)
             data = raw.tobytes()
+            flagged = s.column("hashes").to_pylist()
+            w = window_hashes(span_hashes(raw, starts, stops), window) if any(flagged) else None
             n_, gone_, sha_ = [], [], []
-            for k, (places, whole) in enumerate(zip(s.column("places").to_pylist(), s.column("whole").to_pylist(), strict=True)):
+            for k, (hashes, whole) in enumerate(zip(flagged, s.column("whole").to_pylist(), strict=True)):
                 n = int(first[k + 1] - first[k])
+                keep = None
                 if whole and n >= window:
                     keep = np.zeros(0, np.int64)
-                elif places:
+                elif hashes and n >= window:
                     mark = np.zeros(n + 1, np.int64)
-                    p = np.array(places, np.int64)
+                    p = np.flatnonzero(np.isin(w[first[k] : first[k] + n - window + 1], np.array(hashes, np.int64).view(np.uint64)))
                     np.add.at(mark, p, 1)
-                    np.add.at(mark, np.minimum(p + window, n), -1)
+                    np.add.at(mark, p + window, -1)
                     keep = np.flatnonzero(np.cumsum(mark[:-1]) == 0) + first[k]
-                else:
-                    keep = None
                 text = b" ".join(data[at[k] : at[k + 1]].split()) if keep is None else b" ".join(data[a:b] for a, b in zip(starts[keep].tolist(), stops[keep].tolist(), strict=True))
                 n_.append(n)
                 gone_.append(0 if keep is None else n - len(keep))
@@ -103,31 +107,37 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     around them, whose hashes settle who has a window first. Hashes have 64 bits.
 
     A document whose whole text a smaller id has too needs no windows: all its
-    words go. Null ids count as the largest id; null and empty texts have no
-    words; repeated rows, which share id and text, do not remove one another's words;
-    other columns are ignored.
+    words go. A passage that very many documents share has its hash broadcast, so
+    that its places stay spread over the tasks (join_hot).
+
+    Null ids count as the largest id; null and empty texts have no words; rows
+    that share an id, repeated or with different texts, do not remove one
+    another's words; other columns are ignored.
     """
     if window < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words at least")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = written(_anchors(rows, window, window - PERIOD + 1), "anchors")
-    shared = anchors.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash")
-    places = anchors.join(shared, "hash").groupBy("id").agg(F.collect_set("place").alias("places"))
+    low_high = (F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    shared = written(anchors.groupBy("hash").agg(*low_high).where("low < high").select("hash", "n"), "shared")
+    places = join_hot(anchors, shared, "hash", "n").groupBy("id").agg(F.collect_set("place").alias("places"))
 
-    keyed = rows.select("id", F.unhex(F.md5("text")).alias("digest")).where(F.length("text") > 0)
-    firsts = keyed.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    whole = written(keyed.join(firsts, "digest").where("id > low").select("id", "digest").distinct(), "whole")  # no windows are needed of these
+    keyed = written(rows.where(F.length("text") > 0).select("id", F.unhex(F.md5("text")).alias("digest")), "digests")
+    firsts = written(keyed.groupBy("digest").agg(*low_high).where("low < high"), "copies")
+    whole = written(join_hot(keyed, firsts, "digest", "n").where("id > low").select("id", "digest").distinct(), "whole")
+    several = keyed.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("id")
+    done = whole.select("id").distinct().join(several, "id", "left_anti")  # no windows are needed of these
 
-    places = written(places.join(whole.groupBy("id").agg(F.count("*")).select("id"), "id", "left_anti"), "places")
+    places = written(places.join(done, "id", "left_anti"), "places")
     some = bloom(places, "id", 1 << 25)
     windows = written(_windows(maybe_in(rows, "id", some).join(places, "id"), window), "windows")
-    first = windows.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
-    flagged = windows.join(first, "hash").where("id > low").groupBy("id").agg(F.collect_set("place").alias("places"))
+    first = written(windows.groupBy("hash").agg(*low_high).where("low < high").select("hash", "low", "n"), "firsts")
+    flagged = join_hot(windows, first, "hash", "n").where("id > low").groupBy("id").agg(F.collect_set("hash").alias("hashes"))
     flagged = written(flagged, "flagged")
 
     touched = bloom(flagged.select("id").unionByName(whole.select("id")), "id", 1 << 25)
     digest = F.unhex(F.md5("text"))
     near = maybe_in(rows, "id", touched).withColumn("digest", digest)
-    near = near.join(whole.withColumn("whole", F.lit(True)), ["id", "digest"], "left").join(flagged, "id", "left").select("id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole"))
-    rest = maybe_in(rows, "id", touched, negate=True).select("id", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("whole"))
+    near = near.join(whole.withColumn("whole", F.lit(True)), ["id", "digest"], "left").join(flagged, "id", "left").select("id", "text", "hashes", F.coalesce("whole", F.lit(False)).alias("whole"))
+    rest = maybe_in(rows, "id", touched, negate=True).select("id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(False).alias("whole"))
     return _digests(near, window).unionByName(_digests(rest, window))
