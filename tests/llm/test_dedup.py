@@ -57,6 +57,7 @@ def test_substring_dedup_matches_brute_force(spark, rows):
     extra = [(300 + k, " ".join(rng.choice("ab") for _ in range(rng.randrange(45, 75)))) for k in range(6)]
     passage = prose(rng, 50)
     extra += [(310 + k, prose(rng, k) + " " + passage + " " + prose(rng, 3 * k)) for k in range(35)] + [(350, " ".join(passage.split()[:49])), (351, "x " * 200), (352, "x " * 120)]
+    extra += [(360, prose(rng, 60)), (360, extra[6][1]), (361, extra[6][1]), (361, prose(rng, 9) + " " + passage)]  # one id, different texts
     got = [tuple(r) for r in substring_dedup.substring_dedup(table(spark, rows + extra)).collect()]
     assert sorted(got, key=str) == brute_substring(rows + extra)
     assert substring_dedup.substring_dedup(table(spark, [])).count() == 0

@@ -43,24 +43,65 @@ def test_license_base_matches_brute_force(spark, rows):
 
 
 def brute_labels(text):
-    """Rules one by one with Python's regexes, then suppression by pairs."""
+    """Rules one by one with Python's regexes; then the best detection stands, those that overlap it go, and so on."""
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     norm = " " + " ".join(words) + " "
     found = []
-    for r in licenses.RULES:
+    for k, r in enumerate(licenses.RULES):
         if r["gate"] in words:
             for m in re.finditer(f"(?<= )(?:{r['pattern']})(?= )", norm):
-                found.append((norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" "), r["priority"], r["label"]))
-    keep = {x[3] for x in found if not any((y[0] <= x[0] and y[1] >= x[1]) and ((y[0], y[1]) != (x[0], x[1]) or y[2] > x[2] or (y[2] == x[2] and y[3] < x[3])) for y in found)}
+                found.append((range(norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" ")), r["priority"], k, r["label"]))
+    keep = set()
+    while found:
+        best = max(found, key=lambda x: (x[1], len(x[0]), -x[2], -x[0].start))
+        keep.add(best[3])
+        found = [x for x in found if not set(x[0]) & set(best[0])]
     return ",".join(sorted(keep | set(filter(None, brute_base(text)[4].split(",")))))
 
 
+def spelt_out(nodes):
+    """Texts that a parsed pattern matches: every alternative, with and without its optional parts."""
+    out = [""]
+    for op, arg in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "SUBPATTERN":
+            more = spelt_out(arg[3])
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in spelt_out(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, inner = arg
+            more = [x * max(low, 1) for x in spelt_out(inner)] + ([""] if low == 0 else [])
+        elif name == "IN":
+            more = [{"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "1"}[str(o)](v) for o, v in arg]
+        elif name == "ANY":
+            more = ["x"]
+        else:
+            raise AssertionError(name)
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_every_rule_holds_its_gate():
+    for r in licenses.RULES:
+        for text in spelt_out(re._parser.parse(r["pattern"])):
+            assert r["gate"] in text.split(), (r["pattern"], text)
+
+
 def test_license_rules_and_suppression_match_brute_force(spark):
     rng = random.Random(2)
     docs = [(k, t) for k, t in enumerate(LICENSED)] + [(50 + k, " ".join(rng.choice(LICENSED[:4] + LICENSED[8:11] + ["version", "2.0", "GNU", "public", "license", "under the terms of the"]) for _ in range(8))) for k in range(40)]
     got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(table(spark, docs)).collect()}
     assert got == {k: brute_labels(t) for k, t in docs}
-    assert got[1] == "cc-by,cc-by-nc-4.0" and len(licenses.RULES) > 300
+    assert got[1] == "cc-by,cc-by-nc-4.0" and len(licenses.RULES) > 400
+    assert licenses.license_scan(table(spark, docs).limit(0)).count() == 0
+
+
+def test_license_priority_decides_overlaps(spark):
+    texts = {1: "without warranty of any kind express or implied warranties of merchantability", 2: "under the FreeBSD license", 3: "free for noncommercial use only", 4: "in the GNU General Public License version 2 only", 5: "released under the GNU General Public License version 2.0"}
+    got = {r["doc_id"]: (r["labels"], r["n_detections"]) for r in licenses.license_scan(table(spark, list(texts.items()))).collect()}
+    assert got == {1: ("warranty-disclaimer", 1), 2: ("bsd-2-clause", 1), 3: ("non-commercial", 1), 4: ("gpl,gpl-2", 1), 5: ("gpl,gpl-2", 1)}
 
 
 def test_sharding_law_and_places(spark, rows):
@@ -198,6 +239,35 @@ def test_toxicity_grammar_judges_clauses():
     assert best("i will kill you") > 0
 
 
+def test_composed_grammar_equals_the_machines_one_after_another():
+    rng = random.Random(8)
+    for _ in range(3000):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(1, 15))]
+        state, total, states, weight = (0,) * 5, 0.0, [0] * 5, 0.0
+        for x in symbols:
+            state, w = toxicity.GRAMMAR[state, x]
+            total += w
+        for k, machine in enumerate(toxicity.MACHINES):  # each machine rewrites the whole sequence
+            out = []
+            for x in symbols:
+                states[k], y, w = machine.get((states[k], x), (states[k], x, 0.0))
+                out.append(y)
+                weight += w
+            symbols = out
+        assert abs(total - weight) < 1e-9 and state == tuple(states)
+
+
+def test_toxicity_reads_whole_clauses():
+    m = toxicity.Matcher({"idiot": 4.0})
+    one = lambda t: list(m.clauses(t))
+    for n in (10, 3000, 30_000):
+        filler = "blah " * n
+        assert one(f"she said {filler}idiot") == one("she said blah idiot") == [0.4]
+        assert one(f"idiot {filler}you") == one("idiot blah you") == [5.0]
+        assert one(f"kill {filler}them.") == one("kill them") == [4.0]
+    assert one("kill the process") == [] and one("they are not a idiot") == [0.4] and one("x" * 50_000 + "idiot") == []
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(table(spark, [(1, "you idiot"), (2, "fine day")]), lab).toPandas().set_index("doc_id")
@@ -214,13 +284,17 @@ def tongue(rng, lang, n):
 def test_language_on_held_out_and_switched_texts(spark):
     rng = random.Random(5)
     docs = [(k, tongue(rng, lang, 30), lang) for k in range(300) for lang in [rng.choice("aa bb cc".split())]]
-    docs += [(400, None, "aa"), (401, "12 34 !", "bb"), (402, "", None), (403, tongue(rng, "aa", 40) + " " + tongue(rng, "bb", 20), None), (None, tongue(rng, "cc", 5), None), (404, tongue(rng, "bb", 9000), None)]
+    docs += [(405, "½ ² ⅷ x²"[:5], "aa"), (406, "".join(tongue(rng, "cc", 400).split()), None), (400, None, "aa"), (401, "12 34 !", "bb"), (402, "", None), (403, tongue(rng, "aa", 40) + " " + tongue(rng, "bb", 20), None), (None, tongue(rng, "cc", 5), None), (404, tongue(rng, "bb", 9000), None)]
     got = language.language(table(spark, docs)).toPandas()
     assert len(got) == len(docs)
     by = got.dropna(subset=["doc_id"]).set_index("doc_id")
     held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 3 == 1]
     assert (by.loc[held, "lang_pred"] == [docs[k][2] for k in held]).mean() > 0.98 and by.loc[held, "held_out"].all()
-    assert list(by.loc[[400, 401, 402], "lang_pred"]) == ["und"] * 3
+    assert list(by.loc[[400, 401, 402, 405], "lang_pred"]) == ["und"] * 4
+    assert by.loc[406, "lang_pred"] == "cc"  # one word of thousands of letters
+    spans = [tuple(x) for x in by.loc[403, "spans"]]
+    assert spans[0][0] == 0 and sum(n for _, n, _ in spans) == 60 and max(spans, key=lambda x: x[1])[2] == "aa" and spans[-1][2] == "bb"
+    assert len(by.loc[400, "spans"]) == 0
     assert by.loc[403, "lang_pred"] == "aa" and 0.2 < by.loc[403, "switched"] < 0.45 and by.loc[404, "lang_pred"] == "bb"
     assert got["score"].between(0, 1).all()
 
@@ -231,15 +305,46 @@ def test_posteriors_match_enumeration():
     rng = np.random.default_rng(0)
     emit, move = rng.random((9, 3)).astype(np.float32) + 0.1, rng.random((3, 3)) + 0.1
     first = np.array([0, 4, 4, 9])
-    got = language.posteriors(emit, first, move)
+    got, best = language.posteriors(emit, first, move)
+    assert len(best) == 9
     for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        want = np.zeros(3)
-        total = 0.0
+        want, total, each = np.zeros(3), 0.0, np.zeros((b - a, 3))
         for tags in itertools.product(range(3), repeat=b - a):
             p = np.prod([emit[a + i, t] for i, t in enumerate(tags)]) * np.prod([move[x, y] for x, y in itertools.pairwise(tags)])
             total += p
             want += p * np.bincount(tags, minlength=3) if len(tags) else 0
+            each[np.arange(b - a), list(tags)] += p
         np.testing.assert_allclose(got[d], want / total / max(b - a, 1), atol=1e-5)
+        assert list(best[a:b]) == list(each.argmax(1))
+
+
+def test_likelihood_and_gradient_match_enumeration():
+    """The log-likelihood from all label sequences, and its gradient by differences of that."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    words, labels = ["abc", "abd", "xyzw", "q"], ["aa", "bb", "cc"]
+    values = sorted({f for w in words for f in language.features(w)})
+    tables = [{v: k for k, (t, v) in enumerate(values, 1) if t == n} for n in range(4)]
+    model = language.Crf(labels, tables, np.vstack([np.zeros(3), rng.normal(size=(len(values), 3))]), rng.normal(size=3), rng.normal(size=(3, 3)))
+    x, y = rng.integers(0, 4, (2, 4)), rng.integers(0, 3, (2, 4))
+
+    def likelihood():
+        score = np.array([sum(share * model.weights[row] for row, share in model.rows(w)) for w in words]) + model.bias
+        of = lambda a, tags: sum(score[w, t] for w, t in zip(a, tags, strict=True)) + sum(model.moves[p, q] for p, q in itertools.pairwise(tags))
+        return sum(of(a, b) - np.log(sum(np.exp(of(a, tags)) for tags in itertools.product(range(3), repeat=4))) for a, b in zip(x, y, strict=True))
+
+    value, *gradients = model.objective(words, x, y)
+    assert abs(value - likelihood()) < 1e-8
+    for part, g in zip((model.weights, model.bias, model.moves), gradients, strict=True):
+        for at in np.ndindex(part.shape):
+            if part is model.weights and at[0] == 0:
+                continue
+            part[at] += 1e-5
+            up = likelihood()
+            part[at] -= 2e-5
+            np.testing.assert_allclose(g[at], (up - likelihood()) / 2e-5, atol=1e-4)
+            part[at] += 1e-5
 
 
 def test_language_without_anything_to_learn(spark):
