@@ -234,7 +234,7 @@ def test_rows_without_an_id_are_dropped_by_their_own_text(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([docs[1], docs[3], docs[4]], key=str)
 
 
-def brute_search(rows, asked, k, most):
+def brute_search(rows, asked, k):
     words = [ALNUM.findall((t or "").lower()) for _, t, *_ in rows]
     df = Counter(x for w in words for x in set(w))
     n, mean = len(rows), sum(map(len, words)) / len(rows)
@@ -255,9 +255,9 @@ def test_search_matches_brute_force_over_all_terms(spark, rows):
     asked = [r for r in rows if r[0] is not None and r[0] % 20 == 0] + [(902, "rain river flood"), (903, ""), (904, None)]
     for k in (1, 10):
         got = {}
-        for r in search.search(table(spark, rows), table(spark, asked), k=k, query_terms=None).orderBy("query_id", "rank").collect():
+        for r in search.search(table(spark, rows), table(spark, asked), k=k).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((common.NULL_ID if r["doc_id"] is None else r["doc_id"], r["score"]))
-        want = {q: v for q, v in brute_search(rows, asked, k, None).items() if v}
+        want = {q: v for q, v in brute_search(rows, asked, k).items() if v}
         assert got.keys() == want.keys()
         for q in want:
             assert [round(s, 5) for _, s in got[q]] == [round(s, 5) for _, s in want[q]]
@@ -272,7 +272,7 @@ def test_search_as_registered_matches_brute_force_on_long_queries(spark, rows):
     got = {}
     for r in search.search(table(spark, docs), table(spark, asked)).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((common.NULL_ID if r["doc_id"] is None else r["doc_id"], r["score"]))
-    want = {q: v for q, v in brute_search(docs, asked, search.TOP, None).items() if v}
+    want = {q: v for q, v in brute_search(docs, asked, search.TOP).items() if v}
     assert got.keys() == want.keys() and max(len(set(ALNUM.findall((t or "").lower()))) for _, t, *_ in asked) > 100
     for q in want:
         assert [round(s, 5) for _, s in got[q]] == [round(s, 5) for _, s in want[q]]
@@ -280,21 +280,39 @@ def test_search_as_registered_matches_brute_force_on_long_queries(spark, rows):
         assert set(gap) <= {d for d, _ in got[q]}
 
 
-def test_long_queries_lose_nothing_and_break_ties_by_id():
+def test_shards_lose_nothing_and_break_ties_by_id():
     rng = np.random.default_rng(5)
-    for _ in range(30):
-        n, terms = int(rng.integers(1, 700)), int(rng.integers(1, 60))
+    for _ in range(40):
+        n, terms, k = int(rng.integers(1, 900)), int(rng.integers(1, 60)), int(rng.integers(1, 12))
         held = rng.random((terms, n)) < rng.random((terms, 1)) ** 3
         part = np.round(rng.random((terms, n)) * 2, 1) * held
-        weight, ids = np.round(rng.random(terms) * 5, 2), rng.permutation(n).astype(np.int64) * 3
+        ids = rng.permutation(n).astype(np.int64) * 3
         term, number = np.nonzero(part)
-        long = search.LongQueries(term, number, ids, part[term, number])
-        total = np.round(weight @ part, 6)
-        want = sorted((-s, int(d)) for s, d in zip(total, ids, strict=True) if s > 0)[:10]
-        t = np.arange(len(long.terms))
-        got = [(-s, d) for s, d in long.best(t, weight[long.terms], 10)]
-        np.testing.assert_allclose([s for s, _ in got], [s for s, _ in want], atol=2e-6)
-        assert [d for _, d in got] == [d for _, d in want]
+        index = search.Shard(np.arange(terms), term, number, ids, part[term, number], rng.integers(1, 90, n))
+        asked = [np.flatnonzero(rng.random(terms) < 0.6) for _ in range(5)]
+        weight = [np.round(rng.random(len(t)) * 5, 2) for t in asked]
+        total = [np.round(w @ part[t], 6) for t, w in zip(asked, weight, strict=True)]
+        floor = np.array([0.0 if rng.random() < 0.4 else np.sort(x)[-min(k, n)] for x in total])
+        q, d, s = index.long(np.concatenate(asked), np.repeat(np.arange(5), [len(t) for t in asked]), np.concatenate(weight), floor, k)
+        for j in range(5):
+            want = sorted((-x, int(i)) for x, i in zip(total[j], ids, strict=True) if x > 0 and x >= floor[j] - 1e-9)[:k]
+            short = index.short(asked[j], weight[j], k, floor[j]) if len(asked[j]) <= 16 else [(-x, i) for x, i in want]
+            for got in ([(-x, i) for x, i in zip(s[q == j], d[q == j], strict=True)], [(-x, i) for x, i in short if x >= floor[j] - 1e-6]):
+                np.testing.assert_allclose([x for x, _ in got], [x for x, _ in want], atol=3e-6)
+                assert [i for _, i in got] == [i for _, i in want]
+
+
+def test_search_level_by_level_keeps_ties_copies_and_rows_of_one_id(spark, rows, monkeypatch):
+    """Levels and blocks of a few rows only; many equal texts; ids that several texts have."""
+    for name, value in (("FIRST_LEVEL", 9), ("LEVEL_FACTOR", 3), ("ASKED_TERMS", 400)):
+        monkeypatch.setattr(search, name, value)
+    docs = rows + [(500 + k, rows[20][1]) for k in range(30)] + [(7, "rain river storm"), (7, "flood storm"), (600, "rain river flood"), (601, "river rain flood")]
+    asked = [r for r in rows if r[0] is not None and r[0] % 20 == 0] + [(902, "rain river flood"), (903, rows[20][1]), (904, None), (905, "zzz")]
+    got = {}
+    for r in search.search(table(spark, docs).repartition(3), table(spark, asked)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((common.NULL_ID if r["doc_id"] is None else r["doc_id"], round(r["score"], 4)))
+    want = {q: [(d, round(s, 4)) for d, s in v] for q, v in brute_search(docs, asked, search.TOP).items() if v}
+    assert got == want
 
 
 def test_wand_skips_but_loses_nothing():
