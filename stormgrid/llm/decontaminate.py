@@ -21,6 +21,8 @@ STEPS = 32
 LONG_WORD = 12
 #: Candidate places of one item this near to each other are verified together.
 NEAR = 16
+#: Characters of the pieces that an item is cut into: of more pieces than edits, the rest is untouched.
+PIECE = 4
 #: Bytes of benchmark text that one scan takes; a larger benchmark is taken in several scans.
 SCAN_BYTES = 8 << 20
 
@@ -137,14 +139,22 @@ def edit_distance_within(item: str, region: str) -> int:
     return best
 
 
+def grams(codes: np.ndarray) -> np.ndarray:
+    """A hash of the PIECE characters from each place on; of fewer at the end."""
+    padded = np.concatenate((codes.astype(np.uint64), np.zeros(PIECE - 1, np.uint64)))
+    return sum((padded[k : k + len(codes)] * np.uint64(1_000_003) ** np.uint64(k) for k in range(PIECE)), np.zeros(len(codes), np.uint64))
+
+
 class Items:
-    """Benchmark items ready for lookup: keys of all their windows, and their texts."""
+    """Benchmark items ready for lookup: keys of all their windows, their texts and pieces."""
 
     def __init__(self, ids: list[int], texts: list[str], tables: int):
         codes, first = normalised(pc.utf8_lower(pa.array(texts, pa.string()).fill_null("")).to_pylist())
         kind, starts = kinds(codes), window_starts(codes)
         self.ids, self.tables = ids, tables
         self.texts = [_text(codes[a : b - 1]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        whole = grams(codes)
+        self.pieces = [whole[a : a + len(t) - PIECE + 1 : PIECE] for a, t in zip(first[:-1].tolist(), self.texts, strict=True)]
         owner = np.searchsorted(first, starts, side="right") - 1
         steps = np.array([steps_for(len(t)) for t in self.texts], np.int64)[owner]
         self.steps = sorted(set(steps.tolist()))
@@ -160,6 +170,14 @@ class Items:
             gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.found[n] = keys[order], owner[which].astype(np.int64), (starts[which] - first[owner[which]]).astype(np.int64), gate
 
+    def possible(self, k: int, at: int, most: int, text: np.ndarray) -> bool:
+        """Whether enough of the item's pieces are near their places, if it begins about `at`, for at most `most` edits: each spoils one piece. text: grams of the slice."""
+        pieces = self.pieces[k]
+        if len(pieces) <= most:
+            return True
+        near = (at - most + PIECE * np.arange(len(pieces)))[:, None] + np.arange(2 * most + NEAR + 1)
+        return int((text[np.clip(near, 0, len(text) - 1)] == pieces[:, None]).any(1).sum()) >= len(pieces) - most
+
     def candidates(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows of text, item, and where the item would begin if nothing before the window that led there were edited, in steps of NEAR characters."""
         kind, starts = kinds(codes), window_starts(codes)
@@ -187,7 +205,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     of some passage of the document, in character edits. Windows at each word of
     both sides are embedded by CGK walks over characters; where the steps that a
     table samples agree, the exact edit distance around the aligned place
-    decides. There are as many tables as find RECALL of the passages of LENGTH
+    decides, unless too few of the item's pieces are there for it to be small. There are as many tables as find RECALL of the passages of LENGTH
     characters at the largest distance; less damaged and longer ones are found
     more often, items under 1.5 STEPS characters less often, and items of a part
     of a word only where a word begins with it.
@@ -220,11 +238,12 @@ def _scan(rows: DataFrame, ids: list[int], texts: list[str], edits: float) -> Da
             if not items.steps or not len(codes):
                 continue
             best: dict[tuple[int, int], int] = {}
+            text = grams(codes)
             for d, k, at in items.candidates(codes, first).tolist():
                 item = items.texts[k]
                 most = int(edits * len(item))
                 a, b = max(int(first[d]), at - most), min(int(first[d + 1]) - 1, at + NEAR + len(item) + most)
-                if best.get((d, k), 1) > 0 and (distance := edit_distance_within(item, _text(codes[a:b]))) <= most:
+                if best.get((d, k), 1) > 0 and items.possible(k, at, most, text) and (distance := edit_distance_within(item, _text(codes[a:b]))) <= most:
                     best[d, k] = min(best.get((d, k), distance), distance)
             if best:
                 own = s.column("id").to_numpy()
