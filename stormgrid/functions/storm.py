@@ -24,8 +24,14 @@ def trimmed(series: Column, wet: float = WET) -> Column:
 
 
 def cumulative(series: Column) -> Column:
-    """Running sums."""
-    return F.transform(F.sequence(F.lit(1), F.size(series)), lambda k: _sum(F.slice(series, F.lit(1), k)))
+    """Running sums, each from the one before."""
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["s"] + F.coalesce(x, F.lit(0.0))
+        return F.struct(s.alias("s"), F.concat(acc["a"], F.array(s)).alias("a"))
+
+    return F.when(series.isNotNull(), F.aggregate(series, start, step, lambda acc: acc["a"]))
 
 
 def peak_index(series: Column) -> Column:
@@ -56,7 +62,8 @@ def time_std(series: Column) -> Column:
 def d50(series: Column) -> Column:
     """Percent of the duration at which half the total has fallen, interpolated between hours."""
     n = F.size(series)
-    share = F.transform(cumulative(series), lambda c: c / F.nullif(_sum(series), F.lit(0.0)))
+    sums = cumulative(series)
+    share = F.transform(sums, lambda c: c / F.nullif(F.element_at(sums, -1), F.lit(0.0)))
     k = F.array_min(F.filter(F.transform(share, lambda c, i: F.when(c >= 0.5, i)), lambda i: i.isNotNull()))
     step = F.when(n > 1, F.lit(100.0) / F.greatest(n - 1, F.lit(1))).otherwise(100.0)
     now = _at(share, k + 1)
@@ -108,7 +115,7 @@ def n_peaks(series: Column, height: float = PEAK_HEIGHT, distance: int = PEAK_DI
 
 def modality(peaks: Column) -> Column:
     """Label of a number of peaks."""
-    return F.when(peaks == 0, "none").when(peaks == 1, "unimodal").when(peaks == 2, "bimodal").otherwise("multimodal")
+    return F.when(peaks == 0, "no clear peak").when(peaks == 1, "unimodal").when(peaks == 2, "bimodal").otherwise("multimodal")
 
 
 def with_metrics(df: DataFrame, series: str, wet: float = WET) -> DataFrame:
@@ -127,10 +134,11 @@ def metrics(series: Column, t: Column) -> dict[str, Column]:
         "length_of_active_rain": F.size(t),
         "total_acc": F.coalesce(total, F.lit(0.0)),
         "max_intensity": peak,
-        **{f"max_{h}h": rolling_max(t, h) for h in (2, 3, 6, 12)},
+        **{f"max_{h}h": rolling_max(t, h) for h in (2, 3, 6, 12, 16)},
         "peak_position_ratio": k / F.greatest(F.size(t) - 1, F.lit(1)),
         "before_peak": before,
         "after_peak": after,
+        "at_peak": peak,
         "peak_share": peak / total,
         "nonpeak_share": 1 - peak / total,
         "loading_index": (before - after) / total,
@@ -140,4 +148,6 @@ def metrics(series: Column, t: Column) -> dict[str, Column]:
         "dry_ratio": F.size(F.filter(t, lambda x: x == 0)) / F.size(t) * 100,
         "wet_dry_transition_rate": transition_rate(t),
         "max_quartile_index": max_quartile(t),
+        "n_peaks": F.when(dry, 0).otherwise(n_peaks(t)),
+        "modality": modality(F.when(dry, 0).otherwise(n_peaks(t))),
     }

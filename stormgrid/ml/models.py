@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -71,11 +74,81 @@ def clusters(df: DataFrame, features: Sequence[str], k: int, seed: int = 0) -> t
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """By group the 2.5 and 97.5 percentiles of resampled means: Poisson weights per draw, combined map-side; a row per group and draw is all that is shuffled."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_u", F.rand(seed))
-    w = F.when(F.col("_u") < 0.36788, 0).when(F.col("_u") < 0.73576, 1).when(F.col("_u") < 0.91970, 2).when(F.col("_u") < 0.98101, 3).when(F.col("_u") < 0.99634, 4).otherwise(5)
+    w, upto, chance = F.lit(20), [], math.exp(-1)
+    for k in range(20):  # more than 19 has a chance under 1e-18
+        upto.append((upto[-1] if upto else 0.0) + chance)
+        chance /= k + 1
+    for k in reversed(range(20)):
+        w = F.when(F.col("_u") < upto[k], k).otherwise(w)
     means = rows.groupBy(*keys, "draw").agg((F.sum(F.col("_v") * w) / F.nullif(F.sum(w), F.lit(0))).alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+def split_scores(df: DataFrame, kind: str, features: Sequence[str], target: str, key: str, test: float = 0.2, **options) -> DataFrame:
+    """Scores on rows held out by a hash of the key, of a model fitted on the others."""
+    rows = df.withColumn("_u", F.pmod(F.xxhash64(F.lit("split"), F.col(key)), F.lit(1_000_000)) / 1_000_000)
+    model = regressor(kind, features, target, **options).fit(rows.where(F.col("_u") >= test))
+    return scores(model.transform(rows.where(F.col("_u") < test)), target)
+
+
+def random_search(df: DataFrame, kind: str, features: Sequence[str], target: str, key: str, space: dict[str, Sequence], draws: int = 40, folds: int = 3, seed: int = 0) -> DataFrame:
+    """Out-of-fold scores of settings drawn from a space, each once, with their ranks by r2."""
+    every = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())]
+    drawn = random.Random(seed).sample(every, min(draws, len(every)))
+    rows = [(str(s), *scores(out_of_fold(df, kind, features, target, key, folds, **s), target).select("r2", "mae", "rmse").first()) for s in drawn]
+    return df.sparkSession.createDataFrame(rows, "settings string, r2 double, mae double, rmse double").withColumn("rank", F.rank().over(Window.orderBy(F.desc("r2"))))  # a row per draw
+
+
+def solo_scores(df: DataFrame, kind: str, features: Sequence[str], target: str, key: str, **options) -> list[tuple[str, float]]:
+    """Out-of-fold r2 of each feature alone."""
+    return [(f, scores(out_of_fold(df, kind, [f], target, key, **options), target).first()["r2"]) for f in features]
+
+
+def gain_by_class(df: DataFrame, kind: str, features: Sequence[str], extra: Sequence[str], target: str, key: str, klass: str, folds: int = 3, **options) -> DataFrame:
+    """By class the out-of-fold r2 without and with some more features, of one model each for all classes."""
+    out = None
+    for name, columns in (("r2_without", features), ("r2_with", [*features, *extra])):
+        got = out_of_fold(df, kind, columns, target, key, folds, **options).join(df.select(key, klass), key)
+        one = scores(got, target, [klass]).select(klass, F.col("r2").alias(name))
+        out = one if out is None else out.join(one, klass)
+    return out.withColumn("gain", F.col("r2_with") - F.col("r2_without"))
+
+
+def compare_errors(a: DataFrame, b: DataFrame, key: str, target: str) -> DataFrame:
+    """Row by row which of two models' predictions is nearer, and by how much."""
+    both = a.select(key, target, F.abs(F.col("prediction") - F.col(target)).alias("error_a")).join(b.select(key, F.abs(F.col("prediction") - F.col(target)).alias("error_b")), key)
+    return both.withColumn("gain", F.col("error_a") - F.col("error_b")).withColumn("winner", F.when(F.col("gain") > 0, "b").when(F.col("gain") < 0, "a").otherwise("tie"))
+
+
+def cluster_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = tuple(range(2, 13)), seed: int = 0) -> DataFrame:
+    """Inertia, silhouette, and Calinski and Harabasz's ratio of k-means for each k, on standardised features."""
+    spread = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
+    ready = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_raw"), spread]).fit(df).transform(df).select("_features").persist()
+    n, out = ready.count(), []
+    for k in ks:
+        model = KMeans(featuresCol="_features", predictionCol="cluster", k=k, seed=seed).fit(ready)
+        inertia = model.summary.trainingCost
+        total = float((n - 1) * len(features))  # the squares around the mean of standardised features
+        out.append((k, inertia, ClusteringEvaluator(featuresCol="_features", predictionCol="cluster").evaluate(model.transform(ready)), (total - inertia) / (k - 1) / (inertia / (n - k)) if n > k and inertia else None))
+    ready.unpersist()
+    return df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, ratio double")
+
+
+def prepared(df: DataFrame, target: str, drop: Sequence[str] = (), group: str | None = None, order: str | None = None, positive: bool = False) -> DataFrame:
+    """Rows ready for a model: without NULLs, of positive targets only if asked, without some columns, and with the number of their group by first appearance."""
+    from ..operators.windows import group_number
+
+    out = df.drop(*drop)
+    out = out.where(" and ".join(f"`{c}` is not null" for c in out.columns))
+    out = out.where(F.col(target) > 0) if positive else out
+    return group_number(out, [group], order) if group and order else out
+
+
+def save(model, path: str) -> None:
+    """A fitted pipeline, written over an earlier one."""
+    model.write().overwrite().save(path)
+
+
 def group_ranks(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     """Rank table of candidate settings."""
     return df.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(by))))

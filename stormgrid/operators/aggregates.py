@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import running_total
+from .joins import running_total, settled
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -42,7 +42,8 @@ def group_share(df: DataFrame, outer: Sequence[str], inner: Sequence[str]) -> Da
 def counts_over_domain(df: DataFrame, key: str, domain: DataFrame) -> DataFrame:
     """n and percent of every value of a domain, 0 for those without a row. Rows outside the domain do not count."""
     n = domain.join(df.groupBy(key).agg(F.count("*").alias("n")), key, "left").na.fill(0, ["n"])
-    return n.withColumn("percent", F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy()), F.lit(0)) * 100)
+    total = n.agg(F.sum("n").alias("_total"))  # one row
+    return n.join(F.broadcast(total)).withColumn("percent", F.col("n") / F.nullif(F.col("_total"), F.lit(0)) * 100).drop("_total")
 
 
 def mean_of_means(df: DataFrame, region: str, year: str, value: str) -> DataFrame:
@@ -91,9 +92,10 @@ def with_p_value(df: DataFrame, t: str = "t", dof: str = "df", out: str = "p") -
 
 def trend(df: DataFrame, keys: Sequence[str], year: str, value: str, least: int = 5, baseline_years: int = 20) -> DataFrame:
     """Linear trend of yearly values by group: slope, r2, n, baseline (mean of the years up to the first plus `baseline_years`), percent change over the period. Fewer than `least` points: no row."""
-    first = df.groupBy(*keys).agg(F.min(year).alias("_min"), F.max(year).alias("_max"))
-    rows = df.join(first, list(keys))
-    out = rows.groupBy(*keys).agg(*moments(F.col(year).cast("double"), F.col(value)), F.avg(F.when(F.col(year) <= F.col("_min") + baseline_years, F.col(value))).alias("baseline"), F.max("_min").alias("_min"), F.max("_max").alias("_max")).where(F.col("n") >= least)
+    by_year = F.collect_list(F.struct(F.col(year).alias("y"), F.col(value).alias("v")))  # a value per year: a short list
+    out = df.groupBy(*keys).agg(*moments(F.col(year).cast("double"), F.col(value)), by_year.alias("_years"), F.min(year).alias("_min"), F.max(year).alias("_max")).where(F.col("n") >= least)
+    early = F.filter("_years", lambda p: (p["y"] <= F.col("_min") + baseline_years) & p["v"].isNotNull())
+    out = out.withColumn("baseline", F.aggregate(early, F.lit(0.0), lambda s, p: s + p["v"]) / F.nullif(F.size(early), F.lit(0)))
     return out.withColumn("pct_change", F.col("slope") * (F.col("_max") - F.col("_min")) / F.nullif(F.col("baseline"), F.lit(0.0)) * 100).select(*keys, "slope", "intercept", "r2", "n", "baseline", "pct_change")
 
 
@@ -105,10 +107,23 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation and n by group, over rows where both are there."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = average_rank(average_rank(rows, keys, x, "_rx"), keys, y, "_ry")
-    return rows.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    """Rank correlation and n by group, over rows where both are there.
+
+    Rows are counted by pair of values once; ranks come from the margins of those
+    counts, and the correlation from weighted sums of centred ranks. No row of df
+    is joined. Rows with a NULL key go.
+    """
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in (*keys, x, y)))
+    pairs = settled(rows.groupBy(*keys, x, y).agg(F.count("*").alias("_c")))
+    sizes = pairs.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    both = pairs.join(sizes, list(keys)) if keys else pairs.join(F.broadcast(sizes))
+    for c, out in ((x, "_rx"), (y, "_ry")):
+        margin = pairs.groupBy(*keys, c).agg(F.sum("_c").alias("_m"))
+        ranks = running_total(margin, keys, [c], "_m", "_b").select(*keys, c, (F.col("_b") + (F.col("_m") + 1) / 2).alias(out))
+        both = both.join(ranks, [*keys, c]).withColumn(out, F.col(out) - (F.col("n") + 1) / 2)
+    sums = {name: F.sum(F.col("_c") * F.col(a) * F.col(b)) for name, a, b in (("xx", "_rx", "_rx"), ("yy", "_ry", "_ry"), ("xy", "_rx", "_ry"))}
+    out = both.groupBy(*keys).agg(F.max("n").alias("n"), *[c.alias(name) for name, c in sums.items()])
+    return out.select(*keys, (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("rho"), "n")
 
 
 def two_regressor_r2(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, least: int = 20) -> DataFrame:
@@ -116,7 +131,8 @@ def two_regressor_r2(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str,
     out = df.where(" and ".join(f"`{c}` is not null" for c in (y, a, b))).groupBy(*keys).agg(F.corr(y, a).alias("ya"), F.corr(y, b).alias("yb"), F.corr(a, b).alias("ab"), F.count("*").alias("n"))
     both = (F.col("ya") * F.col("ya") + F.col("yb") * F.col("yb") - 2 * F.col("ya") * F.col("yb") * F.col("ab")) / F.nullif(1 - F.col("ab") * F.col("ab"), F.lit(0.0))
     some = F.col("n") >= least
-    return out.select(*keys, "n", F.when(some, F.col("ya") * F.col("ya")).alias("r2_a"), F.when(some, both).alias("r2_ab"), F.when(some, F.greatest(both - F.col("ya") * F.col("ya"), F.lit(0.0))).alias("r2_added"))
+    added = both - F.col("ya") * F.col("ya")
+    return out.select(*keys, "n", F.when(some, F.col("ya") * F.col("ya")).alias("r2_a"), F.when(some, both).alias("r2_ab"), F.when(some & added.isNotNull(), F.greatest(added, F.lit(0.0))).alias("r2_added"))
 
 
 def strongest(df: DataFrame, keys: Sequence[str], candidates: Sequence[str], y: str) -> DataFrame:
@@ -169,5 +185,5 @@ def diff_report(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Se
 def enrichment(df: DataFrame, bin_: str, inside: Column) -> DataFrame:
     """By bin: its share among rows inside a subset over its share among all rows."""
     n = df.groupBy(bin_).agg(F.count("*").alias("n"), F.count(F.when(inside, 1)).alias("k"))
-    all_ = Window.partitionBy()
-    return n.select(bin_, "n", "k", ((F.col("k") / F.sum("k").over(all_)) / (F.col("n") / F.sum("n").over(all_))).alias("enrichment"))
+    total = n.agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))  # one row
+    return n.join(F.broadcast(total)).select(bin_, "n", "k", ((F.col("k") / F.nullif(F.col("_k"), F.lit(0))) / (F.col("n") / F.col("_n"))).alias("enrichment"))

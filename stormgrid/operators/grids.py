@@ -13,29 +13,35 @@ from ..functions.geometry import cell
 def peak_cell(cells: DataFrame, keys: Sequence[str], value: str = "value", floor: float = 0.0, order: Sequence[str] = ("t", "y", "x")) -> DataFrame:
     """By event the cell with the largest value, the first in (t, y, x) of equals, and how many tie. Values up to `floor` make found = false with NULLs."""
     order = [c for c in order if c in cells.columns]
-    top = cells.groupBy(*keys).agg(F.max(F.struct(F.col(value).alias("v"), *[(-F.col(c)).alias(c) for c in order])).alias("m"))
+    same = cells.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_at"))  # ties are counted where values are combined
+    top = same.groupBy(*keys).agg(F.max(F.struct(F.col(value).alias("v"), "_n", "_at")).alias("m"))
     found = F.coalesce(F.col("m.v") > floor, F.lit(False))
-    top = top.select(*keys, found.alias("found"), F.when(found, F.col("m.v")).alias("peak_value"), *[F.when(found, -F.col(f"m.{c}")).alias(f"peak_{c}") for c in order])
-    ties = cells.join(top.select(*keys, "peak_value"), list(keys)).where(F.col(value) == F.col("peak_value")).groupBy(*keys).agg(F.count("*").alias("n_ties"))
-    return top.join(ties, list(keys), "left").na.fill(0, ["n_ties"])
+    return top.select(*keys, found.alias("found"), F.when(found, F.col("m.v")).alias("peak_value"), *[F.when(found, F.col(f"m._at.{c}")).alias(f"peak_{c}") for c in order], F.when(found, F.col("m._n")).otherwise(0).alias("n_ties"))
 
 
-def neighbourhood(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", reach: int = 1) -> DataFrame:
-    """By event: total, total without the peak, and number of cells in the square around the peak, clipped to the grid."""
+def neighbourhood(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", reach: int = 1, extra: Sequence[str] = ()) -> DataFrame:
+    """By event: total, total without the peak, and number of cells in the square around the peak, clipped to the grid; sums of extra columns, such as flooded areas of the cells."""
     near = cells.join(peaks.where("found").select(*keys, "peak_y", "peak_x"), list(keys)).where((F.abs(F.col("y") - F.col("peak_y")) <= reach) & (F.abs(F.col("x") - F.col("peak_x")) <= reach))
     here = (F.col("y") == F.col("peak_y")) & (F.col("x") == F.col("peak_x"))
-    return near.groupBy(*keys).agg(F.sum(value).alias("neighbourhood_total"), F.coalesce(F.sum(F.when(~here, F.col(value))), F.lit(0.0)).alias("neighbourhood_without_peak"), F.count(value).alias("neighbourhood_n"))
+    return near.groupBy(*keys).agg(F.sum(value).alias("neighbourhood_total"), F.coalesce(F.sum(F.when(~here, F.col(value))), F.lit(0.0)).alias("neighbourhood_without_peak"), F.count(value).alias("neighbourhood_n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"neighbourhood_{c}") for c in extra])
 
 
-def footprint(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", levels: Sequence[float] = (0.5, 0.6, 0.8)) -> DataFrame:
-    """By event and level: total, mean and number of cells at that share of the peak or more. One pass, a row per level."""
+def footprint(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", levels: Sequence[float] = (0.5, 0.6, 0.8), extra: Sequence[str] = ()) -> DataFrame:
+    """By event and level: total, mean and number of cells at that share of the peak or more; sums and means of extra columns. One pass, a row per level."""
     rows = cells.join(peaks.where("found").select(*keys, "peak_value"), list(keys))
-    agg = [x for k, s in enumerate(levels) for m in [F.col(value) >= s * F.col("peak_value")] for x in (F.sum(F.when(m, F.col(value))).alias(f"t{k}"), F.count(F.when(m, 1)).alias(f"n{k}"))]
+    agg = [x for k, s in enumerate(levels) for m in [F.col(value) >= s * F.col("peak_value")] for x in (F.sum(F.when(m, F.col(value))).alias(f"t{k}"), F.count(F.when(m, 1)).alias(f"n{k}"), *[y for c in extra for y in (F.coalesce(F.sum(F.when(m, F.col(c))), F.lit(0.0)).alias(f"s{k}_{c}"), F.avg(F.when(m, F.col(c))).alias(f"m{k}_{c}"))])]
     out = rows.groupBy(*keys).agg(*agg)
-    each = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("level"), F.col(f"t{k}").alias("threshold_total"), F.col(f"n{k}").alias("threshold_n"), (F.col(f"t{k}") / F.nullif(F.col(f"n{k}"), F.lit(0))).alias("threshold_mean")) for k, s in enumerate(levels)])).alias("r")
+    each = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("level"), F.col(f"t{k}").alias("threshold_total"), F.col(f"n{k}").alias("threshold_n"), (F.col(f"t{k}") / F.nullif(F.col(f"n{k}"), F.lit(0))).alias("threshold_mean"), *[y for c in extra for y in (F.col(f"s{k}_{c}").alias(f"threshold_{c}"), F.col(f"m{k}_{c}").alias(f"threshold_{c}_mean"))]) for k, s in enumerate(levels)])).alias("r")
     return out.select(*keys, each).select(*keys, "r.*")
 
 
+def antecedent(cells: DataFrame, field: DataFrame, peaks: DataFrame, keys: Sequence[str], antecedent: str, level: float = 0.5, value: str = "value") -> DataFrame:
+    """By event the mean of another field (y, x, antecedent) over the footprint at a level, and its value at the peak cell."""
+    rows = cells.join(peaks.where("found").select(*keys, "peak_value", "peak_y", "peak_x"), list(keys)).where(F.col(value) >= level * F.col("peak_value")).join(field.select("y", "x", antecedent), ["y", "x"])
+    here = (F.col("y") == F.col("peak_y")) & (F.col("x") == F.col("peak_x"))
+    return rows.groupBy(*keys).agg(F.avg(antecedent).alias("antecedent_mean"), F.max(F.when(here, F.col(antecedent))).alias("antecedent_at_peak"))
+
+
 def peak_cluster(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", level: float = 0.5, connectivity: int = 4, rounds: int = 1000) -> DataFrame:
     """Cells at the level or above that are connected with the peak cell, by widening a frontier; each round is one join.
 
@@ -44,25 +50,30 @@ def peak_cluster(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value:
     steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (connectivity == 8 or not dy * dx)]
     mask = cells.join(peaks.where("found").select(*keys, "peak_value", "peak_y", "peak_x"), list(keys)).where(F.col(value) >= level * F.col("peak_value"))
     own = mask.select(*keys, "y", "x", value).persist()
+    held = [own]
     seen = mask.where("y = peak_y and x = peak_x").select(*keys, "y", "x").distinct()
     front = seen
     try:
         for n in range(rounds):
             moves = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("m")
             front = front.select(*keys, moves).select(*keys, "m.*").distinct().join(own, [*keys, "y", "x"], "left_semi").join(seen, [*keys, "y", "x"], "left_anti").persist()
+            held.append(front)
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
             if n % 8 == 7 and cells.sparkSession.conf.get("spark.checkpoint.dir", None):
                 seen, front = seen.checkpoint(), front.checkpoint()
+        else:
+            raise RuntimeError(f"the cluster still grew after {rounds} rounds")
         return own.join(seen, [*keys, "y", "x"])
     finally:
-        own.unpersist()
+        for x in held:
+            x.unpersist()
 
 
 def cluster_summary(cluster: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """By event: total, cells, mean of a cluster."""
-    return cluster.groupBy(*keys).agg(F.sum(value).alias("cluster_total"), F.count("*").alias("cluster_n"), F.avg(value).alias("cluster_mean"))
+    """By event: total, cells, mean of a cluster, and its cells beside the peak."""
+    return cluster.groupBy(*keys).agg(F.sum(value).alias("cluster_total"), F.count("*").alias("cluster_n"), F.avg(value).alias("cluster_mean"), (F.count("*") - 1).alias("cluster_others"))
 
 
 def exceedance(cells: DataFrame, keys: Sequence[str], threshold: float, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -111,7 +122,7 @@ def slope(cells: DataFrame, keys: Sequence[str], value: str = "value", spacing:
 def zonal(points: DataFrame, zone: str, value: str) -> DataFrame:
     """By zone: mean, least, largest and number of valid pixels; share above 1 and below 0 of them."""
     v = F.col(value)
-    return points.where(F.col(zone).isNotNull()).groupBy(zone).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), (F.count(F.when(v > 1, 1)) / F.nullif(F.count(v), F.lit(0)) * 100).alias("pct_over_1"))
+    return points.where(F.col(zone).isNotNull()).groupBy(zone).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), *[(F.count(F.when(m, 1)) / F.nullif(F.count(v), F.lit(0)) * 100).alias(name) for name, m in (("pct_over_1", v > 1), ("pct_under_0", v < 0))])
 
 
 def mosaic(rasters: Sequence[DataFrame], value: str = "value") -> DataFrame:
@@ -123,8 +134,13 @@ def mosaic(rasters: Sequence[DataFrame], value: str = "value") -> DataFrame:
     return both.where(F.col(value).isNotNull()).groupBy("row", "col").agg(F.min_by(value, "_k").alias(value))
 
 
-def soil_columns(df: DataFrame, moisture: str, porosity: str, conductivity: str) -> DataFrame:
-    """Saturation of the top 0.225 m from kg/m2, uptake length and capacity, and remaining deficit."""
-    out = df.withColumn("saturation", F.col(moisture) / 1000 / 0.225 / F.nullif(F.col(porosity), F.lit(0.0)))
-    out = out.withColumn("lu", 0.06375 * F.sqrt(F.col(conductivity))).withColumn("fumax", F.col(porosity) * F.col("lu"))
-    return out.withColumn("deficit", F.greatest(F.lit(0.0), 1 - F.col("saturation"))).withColumn("fu", F.col("deficit") * F.col("fumax"))
+def soil_columns(df: DataFrame, moisture: str, porosity: str, conductivity: str, depth: float | None = 0.225, per_second: bool = False, area: float = 900.0) -> DataFrame:
+    """Saturation from kg/m2 of the top `depth` metres (None: the older form, without it), uptake length and capacity, remaining deficit, and uptake in m3 of a pixel.
+
+    conductivity: cm/h, or m/s with per_second. Without porosity, or where it is 0, all but the uptake length is NULL.
+    """
+    out = df.withColumn("saturation", F.col(moisture) / 1000 / F.lit(depth or 1.0) / F.nullif(F.col(porosity), F.lit(0.0)))
+    length = 4 * (25.4 * 3.6) ** 0.5 * F.sqrt(F.col(conductivity)) if per_second else 0.06375 * F.sqrt(F.col(conductivity))
+    out = out.withColumn("lu", length).withColumn("fumax", F.nullif(F.col(porosity), F.lit(0.0)) * F.col("lu"))
+    out = out.withColumn("deficit", F.when(F.col("saturation").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("saturation"))))
+    return out.withColumn("fu", F.col("deficit") * F.col("fumax")).withColumn("fu_volume", F.col("fu") * F.lit(area))

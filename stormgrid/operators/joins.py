@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,9 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at:
     hit = s.join(p, on, "inner").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("_b")
     if how == "inner":
         return hit
-    rest = spans.join(hit.select(*spans.columns).distinct(), spans.columns, "left_anti")
+    found = hit.select(*[F.col(c).alias(f"_s_{c}") for c in spans.columns]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in spans.columns]
+    rest = spans.join(found, same, "left_anti")
     return hit.unionByName(rest, allowMissingColumns=True)
 
 
@@ -91,14 +94,17 @@ def bind_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str | C
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: for results that another computation, or one after a lost executor, could give differently."""
+    """df, written to the shared folder that spark.checkpoint.dir names and read back: for results that another computation, or one after a lost executor, could give differently."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/parts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_parts(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
@@ -130,6 +136,30 @@ def with_place(df: DataFrame, order: Sequence[str | Column], out: str = "_place"
     return df.join(F.broadcast(offsets.select("_pid", "_low", "_before")), "_pid").withColumn(out, F.col("_mono") - F.col("_low") + F.col("_before")).drop("_pid", "_mono", "_low", "_before")
 
 
+def marked_right(events: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every distinct lookup row with its events, and matched = true where it has any; events without a lookup row go."""
+    return events.withColumn("matched", F.lit(True)).join(lookup.dropDuplicates(), list(keys), "right").na.fill(False, ["matched"])
+
+
+def lookup(df: DataFrame, table: DataFrame, left: str, right: str) -> DataFrame:
+    """df with a dimension table's columns; the keys have different names and the right one is dropped. NULL without a match."""
+    return df.join(table, df[left] == table[right], "left").drop(table[right])
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int = 720) -> DataFrame:
+    """Pairs of half-open spans with equal keys that overlap, once each: both are dealt to buckets of `width`, and a pair is taken in the first bucket that both are in."""
+    cut = lambda df, span, name: df.withColumn(name, F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor((F.col(span[1]) - 1) / width))))
+    x, y = (df.where(F.col(span[1]) > F.col(span[0])) for df, span in ((a, a_span), (b, b_span)))
+    both = cut(x, a_span, "_b").join(cut(y, b_span, "_b"), [*keys, "_b"])
+    both = both.where((F.col(a_span[1]) > F.col(b_span[0])) & (F.col(a_span[0]) < F.col(b_span[1])))
+    return both.where(F.col("_b") == F.floor(F.greatest(a_span[0], b_span[0]) / width)).drop("_b")
+
+
+def contains_hour(df: DataFrame, hour: str, start: str, stop: str, out: str = "time_mismatch") -> DataFrame:
+    """Flags rows whose hour is not in their half-open span; NULLs are mismatches."""
+    return df.withColumn(out, ~F.coalesce((F.col(hour) >= F.col(start)) & (F.col(hour) < F.col(stop)), F.lit(False)))
+
+
 def total_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """An inner join that has to find every key of the left; a missing one raises."""
     missing = left.join(right, list(keys), "left_anti").limit(5).collect()

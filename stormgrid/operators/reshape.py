@@ -30,5 +30,38 @@ def repair_exploded(df: DataFrame, keys: Sequence[str], order: str, value: str,
 
 
 def linear_index(df: DataFrame, nx: int) -> DataFrame:
-    """iy, ix to one number and back."""
+    """iy, ix to one number."""
     return df.withColumn("cell", F.col("iy") * nx + F.col("ix"))
+
+
+def grid_index(df: DataFrame, nx: int) -> DataFrame:
+    """The number of a cell back to iy, ix."""
+    return df.withColumns({"iy": F.floor(F.col("cell") / nx), "ix": F.col("cell") % nx})
+
+
+def transpose(df: DataFrame, label: str, columns: Sequence[str], domain: Sequence, out: str = "column") -> DataFrame:
+    """Columns become rows and the values of `label` (the given ones, in that order) columns. One value per label and column."""
+    long = df.unpivot([label], list(columns), out, "_v")
+    return long.groupBy(out).pivot(label, list(domain)).agg(F.first("_v"))
+
+
+def unpacked(df: DataFrame, struct: str) -> DataFrame:
+    """A struct's fields as columns."""
+    return df.select(*[c for c in df.columns if c != struct], f"{struct}.*")
+
+
+def wide_by_two(df: DataFrame, index: Sequence[str], a: str, b: str, domain: Sequence[tuple], value: str, name: str = "{0}cm_{1}") -> DataFrame:
+    """A column for each given pair of values of a and b, such as depth and variable; sums, NULL without a row."""
+    return df.groupBy(*index).agg(*[F.sum(F.when((F.col(a) == x) & (F.col(b) == y), F.col(value))).alias(name.format(x, y)) for x, y in domain])
+
+
+def ordered(df: DataFrame, column: str, domain: Sequence) -> DataFrame:
+    """Rows sorted by a column in the given order of its values; others last, by value."""
+    return df.orderBy(F.coalesce(*[F.when(F.col(column) == v, k) for k, v in enumerate(domain)], F.lit(len(domain))), column)
+
+
+def renamed(df: DataFrame, names: dict[str, str] | None = None, suffix: str = "", but: Sequence[str] = (), without: Sequence[str] = ()) -> DataFrame:
+    """Columns renamed by a map (absent ones are no error), the others with a suffix but for some, and without those to drop."""
+    out = df.drop(*without).withColumnsRenamed(names or {})
+    keep = {*but, *(names or {}).values()}
+    return out.withColumnsRenamed({c: c + suffix for c in out.columns if c not in keep}) if suffix else out

@@ -33,8 +33,10 @@ def group_number(df: DataFrame, key: Sequence[str], order: str, out: str = "grou
 
 
 def demean(df: DataFrame, keys: Sequence[str], value: str, out: str = "within") -> DataFrame:
-    """The value without its group's mean; by aggregation and join, so a hot group is combined first."""
-    return df.join(df.groupBy(*keys).agg(F.avg(value).alias("_m")), list(keys)).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
+    """The value without its group's mean; by aggregation and join, so a hot group is combined first. NULL keys are a group."""
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_m")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_m")
+    joined = df.join(means, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return joined.withColumn(out, F.col(value) - F.col("_m")).select(*df.columns, *([out] if out not in df.columns else []))
 
 
 def top_k(df: DataFrame, value: str, tie: Sequence[str], k: int) -> DataFrame:
@@ -42,6 +44,35 @@ def top_k(df: DataFrame, value: str, tie: Sequence[str], k: int) -> DataFrame:
     return df.where(F.col(value).isNotNull()).orderBy(F.desc(value), *tie).limit(k)
 
 
+def stride(df: DataFrame, order: Sequence[str], step: int, start: int = 0) -> DataFrame:
+    """Every step-th row of an order."""
+    return with_place(df, order).where((F.col("_place") >= start) & ((F.col("_place") - start) % step == 0)).drop("_place")
+
+
+def head(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+    """The first k rows of an order."""
+    return df.orderBy(*order).limit(k)
+
+
+def tail(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+    """The last k rows of an order."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(k)
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """n rows, or all if there are fewer, of the table or of each class: those whose hash with the seed is least, the same in every run."""
+    if not by:
+        return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def nearest_of(df: DataFrame, target: str, candidates: Sequence[str], out: str = "nearest") -> DataFrame:
+    """Name of the column whose value is nearest to the target; the first of equals, NULL without any."""
+    gaps = F.filter(F.array(*[F.struct(F.abs(F.col(c) - F.col(target)).alias("gap"), F.lit(k).alias("k"), F.lit(c).alias("name")) for k, c in enumerate(candidates)]), lambda x: x["gap"].isNotNull())
+    return df.withColumn(out, F.array_min(gaps)["name"])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of rows with equal keys the first in the order, by a combining aggregation."""
     rest = [c for c in df.columns if c not in keys and c not in order]

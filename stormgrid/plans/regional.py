@@ -144,11 +144,11 @@ def hydro_year_and_day360(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(table(spark, sf_dir, "orders").select("o_orderkey", calendar360.hydro_year(y, m).alias("hydro_year"), calendar360.day360(y, m, d).alias("day360"), calendar360.day_of_year(m, d, True).alias("hydro_day"), calendar360.season(m).alias("season")))
 
 
-@query(f"""WITH p AS (SELECT o_orderpriority, ((month(o_orderdate) - 1) * 30 + least(day(o_orderdate), 30) - 1) * (2 * pi() / 360) AS a FROM orders WHERE month(o_orderdate) IN (1, 2, 3, 12)),
+@query(f"""WITH p AS (SELECT o_orderpriority, ((month(o_orderdate) - 1) * 30 + least(day(o_orderdate), 30) - 1) * (2 * pi() / 360) AS a FROM orders),
 s AS (SELECT o_orderpriority, avg(sin(a)) AS s, avg(cos(a)) AS c, count(*) AS n FROM p GROUP BY 1)
 SELECT o_orderpriority, {r("(atan2(s, c) + CASE WHEN atan2(s, c) < 0 THEN 2 * pi() ELSE 0 END) / (2 * pi()) * 360 + 1", "mean_day")}, {r("sqrt(s * s + c * c)", "concentration")}, n FROM s""")
 def circular_mean_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where(F.month("o_orderdate").isin(1, 2, 3, 12))
+    rows = table(spark, sf_dir, "orders")
     day = calendar360.day_of_year(F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(30)))
     return tidy(aggregates.circular_mean(rows, ["o_orderpriority"], calendar360.angle(day)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import regional, storms  # noqa: F401
+from . import fields, inference, regional, storms  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -15,12 +15,12 @@ _METRICS = f"""WITH {SERIES},
 span AS (SELECT event_type, d, min(h) FILTER (v > 0.1) AS a, max(h) FILTER (v > 0.1) AS b FROM series GROUP BY 1, 2),
 t AS (SELECT event_type, d, h - a AS i, b - a + 1 AS n, v FROM series JOIN span USING (event_type, d) WHERE h BETWEEN a AND b),
 w AS (SELECT *, sum(v) OVER o AS c, row_number() OVER (PARTITION BY event_type, d ORDER BY v, i) AS k, lag(v) OVER o AS p,
-  {", ".join(f"CASE WHEN i + 1 >= least({h}, n) THEN sum(v) OVER (PARTITION BY event_type, d ORDER BY i ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW) END AS s{h}" for h in (2, 3, 6, 12))},
+  {", ".join(f"CASE WHEN i + 1 >= least({h}, n) THEN sum(v) OVER (PARTITION BY event_type, d ORDER BY i ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW) END AS s{h}" for h in (2, 3, 6, 12, 16))},
   sum(v) OVER g AS total, max(v) OVER g AS peak, sum(v * (i + 1)) OVER g / sum(v) OVER g AS centre
   FROM t WINDOW o AS (PARTITION BY event_type, d ORDER BY i), g AS (PARTITION BY event_type, d)),
 top AS (SELECT event_type, d, min(i) AS k FROM w WHERE v = peak GROUP BY 1, 2),
 m AS (SELECT event_type, d, any_value(w.n) AS n, any_value(total) AS total, any_value(peak) AS peak, any_value(top.k) AS top,
-  {", ".join(f"max(s{h}) AS s{h}" for h in (2, 3, 6, 12))},
+  {", ".join(f"max(s{h}) AS s{h}" for h in (2, 3, 6, 12, 16))},
   coalesce(sum(v) FILTER (i < top.k), 0) AS before, coalesce(sum(v) FILTER (i > top.k), 0) AS after,
   2 * sum(w.k * v) / (any_value(w.n) * any_value(total)) - (any_value(w.n) + 1) / any_value(w.n) AS gini,
   sqrt(sum(v * (i + 1 - centre) * (i + 1 - centre)) / any_value(total)) / any_value(w.n) AS tstd,
@@ -36,7 +36,7 @@ most AS (SELECT event_type, d, q FROM (SELECT *, row_number() OVER (PARTITION BY
 halves AS (SELECT m.event_type, m.d, CASE WHEN half > 0 THEN lo.s ELSE 0 END AS s0, hi.s AS s1, CASE WHEN n > 1 THEN 100 / (n - 1) ELSE 100 END AS step
   FROM m LEFT JOIN share lo ON lo.event_type = m.event_type AND lo.d = m.d AND lo.i = half - 1 JOIN share hi ON hi.event_type = m.event_type AND hi.d = m.d AND hi.i = half)
 SELECT event_type, d, CAST(24 AS BIGINT) AS length, n AS length_of_active_rain, {r("total", "total_acc")}, {r("peak", "max_intensity")},
-  {", ".join(r(f"s{h}", f"max_{h}h") for h in (2, 3, 6, 12))}, {r("top / greatest(n - 1, 1)", "peak_position_ratio")}, {r("before", "before_peak")}, {r("after", "after_peak")},
+  {", ".join(r(f"s{h}", f"max_{h}h") for h in (2, 3, 6, 12, 16))}, {r("top / greatest(n - 1, 1)", "peak_position_ratio")}, {r("before", "before_peak")}, {r("after", "after_peak")}, {r("peak", "at_peak")},
   {r("peak / total", "peak_share")}, {r("1 - peak / total", "nonpeak_share")}, {r("(before - after) / total", "loading_index")},
   {r("CASE WHEN half > 0 THEN (half - 1) * step + (0.5 - s0) / (s1 - s0) * step ELSE 0.5 / s1 * step END", "d50")},
   {r("gini")}, {r("tstd", "time_based_std")}, {r("dry", "dry_ratio")}, {r("flips", "wet_dry_transition_rate")}, CASE WHEN n > 1 THEN most.q END AS max_quartile_index
@@ -45,12 +45,13 @@ FROM m JOIN halves USING (event_type, d) JOIN most USING (event_type, d)"""
 
 @query(_METRICS)
 def storm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(storm.with_metrics(series(spark, sf_dir), "series").drop("series"))
+    return tidy(storm.with_metrics(series(spark, sf_dir), "series").drop("series", "n_peaks", "modality"))
 
 
 @query()
 def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peaks = series(spark, sf_dir).select("event_type", "d", storm.n_peaks(F.col("series")).alias("n_peaks"))
+    wet = series(spark, sf_dir).withColumn("t", storm.trimmed(F.col("series")))
+    peaks = wet.select("event_type", "d", F.when(F.col("t").isNull(), 0).otherwise(storm.n_peaks(F.col("t"))).alias("n_peaks"))
     return tidy(peaks.withColumn("modality", storm.modality(F.col("n_peaks"))))
 
 
@@ -59,10 +60,10 @@ def centred_rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(windows.centred_mean(daily(spark, sf_dir), ["event_type"], ["day"], "total", 5, 3).drop("total"))
 
 
-@query(f"""WITH {SERIES}, w AS (SELECT event_type, d, {", ".join(f"CASE WHEN h + 1 >= {h} THEN sum(v) OVER (PARTITION BY event_type, d ORDER BY h ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW) END AS s{h}" for h in (2, 3, 6, 12))} FROM series)
-SELECT event_type, d, {", ".join(r(f"max(s{h})", f"max_{h}h") for h in (2, 3, 6, 12))} FROM w GROUP BY 1, 2""")
+@query(f"""WITH {SERIES}, w AS (SELECT event_type, d, {", ".join(f"CASE WHEN h + 1 >= {h} THEN sum(v) OVER (PARTITION BY event_type, d ORDER BY h ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW) END AS s{h}" for h in (2, 3, 6, 12, 16))} FROM series)
+SELECT event_type, d, {", ".join(r(f"max(s{h})", f"max_{h}h") for h in (2, 3, 6, 12, 16))} FROM w GROUP BY 1, 2""")
 def rolling_max_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(windows.rolling_max_sum(hourly(spark, sf_dir), ["event_type", "d"], ["h"], "v", [2, 3, 6, 12]))
+    return tidy(windows.rolling_max_sum(hourly(spark, sf_dir), ["event_type", "d"], ["h"], "v", [2, 3, 6, 12, 16]))
 
 
 @query(f"""WITH {SERIES}, w AS (SELECT event_type, d, v > 0 AS wet, lag(v > 0) OVER (PARTITION BY event_type, d ORDER BY h) AS was FROM series)
@@ -139,7 +140,7 @@ def threshold_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cluster_sql(near: str) -> str:
     return f"""WITH RECURSIVE {CELLS}, {PEAKS}, mask AS (SELECT c.* FROM cells c JOIN peaks p ON c.event = p.event AND value >= 0.85 * peak_value),
 reach AS (SELECT event, peak_y AS y, peak_x AS x FROM peaks UNION SELECT m.event, m.y, m.x FROM reach r JOIN mask m ON m.event = r.event AND {near})
-SELECT event, {r("sum(value)", "cluster_total")}, count(*) AS cluster_n, {r("avg(value)", "cluster_mean")} FROM reach JOIN mask USING (event, y, x) GROUP BY 1"""
+SELECT event, {r("sum(value)", "cluster_total")}, count(*) AS cluster_n, {r("avg(value)", "cluster_mean")}, count(*) - 1 AS cluster_others FROM reach JOIN mask USING (event, y, x) GROUP BY 1"""
 
 
 def _cluster(spark: SparkSession, sf_dir: str, connectivity: int) -> DataFrame:
@@ -167,11 +168,19 @@ def exceedance_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(grids.exceedance(cells(spark, sf_dir).withColumnRenamed("event", "t"), [], 2000.0)[1])
 
 
-_FINE = "fine AS (SELECT CAST(floor(l_partkey / 20) AS BIGINT) AS ix, CAST(floor(l_suppkey / 20) AS BIGINT) AS iy, l_quantity, l_linenumber FROM lineitem WHERE l_partkey >= 0 AND l_partkey < 2000 AND l_suppkey >= 0 AND l_suppkey < 100)"
+#: Fine points are line items by part and supplier; coarse cells are 20 wide, from the least to the largest key.
+_FINE = "fine AS (SELECT l_partkey // 20 AS ix, l_suppkey // 20 AS iy, l_quantity, l_linenumber FROM lineitem)"
 
 
 def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.to_coarse(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", 0.0, 0.0, 20.0, 100, 5)
+    nx, ny = _extent(spark, sf_dir)
+    return grids.to_coarse(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", 0.0, 0.0, 20.0, nx, ny)
+
+
+def _extent(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Columns and rows of the coarse grid that holds every line item: two numbers reach the driver."""
+    far = table(spark, sf_dir, "lineitem").agg(F.floor(F.max("l_partkey") / 20), F.floor(F.max("l_suppkey") / 20)).first()
+    return int(far[0] or 0) + 1, int(far[1] or 0) + 1
 
 
 @query(f"""WITH {_FINE} SELECT iy, ix, {r("avg(l_quantity)", "mean")}, count(*) AS n, {r("count(*) FILTER (l_quantity > 10) * 0.25", "area")}, {r("coalesce(sum(l_quantity) FILTER (l_quantity > 10), 0) * 0.25", "volume")} FROM fine GROUP BY 1, 2""")
@@ -186,10 +195,10 @@ def fine_to_coarse_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FINE}, c AS (SELECT iy, ix, count(*) AS n FROM fine WHERE l_quantity > 49 GROUP BY 1, 2)
-SELECT y AS iy, x AS ix, coalesce(n, 0) AS n FROM (SELECT unnest(range(5)) AS y) CROSS JOIN (SELECT unnest(range(100)) AS x) LEFT JOIN c ON iy = y AND ix = x""")
+SELECT y AS iy, x AS ix, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT max(l_suppkey) // 20 + 1 FROM lineitem))) AS y) CROSS JOIN (SELECT unnest(range((SELECT max(l_partkey) // 20 + 1 FROM lineitem))) AS x) LEFT JOIN c ON iy = y AND ix = x""")
 def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _fine(spark, sf_dir).where("l_quantity > 49").groupBy("iy", "ix").agg(F.count("*").alias("n"))
-    return tidy(grids.dense(n, 100, 5, {"n": 0}))
+    return tidy(grids.dense(n, *_extent(spark, sf_dir), {"n": 0}))
 
 
 @query(f"""WITH {CELLS}, g AS (SELECT *, lag(value) OVER a AS w0, lead(value) OVER a AS w1, lag(value) OVER b AS n0, lead(value) OVER b AS n1 FROM cells WINDOW a AS (PARTITION BY event, y ORDER BY x), b AS (PARTITION BY event, x ORDER BY y)),
@@ -199,13 +208,13 @@ def slope_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(grids.slope(cells(spark, sf_dir), ["event"], spacing=1000.0))
 
 
-@query(f"""WITH {CELLS} SELECT y AS zone, {r("avg(value)", "mean")}, min(value) AS min, max(value) AS max, count(value) AS n, {r("count(*) FILTER (value > 1) / count(value) * 100", "pct_over_1")} FROM cells GROUP BY 1""")
+@query(f"""WITH {CELLS} SELECT y AS zone, {r("avg(value)", "mean")}, min(value) AS min, max(value) AS max, count(value) AS n, {r("count(*) FILTER (value > 1) / count(value) * 100", "pct_over_1")}, {r("count(*) FILTER (value < 0) / count(value) * 100", "pct_under_0")} FROM cells GROUP BY 1""")
 def zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(grids.zonal(cells(spark, sf_dir).withColumnRenamed("y", "zone"), "zone", "value"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey, p_size * 4.0 AS m, 0.3 + p_size / 200 AS e, p_retailprice / 100 AS k FROM part), s AS (SELECT p_partkey, m / 1000 / 0.225 / e AS saturation, 0.06375 * sqrt(k) AS lu, e FROM p)
-SELECT p_partkey, {r("saturation")}, {r("lu")}, {r("e * lu", "fumax")}, {r("greatest(0, 1 - saturation)", "deficit")}, {r("greatest(0, 1 - saturation) * e * lu", "fu")} FROM s""")
+SELECT p_partkey, {r("saturation")}, {r("lu")}, {r("e * lu", "fumax")}, {r("greatest(0, 1 - saturation)", "deficit")}, {r("greatest(0, 1 - saturation) * e * lu", "fu")}, {r("greatest(0, 1 - saturation) * e * lu * 900", "fu_volume")} FROM s""")
 def soil_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 4.0).alias("m"), (F.lit(0.3) + F.col("p_size") / 200).alias("e"), (F.col("p_retailprice") / 100).alias("k"))
     return tidy(grids.soil_columns(rows, "m", "e", "k").drop("m", "e", "k"))

@@ -25,8 +25,9 @@ def event_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)_(\d{2})
 
     rows = spark.read.schema(EVENT_SCHEMA).csv(path, header=True).withColumn("_path", F.col("_metadata.file_path"))
     rows = rows.withColumns(name_parts(F.col("_path"), pattern, ("catchment_num", "ens")))
-    at = Window.partitionBy("_path").orderBy("start_indices", "stop_indices", "event_num")
-    return rows.withColumn("event_num", F.row_number().over(at)).drop("_path")
+    rows = rows.withColumns({"_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})  # lines of a block come in their order
+    at = Window.partitionBy("_path").orderBy("_block", "_line")
+    return rows.withColumn("event_num", F.row_number().over(at)).drop("_path", "_block", "_line")
 
 
 def grid_cells(spark: SparkSession, path: str, ens: str | None = None, hours: tuple[int, int] | None = None, value: str = "value", nodata: float | None = None) -> DataFrame:
@@ -39,6 +40,70 @@ def grid_cells(spark: SparkSession, path: str, ens: str | None = None, hours: tu
     return df.withColumn(value, clean(F.col(value), nodata))
 
 
+def one_field(df: DataFrame, axes: Sequence[str] = ("t", "y", "x")) -> str:
+    """The one column besides the axes, bounds and partition columns that is a number; none or several raise."""
+    found = [c for c, t in df.dtypes if c not in axes and not c.endswith("_bnds") and t in ("float", "double")]
+    if len(found) != 1:
+        raise ValueError(f"exactly one field is expected, not {found}")
+    return found[0]
+
+
+def flood_cells(spark: SparkSession, path: str, depth: int, variable: str) -> DataFrame:
+    """Flooded area or volume of cells by event at a depth; every event has to have as many cells, or this raises."""
+    if depth not in (10, 30) or variable not in ("area", "volume"):
+        raise ValueError(f"no such flood table: {depth}, {variable}")
+    rows = spark.read.parquet(path).where((F.col("depth") == depth) & (F.col("variable") == variable))
+    sizes = rows.groupBy("event_num").agg(F.count("*").alias("n")).agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
+    if sizes["a"] != sizes["b"]:
+        raise ValueError(f"events have between {sizes['a']} and {sizes['b']} cells")
+    return rows
+
+
+def pixels(spark: SparkSession, path: str, value: str = "value", nodata: float | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Pixels (row, col, value) of a raster kept as Parquet, nodata as NULL; a box of rows and columns, inclusive, is pushed down to the files."""
+    df = spark.read.parquet(path)
+    if box:
+        df = df.where(F.col("row").between(box[0], box[2]) & F.col("col").between(box[1], box[3]))
+    return df.withColumn(value, clean(F.col(value), nodata))
+
+
+def polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Polygons of line-separated GeoJSON features: name, rings and bounds, for points_in_polygons."""
+    rows = spark.read.schema("properties struct<name:string>, geometry struct<type:string,coordinates:array<array<array<double>>>>").json(path)
+    rings = F.transform("geometry.coordinates", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    points = F.flatten("rings")
+    bound = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    return rows.select(F.col("properties.name").alias("name"), rings.alias("rings")).withColumns({"minx": bound(F.array_min, "x"), "miny": bound(F.array_min, "y"), "maxx": bound(F.array_max, "x"), "maxy": bound(F.array_max, "y")})
+
+
+def event_record(events: DataFrame, event_num: int) -> dict | None:
+    """One event as a record."""
+    row = events.where(F.col("event_num") == event_num).limit(1).collect()
+    return row[0].asDict() if row else None
+
+
+def years_of(cells: DataFrame, year: int) -> DataFrame:
+    """Steps of one year of twelve 30-day months, by hour360: a range that reaches the files."""
+    return cells.where((F.col("hour360") >= year * 8640) & (F.col("hour360") < (year + 1) * 8640))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, in one folder."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_field(df: DataFrame, path: str, keys: Sequence[str], about: dict[str, dict[str, str]]) -> None:
+    """A field's rows by key, and beside them a table of what its columns are: column, attribute, text."""
+    write_parts(df, f"{path}/data", keys)
+    rows = [(c, a, t) for c, some in about.items() for a, t in some.items()]
+    df.sparkSession.createDataFrame(rows, "column string, attribute string, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def write_pixel_cells(binned: DataFrame, path: str, nx: int) -> None:
+    """Which coarse cell each pixel went to: row, col, cell."""
+    binned.select("row", "col", (F.col("iy") * nx + F.col("ix")).alias("cell")).write.mode("overwrite").parquet(path)
+
+
 def raster_files(spark: SparkSession, path: str, pattern: str, names: Sequence[str]) -> DataFrame:
     """A listing of files with the parts of their names; contents are not read."""
     df = spark.read.format("binaryFile").load(path).select("path", "length")
