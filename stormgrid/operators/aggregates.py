@@ -126,9 +126,15 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return out.select(*keys, (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("rho"), "n")
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation over rows where both are there; NULL if one of them does not vary (corr raises then, under ANSI rules)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.regr_sxy(y, x) / F.nullif(F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)), F.lit(0.0))
+
+
 def two_regressor_r2(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, least: int = 20) -> DataFrame:
     """R2 of y on a, on a and b, and what b adds (0 at least), from correlations in one aggregation. Fewer than `least` rows: NULL."""
-    out = df.where(" and ".join(f"`{c}` is not null" for c in (y, a, b))).groupBy(*keys).agg(F.corr(y, a).alias("ya"), F.corr(y, b).alias("yb"), F.corr(a, b).alias("ab"), F.count("*").alias("n"))
+    out = df.where(" and ".join(f"`{c}` is not null" for c in (y, a, b))).groupBy(*keys).agg(correlation(y, a).alias("ya"), correlation(y, b).alias("yb"), correlation(a, b).alias("ab"), F.count("*").alias("n"))
     both = (F.col("ya") * F.col("ya") + F.col("yb") * F.col("yb") - 2 * F.col("ya") * F.col("yb") * F.col("ab")) / F.nullif(1 - F.col("ab") * F.col("ab"), F.lit(0.0))
     some = F.col("n") >= least
     added = both - F.col("ya") * F.col("ya")
@@ -137,7 +143,7 @@ def two_regressor_r2(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str,
 
 def strongest(df: DataFrame, keys: Sequence[str], candidates: Sequence[str], y: str) -> DataFrame:
     """By group the candidate with the largest positive correlation with y; the first of equals; '' without any."""
-    got = df.groupBy(*keys).agg(*[F.corr(c, y).alias(c) for c in candidates])
+    got = df.groupBy(*keys).agg(*[correlation(c, y).alias(c) for c in candidates])
     best = F.array_max(F.array(*[F.struct(F.when(F.col(c) > 0, F.col(c)).alias("rho"), F.lit(-k).alias("k"), F.lit(c).alias("name")) for k, c in enumerate(candidates)]))
     return got.select(*keys, F.coalesce(F.when(best["rho"].isNotNull(), best["name"]), F.lit("")).alias("strongest"), best["rho"].alias("rho"))
 

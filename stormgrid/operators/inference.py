@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import average_rank, spearman, with_p_value
+from .aggregates import average_rank, correlation, spearman, with_p_value
 from .joins import settled
 
 # ---------------------------------------------------------------- descriptions and distributions
@@ -197,7 +197,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
             rows = average_rank(rows, [], c, f"_{c}")
     name = (lambda c: f"_{c}") if method == "spearman" else (lambda c: c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    got = rows.agg(*[F.corr(name(a), name(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    got = rows.agg(*[correlation(name(a), name(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return got.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("rho")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
 
 
@@ -258,7 +258,7 @@ def grouped_value(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     """By group of columns the mean of their z-scores, each turned by the sign of its correlation with the group's first one. Two passes: moments and signs, then rows."""
     members = [m for g in groups.values() for m in g]
     moments = [x for m in members for x in (F.avg(m).alias(f"_m_{m}"), F.stddev_pop(m).alias(f"_s_{m}"))]
-    signs = [F.signum(F.corr(g[0], m)).alias(f"_g_{m}") for g in groups.values() for m in g]
+    signs = [F.signum(correlation(g[0], m)).alias(f"_g_{m}") for g in groups.values() for m in g]
     stats = df.agg(*moments, *signs)  # one row
     z = lambda m: (F.col(m) - F.col(f"_m_{m}")) / F.nullif(F.col(f"_s_{m}"), F.lit(0.0)) * F.coalesce(F.nullif(F.col(f"_g_{m}"), F.lit(0.0)), F.lit(1.0))
     return df.join(F.broadcast(stats)).select(*df.columns, *[(sum((z(m) for m in g), F.lit(0.0)) / len(g)).alias(name) for name, g in groups.items()])
