@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -25,14 +25,21 @@ def boilerplate_lines(df: DataFrame, site: str = "source", text: str = "text", r
     return held.join(total, "site").where(F.col("pages") > ratio * F.col("total"))
 
 
-def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, spare_copies: bool = False) -> DataFrame:
-    """Every row with its boilerplate lines taken out of the text, in a column order like df's, plus `n_lines` and `n_dropped`.
+def host_of(url: Column) -> Column:
+    """The host of a page's address, lower-cased, as its site; NULL if it has none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+
+
+def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, spare_copies: bool = False, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """Every row with its boilerplate lines taken out of the text, in a column order like df's, plus two columns of counts: lines, and lines dropped. Columns of df that have the counts' names are replaced.
 
     Each site's boilerplate is one short array: a line is in over `ratio` of the
     pages, so a site has at most (lines per page) / ratio of them. The arrays are
     written first, so that Spark knows their size before it plans the join on
     site: it broadcasts them where they are below its threshold, without moving
-    any text, and else joins by shuffle, where it splits hot sites.
+    any text, and else joins by shuffle, where it splits hot sites. In a row, the
+    lines' hashes meet the array once; single lines are then held against those
+    that both have.
 
     A null site is a site of its own, together with the empty one. Null texts
     stay null, with 0 lines; repeated rows are kept; a text that loses all its
@@ -40,13 +47,16 @@ def drop_boilerplate(df: DataFrame, site: str = "source", text: str = "text", ra
     than boilerplate is left whole: a whole text repeated on a site is a group of
     copies, of which a later step may keep one, and not boilerplate around a text.
     """
-    bad = boilerplate_lines(df, site, text, ratio, least).groupBy("site").agg(F.collect_list("line_md5").alias("_bad")).withColumnRenamed("site", "_site")
+    bad = boilerplate_lines(df, site, text, ratio, least).select(F.col("site").alias("bad_site"), F.lower(F.hex("line_md5")).alias("md5")).groupBy("bad_site").agg(F.collect_list("md5").alias("bad"))
     bad = written(bad, "boilerplate")
-    rows = df.withColumn("_site", F.coalesce(F.col(site), F.lit(""))).join(bad, "_site", "left")
-    parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), F.unhex(F.md5(F.trim(x)))))
-    rows = rows.withColumn("_kept", F.when(F.col("_bad").isNull(), parts).otherwise(kept))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    held = F.col(f"row.`{text}`")
+    rows = rows.join(bad, F.coalesce(F.col(f"row.`{site}`"), F.lit("")) == F.col("bad_site"), "left").withColumn("parts", F.split(held, "\n"))
+    rows = rows.withColumn("hit", F.array_intersect(F.transform("parts", lambda x: F.md5(F.trim(x))), "bad"))
+    kept = F.when(F.size("hit") > 0, F.filter("parts", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("hit"), F.md5(F.trim(x))))).otherwise(F.col("parts"))
+    rows = rows.withColumn("kept", kept)
     if spare_copies:
-        rows = rows.withColumn("_kept", F.when(F.exists("_kept", lambda x: F.trim(x) != ""), F.col("_kept")).otherwise(parts))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return rows.select(*[F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.array_join("_kept", "\n")).alias(text) if c == text else F.col(c) for c in df.columns], n.alias("n_lines"), (n - F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept"))).cast("long").alias("n_dropped"))
+        rows = rows.withColumn("kept", F.when(F.exists("kept", lambda x: F.trim(x) != ""), F.col("kept")).otherwise(F.col("parts")))
+    n = F.when(held.isNull(), 0).otherwise(F.size("parts")).cast("long")
+    out = [F.when(held.isNull(), F.lit(None)).otherwise(F.array_join("kept", "\n")).alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in counts]
+    return rows.select(*out, n.alias(counts[0]), (n - F.when(held.isNull(), 0).otherwise(F.size("kept"))).cast("long").alias(counts[1]))

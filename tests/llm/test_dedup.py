@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stormgrid.llm import common, decontaminate, line_dedup, near_join, search, substring_dedup
 
@@ -154,6 +155,17 @@ def semi_distance(item, region):
     return min(row)
 
 
+def test_line_dedup_bears_clashing_names(spark):
+    names = ("site", "bad_site", "bad", "row", "parts", "hit", "kept", "n_lines", "n_dropped", "a b", "line_md5", "pages")
+    docs = spark.createDataFrame([(k, f"same line\nown {k}", "s", *["x"] * len(names)) for k in range(9)], ["doc_id", "text", "source", *names])
+    got = line_dedup.drop_boilerplate(docs)
+    assert got.columns == [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert {(r["text"], r["kept"], r["a b"], r["n_lines"], r["n_dropped"]) for r in got.collect()} == {(f"own {k}", "x", "x", 2, 1) for k in range(9)}
+    assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
+    urls = spark.createDataFrame([("https://user@WWW.a.org:80/p?q",), ("no address",), (None,)], "u string")
+    assert [r[0] for r in urls.select(line_dedup.host_of(F.col("u"))).collect()] == ["www.a.org", None, None]
+
+
 def test_edit_distance_matches_the_table():
     rng = random.Random(0)
     for _ in range(200):
