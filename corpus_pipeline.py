@@ -21,8 +21,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Boilerplate lines of each source go, and n_chars follows the text. A document of boilerplate alone stays whole: the next stage keeps one of each group of copies."""
     from pyspark.sql import functions as F
 
-    kept = drop_boilerplate(docs, spare_copies=True)
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = drop_boilerplate(docs, spare_copies=True, counts=("stage_lines", "stage_dropped"))
+    return kept.withColumn("n_chars", F.when(F.col("stage_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
