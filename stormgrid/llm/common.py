@@ -44,14 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000, total: int | None = None) -> DataFrame:
     """Inner join on `key`, where right has one row per key, and in `weight` the number of left's rows with it.
 
     Keys with over 1 / most of all weight, of which there are `most` at most, are
     broadcast: left's rows with such a key stay where they are, however many.
-    The others are joined by shuffle. Both sides should be written tables.
+    The others are joined by shuffle. Both sides should be written tables. total:
+    all weight, or a bound from below that is known already.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     is_hot = F.col(weight) * F.lit(most) > F.lit(total)
     hot, other = F.broadcast(right.where(is_hot)), right.where(~is_hot)
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(other, key))
@@ -212,12 +213,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     checksum come to the driver. Nodes without an edge do not appear.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen, n = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: each larger neighbour is tied to the smallest neighbour
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        # large star: each larger neighbour is tied to the smallest neighbour; a star's middle has many
+        large = join_hot(both.where("b > a"), low, "a", "n", total=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each smaller-or-equal neighbour is tied to the smallest one
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -225,7 +226,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, n = tuple(state), state[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
