@@ -75,6 +75,16 @@ def near(value: Column, target: Column, rtol: float = 1e-5, atol: float = 1e-8)
     return F.abs(value - target) <= F.lit(atol) + F.lit(rtol) * F.abs(target)
 
 
+def product(a: Column, b: Column) -> Column:
+    """Interaction of two columns."""
+    return a * b
+
+
+def noise(seed: int = 0) -> Column:
+    """Values of a standard normal distribution, as a control that explains nothing; they depend on how rows are dealt out."""
+    return F.randn(seed)
+
+
 def p_label(p: Column, star: float = 0.05) -> Column:
     """'<0.05' below the level, else the value with two decimals."""
     return F.when(p < star, "<0.05").otherwise(F.format_number(p, 2))

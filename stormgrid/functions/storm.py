@@ -34,6 +34,19 @@ def cumulative(series: Column) -> Column:
     return F.when(series.isNotNull(), F.aggregate(series, start, step, lambda acc: acc["a"]))
 
 
+def interpolated(values: Column, points: int) -> Column:
+    """The series at that many places, evenly from its first to its last value, linear between values; NULL for an empty one."""
+    n = F.size(values)
+
+    def at(k: Column) -> Column:
+        place = k * (n - 1) / F.lit(max(points - 1, 1))
+        low = F.least(F.floor(place).cast("int"), F.greatest(n - 2, F.lit(0)))
+        a, b = _at(values, low + 1), _at(values, F.least(low + 2, n))
+        return a + (b - a) * (place - low)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
+
+
 def peak_index(series: Column) -> Column:
     """Place of the first maximum, from 0."""
     return (F.array_position(series, F.array_max(series)) - 1).cast("int")

@@ -33,6 +33,16 @@ def regional_period_summary(df: DataFrame, values: Sequence[str], region: str, y
     return out.select(*[F.round(c, round_to).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def mean_abs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Mean of absolute values by group."""
+    return df.groupBy(*keys).agg(F.avg(F.abs(F.col(value))).alias("mean_abs"), F.count(value).alias("n"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str, least: int = 1) -> DataFrame:
+    """Median and number of known values by coordinate or other keys; fewer than `least`: no row."""
+    return df.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("n")).where(F.col("n") >= least)
+
+
 def group_share(df: DataFrame, outer: Sequence[str], inner: Sequence[str]) -> DataFrame:
     """n and share of each inner group in its outer group."""
     n = df.groupBy(*outer, *inner).agg(F.count("*").alias("n"))

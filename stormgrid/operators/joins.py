@@ -73,11 +73,16 @@ def asof_before(events: DataFrame, series: DataFrame, keys: Sequence[str], ancho
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, rings: str = "rings") -> DataFrame:
     """points left-joined to the polygons that hold them (edges excluded; in two polygons: two rows).
 
-    Polygons carry minx, miny, maxx, maxy. They are few and known: a dimension table, whose size Spark checks before it broadcasts.
+    Polygons carry minx, miny, maxx, maxy, and are dealt to grid cells as wide as
+    their bounds are on average; a point is in one cell, so the join is an
+    equi-join with the exact test as its residual, at any number of polygons.
     """
-    p = points.withColumn("_p", F.monotonically_increasing_id())
-    on = p[x].between(polygons["minx"], polygons["maxx"]) & p[y].between(polygons["miny"], polygons["maxy"]) & within_column(p[x], p[y], polygons[rings])
-    return p.join(polygons, on, "left").drop("_p", rings, "minx", "miny", "maxx", "maxy")
+    wide = polygons.agg(F.greatest(F.avg(F.col("maxx") - F.col("minx")), F.avg(F.col("maxy") - F.col("miny")))).first()[0] or 1.0
+    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / wide), F.floor(F.col(high) / wide)))
+    held = polygons.withColumn("_cx", spread("minx", "maxx")).withColumn("_cy", spread("miny", "maxy"))
+    p = points.withColumns({"_px": F.floor(F.col(x) / wide), "_py": F.floor(F.col(y) / wide)})
+    on = (p["_px"] == held["_cx"]) & (p["_py"] == held["_cy"]) & p[x].between(held["minx"], held["maxx"]) & p[y].between(held["miny"], held["maxy"]) & within_column(p[x], p[y], held[rings])
+    return p.join(held, on, "left").drop("_px", "_py", "_cx", "_cy", rings, "minx", "miny", "maxx", "maxy")
 
 
 def bind_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str | Column], right_order: Sequence[str | Column]) -> DataFrame:

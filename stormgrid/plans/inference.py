@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import binning
 from ..ml import models
-from ..operators import inference, joins, reshape
+from ..operators import aggregates, inference, joins, reshape
 from .base import FACTS, facts, query, r, table, tidy
 
 _Q = ("l_quantity", "l_discount", "l_tax")
@@ -89,6 +90,22 @@ def monthly_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(inference.monthly_overlap(a, b, "month"))
 
 
+@query(f"""SELECT l_returnflag, {r("avg(abs(l_quantity - 25))", "mean_abs")}, count(*) AS n FROM lineitem GROUP BY 1""")
+def mean_of_absolutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(aggregates.mean_abs(table(spark, sf_dir, "lineitem").withColumn("off", F.col("l_quantity") - 25), ["l_returnflag"], "off"))
+
+
+@query("""SELECT l_suppkey % 10 AS x, l_suppkey // 10 AS y, median(l_extendedprice) AS median, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 20""")
+def coordinate_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("x"), F.floor(F.col("l_suppkey") / 10).alias("y"), "l_extendedprice")
+    return aggregates.medians(rows, ["x", "y"], "l_extendedprice", 20)
+
+
+@query(f"""SELECT l_orderkey, l_partkey, l_suppkey, {r("l_quantity * l_discount", "interaction")} FROM lineitem""")
+def interaction_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", binning.product(F.col("l_quantity"), F.col("l_discount")).alias("interaction")))
+
+
 # ---------------------------------------------------------------- regression and correlation
 
 #: Two regressors: the estimates by sums around the means, and HC3 errors by leverages.

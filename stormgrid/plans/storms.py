@@ -78,6 +78,13 @@ def repair_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.repair_exploded(rows, ["event_type", "d"], "h", "v").withColumn("series", F.array_join("series", ","))
 
 
+@query(f"""WITH {SERIES}, p AS (SELECT event_type, d, k, k * 23 / 10.0 AS place FROM (SELECT DISTINCT event_type, d FROM series) CROSS JOIN (SELECT unnest(range(11)) AS k)),
+q AS (SELECT p.*, lo.v + (hi.v - lo.v) * (place - lo.h) AS v FROM p JOIN series lo ON lo.event_type = p.event_type AND lo.d = p.d AND lo.h = least(floor(place), 22) JOIN series hi ON hi.event_type = p.event_type AND hi.d = p.d AND hi.h = lo.h + 1)
+SELECT event_type, d, k, {r("v")} FROM q""")
+def interpolated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(series(spark, sf_dir).select("event_type", "d", F.posexplode(storm.interpolated(F.col("series"), 11)).alias("k", "v")))
+
+
 _EVENT_ID = "event_type || '/' || day"
 
 
