@@ -116,6 +116,23 @@ def test_forest_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** near_join.TREES >= near_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_join.TREES
 
 
+def test_recall_at_the_threshold(spark):
+    """Two thousand pairs of similarity 0.81, each pair of words of its own."""
+    rng = random.Random(17)
+    docs = []
+    for k in range(2000):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(120)]
+        at = rng.randrange(5, 107)
+        other = words[:at] + [f"x{rng.randrange(10**7)}" for _ in range(8)] + words[at + 8 :]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    a, b = (shingle_set(t) for _, t in docs[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_join.near_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = [k for k in range(2000) if got[2 * k + 1] == got[2 * k] == (2 * k, 1)]
+    assert len(found) >= 1990
+    assert all(got[2 * k + 1][0] in (2 * k, 2 * k + 1) for k in range(2000))
+
+
 def test_one_per_class_keeps_one_of_each(spark, rows):
     df = table(spark, rows)
     kept = near_join.one_per_class(df)
