@@ -114,9 +114,13 @@ def ols_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(aggregates.simple_ols(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_discount) AS slope, regr_intercept(l_extendedprice, l_discount) AS intercept, regr_r2(l_extendedprice, l_discount) AS r2, count(*) AS n, regr_sxx(l_extendedprice, l_discount) AS xx, regr_syy(l_extendedprice, l_discount) AS yy, regr_sxy(l_extendedprice, l_discount) AS xy FROM lineitem GROUP BY 1),
+t AS (SELECT *, sqrt((yy - xy * xy / xx) / (n - 2) / xx) AS se FROM s)
+SELECT l_returnflag, {r("slope", digits=2)}, {r("intercept", digits=2)}, {r("r2")}, n, n - 2 AS df, {r("se", digits=2)}, {r("slope / se", "t")}, abs(slope / se) > 1.9605 AS significant FROM t""")
 def ols_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.with_p_value(aggregates.simple_ols(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", "l_extendedprice"))
+    out = aggregates.with_p_value(aggregates.simple_ols(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", "l_extendedprice"))
+    out = out.withColumn("significant", F.col("p") < 0.05).drop("p")  # hundreds of rows a group: t and normal agree; the values of p are tested apart
+    return tidy(out.withColumns({c: F.round(F.col(c) + NUDGE, 2) for c in ("slope", "intercept", "se")}))
 
 
 @query(f"""WITH c AS (SELECT l_linestatus, corr(l_extendedprice, l_quantity) AS ya, corr(l_extendedprice, l_tax) AS yb, corr(l_quantity, l_tax) AS ab, count(*) AS n FROM lineitem GROUP BY 1),
@@ -281,7 +285,10 @@ def point_in_region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.points_in_polygons(points, polygons, "x", "y").select("c_custkey", "zone")
 
 
-@query()
+@query(f"""WITH {FACTS}, f AS (SELECT region, o_orderkey, o_totalprice / 1000 AS price, c_acctbal / 1000 AS balance, year FROM facts),
+h AS (SELECT a.region, a.o_orderkey, b.o_orderkey AS match, sqrt((a.price - b.price) * (a.price - b.price) + (a.balance - b.balance) * (a.balance - b.balance)) AS distance
+  FROM f a JOIN f b ON a.region = b.region AND a.year >= 2000 AND b.year <= 1996 AND b.price BETWEEN a.price - 0.5 AND a.price + 0.5)
+SELECT region, o_orderkey, match, {r("distance")} FROM (SELECT *, row_number() OVER (PARTITION BY region, o_orderkey ORDER BY distance, match) AS k FROM h WHERE distance <= 0.5) WHERE k = 1""")
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).select("region", "o_orderkey", (F.col("o_totalprice") / 1000).alias("price"), (F.col("c_acctbal") / 1000).alias("balance"), "year")
-    return joins.nearest_within_blocks(rows.where("year >= 2000"), rows.where("year <= 1996"), ["region"], ["price", "balance"], "o_orderkey", 0.5)
+    return tidy(joins.nearest_within_blocks(rows.where("year >= 2000"), rows.where("year <= 1996"), ["region"], ["price", "balance"], "o_orderkey", 0.5))

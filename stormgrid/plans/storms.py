@@ -48,7 +48,23 @@ def storm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(storm.with_metrics(series(spark, sf_dir), "series").drop("series", "n_peaks", "modality"))
 
 
-@query()
+#: Plateaus between lower values are peaks, taken by height; one stays if none that stays is nearer than three hours. Ends count apart.
+_PEAKS_SQL = f"""WITH RECURSIVE {SERIES},
+span AS (SELECT event_type, d, min(h) FILTER (v > 0.1) AS a, max(h) FILTER (v > 0.1) AS b FROM series GROUP BY 1, 2),
+t AS (SELECT event_type, d, h - a AS i, b - a + 1 AS n, v FROM series JOIN span USING (event_type, d) WHERE h BETWEEN a AND b),
+runs AS (SELECT event_type, d, v, n, min(i) AS first, max(i) AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY event_type, d, v ORDER BY i) AS g FROM t) GROUP BY event_type, d, v, n, g),
+tops AS (SELECT r.event_type, r.d, (first + last + 2) // 2 AS mid, row_number() OVER (PARTITION BY r.event_type, r.d ORDER BY r.v DESC, (first + last + 2) // 2 DESC) AS k FROM runs r
+  JOIN t p ON p.event_type = r.event_type AND p.d = r.d AND p.i = first - 1 JOIN t q ON q.event_type = r.event_type AND q.d = r.d AND q.i = last + 1 WHERE r.v >= 10 AND p.v < r.v AND q.v < r.v),
+pick AS (SELECT event_type, d, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM span
+  UNION ALL SELECT p.event_type, p.d, p.k + 1, CASE WHEN len(list_filter(p.kept, lambda x: abs(x - mid) < 3)) > 0 THEN p.kept ELSE list_append(p.kept, mid) END FROM pick p JOIN tops o ON o.event_type = p.event_type AND o.d = p.d AND o.k = p.k + 1),
+inner_ AS (SELECT event_type, d, max(len(kept)) AS inside FROM pick GROUP BY 1, 2),
+ends AS (SELECT event_type, d, any_value(n) AS n, max(v) FILTER (i = 0) AS v0, max(v) FILTER (i = 1) AS v1, max(v) FILTER (i = n - 2) AS w1, max(v) FILTER (i = n - 1) AS w0 FROM t GROUP BY 1, 2),
+c AS (SELECT s.event_type, s.d, CASE WHEN n IS NULL THEN 0 WHEN n <= 2 THEN 1 ELSE inside + CASE WHEN v0 >= 10 AND v0 > v1 THEN 1 ELSE 0 END + CASE WHEN w0 >= 10 AND w0 > w1 THEN 1 ELSE 0 END END AS n_peaks
+  FROM span s LEFT JOIN ends USING (event_type, d) JOIN inner_ USING (event_type, d))
+SELECT event_type, d, CAST(n_peaks AS BIGINT) AS n_peaks, CASE n_peaks WHEN 0 THEN 'no clear peak' WHEN 1 THEN 'unimodal' WHEN 2 THEN 'bimodal' ELSE 'multimodal' END AS modality FROM c"""
+
+
+@query(_PEAKS_SQL)
 def modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     wet = series(spark, sf_dir).withColumn("t", storm.trimmed(F.col("series")))
     peaks = wet.select("event_type", "d", F.when(F.col("t").isNull(), 0).otherwise(storm.n_peaks(F.col("t"))).alias("n_peaks"))
