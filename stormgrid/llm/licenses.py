@@ -88,11 +88,11 @@ COMMONS = [
     ("by nc nd", "cc-by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"),
 ]
 
-#: Single signatures: label, gate word, pattern, priority, weight.
+#: Single signatures: label, gate word, pattern, priority, weight. A group that repeats without a bound has to be possessive: the others nest a call per repeat.
 SINGLE = [
     ("mit", "licence", "(?:the )?mit licence", 50, 0.8),
     ("all-rights-reserved", "reserved", "all rights reserved", 10, 0.6),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 5, 0.4),
+    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d(?= ))*+", 5, 0.4),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 60, 0.9),
     ("cc0", "zero", "creative commons zero", 60, 0.9),
     ("cc-pdm", "mark", "(?:creative commons )?public domain mark", 60, 0.9),
@@ -277,8 +277,8 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """One row per record: the base phrases' places and labels, and the rules' labels after suppression.
 
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score (the heaviest standing rule, 1.0 where the base found a full title with
-    its version; 0 without any), n_detections.
+    score (the weight of the heaviest standing rule, 0.8 at least where the base
+    found a phrase; 0 without any), n_detections.
 
     Nothing is shuffled: each text is scanned where it is read, its rules chosen
     by the gate words among its words. Detections that overlap are settled by

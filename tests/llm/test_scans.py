@@ -70,7 +70,9 @@ def spelt_out(nodes):
             more = spelt_out(arg[3])
         elif name == "BRANCH":
             more = [x for branch in arg[1] for x in spelt_out(branch)]
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+        elif name == "ASSERT":
+            continue
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             low, _, inner = arg
             more = [x * max(low, 1) for x in spelt_out(inner)] + ([""] if low == 0 else [])
         elif name == "IN":
@@ -98,6 +100,35 @@ def test_license_rules_and_suppression_match_brute_force(spark):
     assert licenses.license_scan(table(spark, docs).limit(0)).count() == 0
 
 
+def repeats(nodes, found):
+    """Each repeated part of a parsed pattern without a small bound: its kind, and a text of it."""
+    for op, arg in nodes:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            if arg[1] > 80:
+                found.append((name, spelt_out(arg[2])[0]))
+            repeats(arg[2], found)
+        elif name == "SUBPATTERN":
+            repeats(arg[3], found)
+        elif name == "BRANCH":
+            for branch in arg[1]:
+                repeats(branch, found)
+    return found
+
+
+def test_no_rule_nests_calls_in_long_repeats(spark):
+    rows = []
+    for r in licenses.RULES:
+        for name, part in repeats(re._parser.parse(r["pattern"]), []):
+            assert name == "POSSESSIVE_REPEAT", r["pattern"]
+            rows.append((len(rows), spelt_out(re._parser.parse(r["pattern"]))[0] + part * 100_000))
+    assert len(rows) == 1
+    rows += [(10, "copyright" + " 1999" * 100_000 + " x"), (11, "copyright 1999 2001 20011"), (12, "copyright 1999" + " of copyright" * 100_000), (13, "neither the name of " + "of " * 100_000), (14, "general public license " + "version 2 " * 100_000 + "later")]
+    got = {r["doc_id"]: (r["n_words"], r["labels"], r["n_detections"]) for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert got[0][1:] == ("copyright", 1) and got[10] == (100_002, "copyright", 1) and got[11] == (4, "copyright", 1)
+    assert got[12] == (200_002, "copyright", 1) and got[13][2] == 0 and got[14][2] <= 1
+
+
 def test_license_priority_decides_overlaps(spark):
     texts = {1: "without warranty of any kind express or implied warranties of merchantability", 2: "under the FreeBSD license", 3: "free for noncommercial use only", 4: "in the GNU General Public License version 2 only", 5: "released under the GNU General Public License version 2.0"}
     got = {r["doc_id"]: (r["labels"], r["n_detections"]) for r in licenses.license_scan(table(spark, list(texts.items()))).collect()}
