@@ -24,6 +24,22 @@ def within(x: Column, y: Column, rings: Sequence[Ring]) -> Column:
     return (crossings % 2 == 1) & ~on_edge
 
 
+def meets_box(x: Column, y: Column, half: float, rings: Sequence[Ring]) -> Column:
+    """Does the square of that half width around the point share a point with the polygon, edges included?
+
+    It does if its centre is inside, or if an edge meets it: an edge misses a square
+    only if their ranges in x or in y do not meet, or all four corners are on one
+    side of the edge's line. A hole that holds the whole square leaves it out.
+    """
+    hit = within(x, y, rings)
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            near = (x + half >= min(x1, x2)) & (x - half <= max(x1, x2)) & (y + half >= min(y1, y2)) & (y - half <= max(y1, y2))
+            side = F.abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))
+            hit = hit | (near & (side <= (abs(x2 - x1) + abs(y2 - y1)) * half))
+    return hit
+
+
 def within_column(x: Column, y: Column, rings: Column) -> Column:
     """The same against a column of rings: array<array<struct<x, y>>>."""
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import running_total, settled
+from .joins import join_weighted, running_total, settled
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -112,8 +112,8 @@ def trend(df: DataFrame, keys: Sequence[str], year: str, value: str, least: int
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """df with ranks from 1, equal values sharing their mean rank. Rows are counted by value first, and a group's values are spread over range partitions; rows with a NULL key or value go."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ranks = running_total(counts, keys, [value], "_c", "_b").select(*keys, value, (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    ranks = settled(running_total(counts, keys, [value], "_c", "_b").select(*keys, value, "_c", (F.col("_b") + (F.col("_c") + 1) / 2).alias(out)))
+    return join_weighted(df, ranks, [*keys, value], "_c").drop("_c")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import within
+from ..functions.geometry import meets_box, within
 
 # ---------------------------------------------------------------- events in time
 
@@ -87,17 +87,31 @@ def daily_constancy(ratios: DataFrame, keys: Sequence[str], hour: str = "t", rat
     return by.withColumn("constant", near).drop("_a", "_b")
 
 
-def anomaly(values: DataFrame, climatology: DataFrame, keys: Sequence[str], at: str, value: str, clim: str) -> DataFrame:
-    """values with the climatology interpolated linearly between its days, and the difference. Beyond the first or last day, that day's value holds."""
-    after = Window.partitionBy(*keys).orderBy("_a")
-    spans = climatology.select(*keys, F.col(at).alias("_a"), F.col(clim).alias("_va"))  # a year of days at most
+def anomaly(values: DataFrame, climatology: DataFrame, keys: Sequence[str], at: str, value: str, clim: str, width: float = 1.0) -> DataFrame:
+    """values with the climatology interpolated linearly between its days, and the difference; NULL for a key without one. Beyond the first or last day, that day's value holds.
+
+    The climatology's spans are laid out in slots of `width` from its first day to
+    its last, and a value looks its slot up by an equi-join. A slot holds the few
+    spans that touch it; a climatology has a year of days at most.
+    """
+    ends = climatology.agg(F.min(F.floor(F.col(at) / width)), F.max(F.floor(F.col(at) / width))).first()
+    if ends[0] is None:
+        return values.withColumns({"climatology": F.lit(None).cast("double"), "anomaly": F.lit(None).cast("double")})
+    spans = climatology.where(F.col(at).isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(at).cast("double").alias("_a"), F.col(clim).cast("double").alias("_va"))
+    after = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_a")
     spans = spans.withColumns({"_b": F.lead("_a").over(after), "_vb": F.lead("_va").over(after), "_first": F.row_number().over(after) == 1})
-    hit = ((F.col(at) >= F.col("_a")) | F.col("_first")) & (F.col("_b").isNull() | (F.col(at) < F.col("_b")))
-    same = [values[k].eqNullSafe(spans[k]) for k in keys]
-    both = values.join(spans, [*same, hit]) if keys else values.join(F.broadcast(spans), hit)
-    share = F.least(F.greatest((F.col(at) - F.col("_a")) / (F.col("_b") - F.col("_a")), F.lit(0.0)), F.lit(1.0))
-    at_ = F.when(F.col("_b").isNull(), F.col("_va")).otherwise(F.col("_va") + (F.col("_vb") - F.col("_va")) * share)
-    return both.withColumn("climatology", at_).withColumn("anomaly", F.col(value) - at_).select(*[values[c] for c in values.columns], "climatology", "anomaly")
+    low = F.when(F.col("_first"), F.lit(ends[0])).otherwise(F.floor(F.col("_a") / width))
+    high = F.when(F.col("_b").isNull(), F.lit(ends[1])).otherwise(F.floor(F.col("_b") / width))
+    own = [f"_k_{k}" for k in keys]
+    slots = spans.withColumn("_slot", F.explode(F.sequence(low, high))).groupBy(*own, "_slot").agg(F.array_sort(F.collect_list(F.struct("_a", "_va", "_b", "_vb"))).alias("_spans"))
+    placed = values.withColumn("_at", F.least(F.greatest(F.floor(F.col(at) / width), F.lit(ends[0])), F.lit(ends[1])))
+    both = placed.join(slots, [placed["_at"] == slots["_slot"], *[placed[k].eqNullSafe(slots[f"_k_{k}"]) for k in keys]], "left")
+    held = F.filter("_spans", lambda s: s["_a"] <= F.col(at))
+    span = F.when(F.col(at).isNotNull(), F.when(F.size(held) > 0, F.element_at(held, -1)).otherwise(F.col("_spans")[0]))
+    share = F.least(F.greatest((F.col(at) - F.col("_s._a")) / (F.col("_s._b") - F.col("_s._a")), F.lit(0.0)), F.lit(1.0))
+    at_ = F.when(F.col("_s._b").isNull(), F.col("_s._va")).otherwise(F.col("_s._va") + (F.col("_s._vb") - F.col("_s._va")) * share)
+    both = both.withColumn("_s", span).withColumn("climatology", at_)
+    return both.withColumn("anomaly", F.col(value) - F.col("climatology")).select(*values.columns, "climatology", "anomaly")
 
 
 # ---------------------------------------------------------------- fields on one grid and on others
@@ -191,19 +205,12 @@ def uncovered(pixels: DataFrame, value: str, mask: DataFrame, keys: Sequence[str
 
 
 def mask(cells: DataFrame, rings: Sequence[Sequence[tuple[float, float]]], x: str, y: str, size: float, method: str = "center_point") -> DataFrame:
-    """Cells of a polygon: those whose centre is in it, or, as full_cell, those with any part in it, by corners, edge points and the polygon's own corners. Another method raises."""
-    centre = within(F.col(x), F.col(y), rings)
+    """Cells of a polygon: those whose centre is in it, or, as full_cell, all that it touches. Another method raises."""
     if method == "center_point":
-        return cells.where(centre)
+        return cells.where(within(F.col(x), F.col(y), rings))
     if method != "full_cell":
         raise ValueError(f"no such method: {method}")
-    h = size / 2
-    corners = [within(F.col(x) + a * h, F.col(y) + b * h, rings) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    own = [F.lit(px).between(F.col(x) - h, F.col(x) + h) & F.lit(py).between(F.col(y) - h, F.col(y) + h) for ring in rings for px, py in ring]
-    touch = own[0]
-    for c in [*corners, *own[1:]]:
-        touch = touch | c
-    return cells.where(touch)
+    return cells.where(meets_box(F.col(x), F.col(y), size / 2, rings))
 
 
 def clipped(cells: DataFrame, inside: Column, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.geometry import cell
+from .joins import settled
+from .windows import TASK_ROWS, over_rows
 
 
 def peak_cell(cells: DataFrame, keys: Sequence[str], value: str = "value", floor: float = 0.0, order: Sequence[str] = ("t", "y", "x")) -> DataFrame:
@@ -42,33 +45,46 @@ def antecedent(cells: DataFrame, field: DataFrame, peaks: DataFrame, keys: Seque
     return rows.groupBy(*keys).agg(F.avg(antecedent).alias("antecedent_mean"), F.max(F.when(here, F.col(antecedent))).alias("antecedent_at_peak"))
 
 
-def peak_cluster(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", level: float = 0.5, connectivity: int = 4, rounds: int = 1000) -> DataFrame:
-    """Cells at the level or above that are connected with the peak cell, by widening a frontier; each round is one join.
+def connected_cells(cells: DataFrame, keys: Sequence[str], connectivity: int = 4, rounds: int = 60) -> DataFrame:
+    """Cells (keys, y, x) with `label`, the smallest cell (y, x) that they are connected with.
 
-    connectivity: 4, or 8 with diagonals. Only whether anything was added reaches the driver.
+    connectivity: 4, or 8 with diagonals. Neighbouring cells make edges, and in
+    each round every cell's larger neighbours, then its smaller ones, are tied to
+    its smallest neighbour, so that distances in a component shrink by more than
+    half: a chain of n cells takes about log2(n) rounds. Rounds are written to the
+    shared folder, and a count and a checksum come to the driver.
     """
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (connectivity == 8 or not dy * dx)]
+    if connectivity not in (4, 8):
+        raise ValueError(f"no such connectivity: {connectivity}")
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if connectivity == 8 else [])]
+    own = settled(cells.select(*keys, F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).alias("a")).distinct())
+    moved = F.explode(F.array(*[F.struct((F.col("a.y") + dy).alias("y"), (F.col("a.x") + dx).alias("x")) for dy, dx in steps])).alias("b")
+    now = own.select(*keys, "a", moved).join(own.withColumnRenamed("a", "b"), [*keys, "b"]).select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))  # the second step's cell comes later in (y, x)
+    now, seen = settled(now), None
+    for _ in range(rounds):
+        both = now.unionByName(now.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).select(*keys, "a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+        small = large.join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(*keys, "a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = settled(small)
+        state = now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError(f"components still changed after {rounds} rounds")
+    label = now.groupBy(*keys, "a").agg(F.min("b").alias("label"))
+    return own.join(label, [*keys, "a"], "left").select(*keys, "a.y", "a.x", F.coalesce("label", "a").alias("label"))
+
+
+def peak_cluster(cells: DataFrame, peaks: DataFrame, keys: Sequence[str], value: str = "value", level: float = 0.5, connectivity: int = 4, rounds: int = 60) -> DataFrame:
+    """Cells at the level or above that are connected with the peak cell, the one of their component that the peak is in; see connected_cells."""
     mask = cells.join(peaks.where("found").select(*keys, "peak_value", "peak_y", "peak_x"), list(keys)).where(F.col(value) >= level * F.col("peak_value"))
-    own = mask.select(*keys, "y", "x", value).persist()
-    held = [own]
-    seen = mask.where("y = peak_y and x = peak_x").select(*keys, "y", "x").distinct()
-    front = seen
-    try:
-        for n in range(rounds):
-            moves = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("m")
-            front = front.select(*keys, moves).select(*keys, "m.*").distinct().join(own, [*keys, "y", "x"], "left_semi").join(seen, [*keys, "y", "x"], "left_anti").persist()
-            held.append(front)
-            if front.isEmpty():
-                break
-            seen = seen.unionByName(front)
-            if n % 8 == 7 and cells.sparkSession.conf.get("spark.checkpoint.dir", None):
-                seen, front = seen.checkpoint(), front.checkpoint()
-        else:
-            raise RuntimeError(f"the cluster still grew after {rounds} rounds")
-        return own.join(seen, [*keys, "y", "x"])
-    finally:
-        for x in held:
-            x.unpersist()
+    labels = settled(connected_cells(mask, keys, connectivity, rounds))
+    wanted = labels.join(peaks.where("found").select(*keys, F.col("peak_y").alias("y"), F.col("peak_x").alias("x")), [*keys, "y", "x"], "left_semi").select(*keys, "label")
+    chosen = labels.join(wanted, [*keys, "label"], "left_semi").select(*keys, "y", "x")
+    return mask.select(*keys, "y", "x", value).join(chosen, [*keys, "y", "x"], "left_semi")
 
 
 def cluster_summary(cluster: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -108,14 +124,16 @@ def dense(df: DataFrame, nx: int, ny: int, fill: dict[str, float] | None = None)
     return out.na.fill(fill) if fill else out
 
 
-def slope(cells: DataFrame, keys: Sequence[str], value: str = "value", spacing: float = 1.0) -> DataFrame:
-    """Slope in degrees: central differences inside, one-sided ones at the edges. Two windows, one along rows and one along columns."""
+def slope(cells: DataFrame, keys: Sequence[str], value: str = "value", spacing: float = 1.0, most: int = TASK_ROWS) -> DataFrame:
+    """Slope in degrees: central differences inside, one-sided ones at the edges. A window along rows and one along columns; long ones are spread."""
     out = cells
     for name, other, along in (("_gy", "x", "y"), ("_gx", "y", "x")):
-        w = Window.partitionBy(*keys, other).orderBy(along)
-        low, high = F.lag(value).over(w), F.lead(value).over(w)
-        v = F.col(value)
-        out = out.withColumn(name, F.when(low.isNull(), high - v).when(high.isNull(), v - low).otherwise((high - low) / 2) / spacing)
+
+        def gradient(w: WindowSpec) -> Column:
+            low, high, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+            return F.when(low.isNull(), high - v).when(high.isNull(), v - low).otherwise((high - low) / 2) / spacing
+
+        out = over_rows(out, [*keys, other], [along], 1, 1, {name: gradient}, most)
     return out.withColumn("slope", F.degrees(F.atan(F.hypot("_gx", "_gy")))).drop("_gx", "_gy")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import average_rank, correlation, spearman, with_p_value
-from .joins import settled
+from .joins import in_parts, join_weighted, settled
 
 # ---------------------------------------------------------------- descriptions and distributions
 
@@ -146,7 +147,7 @@ def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFr
             yield b[list(keys)].assign(n=b["n"], _v=b["_v"], _i=[i for i, _ in out], _b=[c for _, c in out])
 
     solved = gram.mapInPandas(solve, f"{head}n long, _v double, _i array<double>, _b array<double>").where("_b is not null")
-    both = rows.join(solved, list(keys)) if keys else rows.join(F.broadcast(solved))
+    both = join_weighted(rows, settled(solved), keys, "n") if keys else rows.join(F.broadcast(solved))
     leverage = sum((x[i] * x[j] * F.col("_i")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
     residual = F.col("_y") - sum((x[i] * F.col("_b")[i] for i in range(p)), F.lit(0.0))
     both = both.withColumns({"_e": residual, "_h": F.greatest(1 - leverage, F.lit(1e-12))})
@@ -168,22 +169,105 @@ def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFr
     return got.mapInPandas(errors, f"{head}term string, estimate double, se double, low double, high double, p double, r2 double, n long")
 
 
-def median_regression(df: DataFrame, y: str, xs: Sequence[str], rounds: int = 60, least: float = 1e-6) -> dict[str, float]:
-    """Coefficients that make the sum of absolute residuals least, by reweighted least squares: an aggregation of a few sums per round, rows with a NULL left out."""
+class MedianFit(NamedTuple):
+    """Coefficients by term, the sum of absolute residuals, and how much above the dual bound that sum is at most."""
+
+    coefficients: dict[str, float]
+    objective: float
+    gap: float
+
+
+def least_absolute(x: np.ndarray, y: np.ndarray, w: np.ndarray, pull: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coefficients b that make sum(w * |y - x b|) - pull . b least, and the multipliers of the rows; None if there is no least.
+
+    From p rows that the fit goes through to the next p, along an edge on which
+    the sum falls to the row where it stops falling. At the end each multiplier is
+    within its weight, which proves the optimum. Rows are moved by some 1e-9 of
+    their spread, at random, so that no two choices are equal.
+    """
+    n, p = x.shape
+    shifted = y + np.random.default_rng(0).uniform(-1, 1, n) * 1e-9 * (np.abs(y - y.mean()).mean() + 1e-300)
+    basis: list[int] = []
+    for i in np.argsort(np.abs(shifted - x @ start), kind="stable"):
+        if np.linalg.matrix_rank(x[[*basis, i]]) > len(basis):
+            basis.append(int(i))
+        if len(basis) == p:
+            break
+    if len(basis) < p:
+        return None
+    for _ in range(100 * (p + 10) + n):
+        inverse = np.linalg.inv(x[basis])
+        r = shifted - x @ (inverse @ shifted[basis])
+        r[basis] = 0.0
+        sign = np.sign(r) * w
+        mu = -inverse.T @ (sign @ x + pull)
+        excess = np.abs(mu) - w[basis]
+        k = int(excess.argmax())
+        if excess[k] <= 1e-9 * (1 + w.max()):
+            sign[basis] = mu
+            return inverse @ y[basis], sign
+        along = x @ (inverse[:, k] * -np.sign(mu[k]))
+        along[basis] = 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(along != 0, r / along, -1.0)
+        ahead = np.flatnonzero(t > 0)
+        ahead = ahead[np.argsort(t[ahead], kind="stable")]
+        rise = -excess[k] + np.cumsum(2 * w[ahead] * np.abs(along[ahead]))
+        if not len(rise) or rise[-1] < 0:
+            return None
+        basis[k] = int(ahead[np.argmax(rise >= 0)])
+    return None
+
+
+def median_regression(df: DataFrame, y: str, xs: Sequence[str], most: int = 5000, rounds: int = 30) -> MedianFit:
+    """Coefficients that make the sum of absolute residuals least, with the proof that they do; rows with a NULL go.
+
+    Some rounds of reweighted least squares lead near the optimum. Rows far from the
+    fit keep the side that they are on and count by their sum; the `most` rows
+    nearest to it, equal ones taken together, come to the driver, where the problem
+    with these alone is solved exactly. If all far rows are still on their sides,
+    the solution is that of all rows; if not, it is the next start, with twice as
+    many near rows after some tries. Raises where `rounds` are not enough.
+    """
     p = len(xs) + 1
     rows = settled(df.where(" and ".join(f"`{c}` is not null" for c in (y, *xs))).select(F.col(y).cast("double").alias("_y"), F.array(*_terms(xs)).alias("_x")))
-    x, beta = [F.col("_x")[k] for k in range(p)], None
-    for _ in range(rounds):
-        e = None if beta is None else F.col("_y") - sum((x[i] * float(beta[i]) for i in range(p)), F.lit(0.0))
-        w = F.lit(1.0) if e is None else 1 / F.greatest(F.abs(e), F.lit(least))
-        got = rows.agg(*[F.sum(w * x[i] * x[j]) for i in range(p) for j in range(p)], *[F.sum(w * x[i] * F.col("_y")) for i in range(p)]).first()
-        g = np.array([v or 0.0 for v in got])
+    x, beta, least = [F.col("_x")[k] for k in range(p)], None, 1e-6
+    residual = lambda b: F.col("_y") - sum((x[i] * float(b[i]) for i in range(p)), F.lit(0.0))
+    for _ in range(10):
+        w = F.lit(1.0) if beta is None else 1 / F.greatest(F.abs(residual(beta)), F.lit(least))
+        got = rows.agg(*[F.sum(w * x[i] * x[j]) for i in range(p) for j in range(p)], *[F.sum(w * x[i] * F.col("_y")) for i in range(p)], F.avg(F.abs("_y"))).first()
+        if got[0] is None:
+            raise ValueError("no row is without a NULL")
+        g = np.array(got[:-1], float)
         new = np.linalg.lstsq(g[: p * p].reshape(p, p), g[p * p :], rcond=None)[0]
-        if beta is not None and np.abs(new - beta).max() <= 1e-9 * (1 + np.abs(beta).max()):
-            beta = new
+        done = beta is not None and np.abs(new - beta).max() <= 1e-4 * (1 + np.abs(beta).max())
+        beta, least = new, 1e-6 * (got[-1] or 1.0)
+        if done:
             break
+    for attempt in range(rounds):
+        r = residual(beta)
+        octave = F.floor(8 * F.log2(F.greatest(F.abs(r), F.lit(1e-300))))
+        sizes = sorted((k["b"], k["n"]) for k in rows.groupBy(octave.alias("b")).agg(F.count("*").alias("n")).collect())  # 8 rows for each power of two
+        upto = np.cumsum([n for _, n in sizes])
+        last = max(0, int(np.searchsorted(upto, most * 2 ** (attempt // 3), side="right")) - 1)
+        limit = 2.0 ** ((sizes[last][0] + 1) / 8)
+        near = rows.where(F.abs(r) < limit).groupBy("_y", "_x").agg(F.count("*").alias("n")).limit(200_001).collect()
+        if len(near) > 200_000:
+            raise RuntimeError("too many different rows are as near as the nearest ones")
+        far = F.abs(r) >= limit
+        pull = rows.where(far).agg(*[F.coalesce(F.sum(F.signum(r) * c), F.lit(0.0)) for c in x], F.coalesce(F.sum(F.signum(r) * F.col("_y")), F.lit(0.0))).first()
+        a = np.array([k["_x"] for k in near], float).reshape(-1, p)
+        b, n = np.array([k["_y"] for k in near], float), np.array([k["n"] for k in near], float)
+        got = least_absolute(a, b, n, np.array(pull[:p], float), beta)
+        if got is None:  # the near rows do not hold the fit: take more of them
+            most *= 2
+            continue
+        new, multipliers = got
+        wrong, objective = rows.agg(F.count_if(far & (F.signum(residual(new)) != F.signum(r))), F.sum(F.abs(residual(new)))).first()
+        if not wrong:
+            return MedianFit(dict(zip(["intercept", *xs], map(float, new), strict=True)), float(objective), float(objective - (multipliers @ b + pull[p])))
         beta = new
-    return dict(zip(["intercept", *xs], map(float, beta), strict=True))
+    raise RuntimeError(f"the regression did not settle in {rounds} rounds")
 
 
 # ---------------------------------------------------------------- correlation
@@ -270,28 +354,64 @@ def grouped_value(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
 def block_bootstrap(df: DataFrame, keys: Sequence[str], year: str, value: str, early: tuple[int, int], late: tuple[int, int], draws: int = 200, seed: int = 0) -> DataFrame:
     """By group the difference of medians, late minus early, and its 2.5 and 97.5 percentiles when whole years are drawn with replacement within each period.
 
-    Values are counted by group, year and value first; a draw is a weight per
-    year, so what is exploded is counts times draws. Years are few: their weights
-    are made on the driver.
+    Values are counted by group and period, with a count per year. A running total
+    of these over range partitions tells of each value, for any weights of the
+    years, which ranks it has: so every draw finds its two middle values by a
+    product of counts and weights where they are read. What is shuffled is the
+    counts, whatever the number of draws, and two rows per group, period and draw.
     """
     rng = np.random.default_rng(seed)
-    weights = []
-    for name, (a, b) in (("early", early), ("late", late)):
-        span = range(a, b + 1)
-        for d in range(draws):
-            weights += [(name, int(y), d, int(w)) for y, w in zip(span, rng.multinomial(len(span), [1 / len(span)] * len(span)), strict=True) if w]
-        weights += [(name, int(y), -1, 1) for y in span]  # draw -1 is the data as they are
+    spans = {"early": early, "late": late}
+    width = max(b - a + 1 for a, b in spans.values())
+    weights = {}
+    for name, (a, b) in spans.items():
+        n = b - a + 1
+        drawn = np.array([rng.multinomial(n, [1 / n] * n) for _ in range(draws)]).reshape(draws, n)
+        weights[name] = np.pad(np.concatenate((np.ones((1, n), np.int64), drawn)), ((0, 0), (0, width - n)))  # the first is the data as they are
     period = F.when(F.col(year).between(*early), "early").when(F.col(year).between(*late), "late")
-    counts = df.where(F.col(value).isNotNull()).withColumn("period", period).where("period is not null").groupBy(*keys, "period", F.col(year).cast("int").alias("year"), value).agg(F.count("*").alias("_c"))
-    drawn = counts.join(F.broadcast(df.sparkSession.createDataFrame(weights, "period string, year int, draw int, w int")), ["period", "year"])
-    medians = drawn.groupBy(*keys, "draw", "period").agg(F.percentile(value, 0.5, F.col("_c") * F.col("w")).alias("m"))
+    rows = df.where(F.col(value).isNotNull()).withColumn("period", period).where("period is not null")
+    index = F.col(year).cast("int") - F.when(F.col("period") == "early", early[0]).otherwise(late[0])
+    group, counts = [*keys, "period"], [f"_c{k}" for k in range(width)]
+    rows = in_parts(rows.groupBy(*group, F.col(value).cast("double").alias("_v")).agg(*[F.count_if(index == k).alias(c) for k, c in enumerate(counts)]), [*group, "_v"]).drop("_mono")
+    over = Window.partitionBy(*group)
+    earlier = over.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("_pid", *group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.array(*[F.coalesce(F.sum(c).over(w), F.lit(0)) for c in counts])
+    parts = rows.groupBy("_pid", *group).agg(*[F.sum(c).alias(c) for c in counts])  # a row per group and part
+    parts = parts.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_k_{g}") for g in group], total(earlier).alias("_before"), total(over).alias("_all"))
+    on = [rows["_pid"] == parts["_p"], *[rows[g].eqNullSafe(parts[f"_k_{g}"]) for g in group]]
+    placed = rows.withColumn("_in", total(here)).withColumn("_own", F.array(*counts)).join(parts, on).select(*group, "_v", "_own", F.zip_with("_before", "_in", lambda a, b: a + b).alias("_below"), "_all")
+    head = "".join(f"`{c}` {t}, " for c, t in placed.dtypes if c in keys)
+
+    def middles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, own in b.groupby("period"):
+                w = weights[name].T
+                size, below, all_ = (np.array(own[c].to_list()).reshape(len(own), width) @ w for c in ("_own", "_below", "_all"))
+                for rank in ((all_ - 1) // 2, all_ // 2):
+                    i, draw = np.nonzero((all_ > 0) & (below <= rank) & (rank < below + size))
+                    yield own.iloc[i][[*keys, "period", "_v"]].assign(draw=draw - 1)
+
+    medians = placed.mapInPandas(middles, f"{head}period string, _v double, draw int").groupBy(*keys, "draw", "period").agg(F.avg("_v").alias("m"))
     gaps = medians.groupBy(*keys, "draw").agg((F.max(F.when(F.col("period") == "late", F.col("m"))) - F.max(F.when(F.col("period") == "early", F.col("m")))).alias("gap"))
     real = F.col("draw") >= 0
     return gaps.groupBy(*keys).agg(F.max(F.when(~real, F.col("gap"))).alias("difference"), F.percentile(F.when(real, F.col("gap")), 0.025).alias("low"), F.percentile(F.when(real, F.col("gap")), 0.975).alias("high"))
 
 
-def effect(df: DataFrame, keys: Sequence[str], late: Column, value: str) -> DataFrame:
-    """By group the late mean less the early one, as percent of the early mean, with HC3 bounds of 95 %, and both numbers of rows. One aggregation."""
+def effect(df: DataFrame, keys: Sequence[str], late: Column, value: str, controls: Sequence[str] = ()) -> DataFrame:
+    """By group the late mean less the early one, as percent of the early mean, with HC3 bounds of 95 %, and both numbers of rows. One aggregation.
+
+    With controls, the coefficient of being late in a regression on it and them
+    takes the difference's place; rows without a control's value go.
+    """
+    if controls:
+        rows = df.where(" and ".join(f"`{c}` is not null" for c in (value, *controls))).withColumn("_late", late.cast("double"))
+        fit = ols(rows, keys, value, ["_late", *controls]).where("term = '_late'").select(*keys, "estimate", "low", "high")
+        early = F.when(~late, F.col(value))
+        means = rows.groupBy(*keys).agg(F.avg(early).alias("_mean"), F.count(early).alias("n_early"), F.count(F.when(late, F.col(value))).alias("n_late"))
+        both = fit.join(means, list(keys)) if keys else fit.join(F.broadcast(means))
+        scale = 100 / F.nullif(F.abs("_mean"), F.lit(0.0))
+        return both.select(*keys, *[(F.col(c) * scale).alias(name) for c, name in (("estimate", "effect_pct"), ("low", "low_pct"), ("high", "high_pct"))], "n_early", "n_late")
     v = lambda m: F.when(m, F.col(value))
     agg = [x for s, m in (("e", ~late), ("l", late)) for x in (F.avg(v(m)).alias(f"_m{s}"), F.var_pop(v(m)).alias(f"_v{s}"), F.count(v(m)).alias(f"n_{s}"))]
     out = df.groupBy(*keys).agg(*agg)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import within_column
@@ -98,20 +98,33 @@ def bind_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str | C
     return a.join(b.drop(*dup), "_place").drop("_place")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder that spark.checkpoint.dir names and read back: for results that another computation, or one after a lost executor, could give differently."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that spark.checkpoint.dir names; a temporary one where that is unset, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/parts-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: for results that another computation, or one after a lost executor, could give differently."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_weighted(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, most: int = 1000) -> DataFrame:
+    """Inner join where right has a row per key, and in `weight` how many of left's rows have it. Keys with over 1 / most of all rows, `most` at most, are broadcast, so their rows stay where they are; the rest is shuffled."""
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * F.lit(most) > F.lit(total)
+    hot, other = right.where(is_hot), right.where(~is_hot)
+    return left.join(F.broadcast(hot), list(keys)).unionByName(left.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(other, list(keys)))
+
+
 def in_parts(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """df in range partitions of an order, sorted, with their numbers in `_pid`. Settled: bounds come from samples, and all uses have to see the same parts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .joins import running_total, with_place
 
 
-def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, least: int, out: str = "rolling") -> DataFrame:
-    """Centred rolling mean; an even width reaches one row further back. NULL with fewer than `least` values."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumn(out, F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
+#: Rows of one group that a window takes in one task; groups of more are spread.
+TASK_ROWS = 1_000_000
 
 
-def rolling_max_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, hours: Sequence[int]) -> DataFrame:
+def over_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int, ahead: int, columns: dict[str, Callable[[WindowSpec], Column]], most: int = TASK_ROWS) -> DataFrame:
+    """df with columns over windows that reach at most `back` rows back and `ahead` rows on in their group; columns get the ordered window, and give it its frame.
+
+    Where no group has more than `most` rows, a plain window per group does.
+    Otherwise rows are placed in the order of group and order and cut into runs
+    of `most`; each run also gets the `back` rows before it and the `ahead` rows
+    behind it, makes its columns, and drops those guests. Only that many rows
+    are copied per run, and one group with all rows is spread over all runs.
+    """
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return df.withColumns({name: made(plain) for name, made in columns.items()})
+    size = max(most, back, ahead)
+    rows = with_place(df, [*keys, *order])
+    run, at = F.floor(F.col("_place") / size), F.col("_place") % size
+    copies = F.filter(F.array(F.struct(run.alias("run"), F.lit(True).alias("own")), F.when((at < ahead) & (run > 0), F.struct((run - 1).alias("run"), F.lit(False).alias("own"))), F.when(at >= size - back, F.struct((run + 1).alias("run"), F.lit(False).alias("own")))), lambda c: c.isNotNull())
+    rows = rows.withColumn("_r", F.explode(copies)).withColumns({"_run": F.col("_r.run"), "_own": F.col("_r.own")})
+    here = Window.partitionBy("_run", *keys).orderBy("_place")
+    return rows.withColumns({name: made(here) for name, made in columns.items()}).where("_own").drop("_r", "_run", "_own", "_place")
+
+
+def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, least: int, out: str = "rolling", most: int = TASK_ROWS) -> DataFrame:
+    """Centred rolling mean; an even width reaches one row further back. NULL with fewer than `least` values. The order has to be total in a group."""
+    back, ahead = width // 2, (width - 1) // 2
+
+    def mean(w: WindowSpec) -> Column:
+        w = w.rowsBetween(-back, ahead)
+        return F.when(F.count(value).over(w) >= least, F.avg(value).over(w))
+
+    return over_rows(df, keys, order, back, ahead, {out: mean}, most)
+
+
+def rolling_max_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, hours: Sequence[int], most: int = TASK_ROWS) -> DataFrame:
     """By group the largest sum of h consecutive rows for each h, or of all rows if there are fewer."""
-    full = Window.partitionBy(*keys)
-    at = full.orderBy(*order)
-    rows = df.withColumn("_n", F.count("*").over(full)).withColumn("_k", F.row_number().over(at))
-    for h in hours:
-        rows = rows.withColumn(f"_s{h}", F.when(F.col("_k") >= F.least(F.lit(h), F.col("_n")), F.sum(value).over(at.rowsBetween(-(h - 1), 0))))
-    return rows.groupBy(*keys).agg(*[F.max(f"_s{h}").alias(f"max_{h}h") for h in hours])
+
+    def trailing(h: int) -> Callable[[WindowSpec], Column]:
+        return lambda w: F.when(F.count("*").over(w.rowsBetween(-(h - 1), 0)) == h, F.sum(value).over(w.rowsBetween(-(h - 1), 0)))
+
+    rows = over_rows(df, keys, order, max(hours) - 1, 0, {f"_s{h}": trailing(h) for h in hours}, most)
+    return rows.groupBy(*keys).agg(*[F.when(F.count("*") >= h, F.max(f"_s{h}")).otherwise(F.sum(value)).alias(f"max_{h}h") for h in hours])
 
 
 def group_number(df: DataFrame, key: Sequence[str], order: str, out: str = "group_id") -> DataFrame:
@@ -93,8 +125,8 @@ def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], out
     return placed.join(sizes, list(keys)).withColumn(out, (F.col("_before_") + 1) / F.col("_size")).drop("_one", "_before_", "_size")
 
 
-def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, most: int = TASK_ROWS) -> DataFrame:
     """By group the rate of changes between dry and wet."""
-    w = Window.partitionBy(*keys).orderBy(*order)
     wet = F.col(value) > 0
-    return df.withColumn("_c", (wet != F.lag(wet).over(w)).cast("int")).groupBy(*keys).agg((F.sum(F.coalesce("_c", F.lit(0))) / F.count("*")).alias("transition_rate"))
+    rows = over_rows(df, keys, order, 1, 0, {"_c": lambda w: (wet != F.lag(wet).over(w)).cast("int")}, most)
+    return rows.groupBy(*keys).agg((F.sum(F.coalesce("_c", F.lit(0))) / F.count("*")).alias("transition_rate"))

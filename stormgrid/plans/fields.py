@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binning, text
 from ..functions.geometry import distance, in_box
 from ..operators import fields, grids, joins, reshape, windows
+from ..sources import scans
 from .base import CELLS, PEAKS, cells, query, r, table, tidy
 
 #: Shipped quantity by supplier's nation (y), line number (x) and month (t), and by year as event.
@@ -222,6 +225,12 @@ def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(fields.mask(cells(spark, sf_dir), [[(-1, -1), (7, -1), (-1, 7)]], "x", "y", 1.0))
 
 
+@query(f"""WITH {CELLS} SELECT event, y, x, value FROM cells WHERE abs(x - 2 * y - 0.3) <= 1.5 AND x <= 6.8 AND y <= 3.75""")
+def sliver_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that a polygon thinner than any of them touches: a ring there and back along x = 2 y + 0.3."""
+    return tidy(fields.mask(cells(spark, sf_dir), [[(-1.7, -1.0), (6.3, 3.0), (6.3, 3.0)]], "x", "y", 1.0, "full_cell"))
+
+
 @query(f"""WITH {CELLS} SELECT event, y, x, {r("sqrt((y - 4) * (y - 4) + (x - 4) * (x - 4))", "away")} FROM cells""")
 def distance_from_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(cells(spark, sf_dir).select("event", "y", "x", distance(F.col("y") - 4, F.col("x") - 4).alias("away")))
@@ -314,3 +323,57 @@ def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(5.0).alias("target"), (F.col("l_tax") * 100).alias("tax"), (F.col("l_discount") * 100).alias("discount"), F.col("l_quantity").alias("quantity"))
     return tidy(windows.nearest_of(rows, "target", ["tax", "discount", "quantity"]).select("l_orderkey", "l_linenumber", "nearest"))
+
+
+# ---------------------------------------------------------------- files
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{joins.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS start, 'status' || o_orderstatus AS catchment, '01' AS ens, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey % 7, o_orderkey) AS event_num FROM orders""")
+def event_files_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event files, one per status, whose rows are in an order of their own, written and read again: numbers follow the files."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("status"), F.col("o_orderstatus"), F.lit("_01")).alias("file"), (F.col("o_custkey") % 7).alias("_k"), F.col("o_orderkey").cast("int").alias("start_indices"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in scans.EVENT_SCHEMA.split(", ")[1:])])
+    rows.repartition("file").sortWithinPartitions("file", "_k", "start_indices").drop("_k").write.option("header", True).partitionBy("file").csv(folder)
+    got = scans.event_files(spark, folder, r"file=([^/]+)_(\d{2})/[^/]*\.csv$")
+    return tidy(got.select(F.col("start_indices").cast("long").alias("start"), F.col("catchment_num").alias("catchment"), "ens", "event_num"))
+
+
+@query("""SELECT CAST(year(l_shipdate) AS VARCHAR) AS ens, CAST(dayofyear(l_shipdate) AS BIGINT) AS hour360, l_suppkey % 10 AS y, CASE WHEN sum(l_quantity) <> 25 THEN sum(l_quantity) END AS value
+FROM lineitem WHERE dayofyear(l_shipdate) >= 100 AND dayofyear(l_shipdate) < 160 AND year(l_shipdate) = 1996 GROUP BY 1, 2, 3""")
+def member_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written as a folder per member and read again: one member, a range of hours, one value that means none."""
+    folder = _folder(spark)
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").cast("string").alias("ens"), F.dayofyear("l_shipdate").cast("long").alias("hour360"), (F.col("l_suppkey") % 10).alias("y")).agg(F.sum("l_quantity").alias("value"))
+    scans.write_parts(cells, folder, ["ens"])
+    return scans.grid_cells(spark, folder, "1996", (100, 160), nodata=25.0).select(F.col("ens").cast("string").alias("ens"), "hour360", "y", "value")
+
+
+@query("""SELECT l_suppkey AS row, CAST(l_linenumber AS BIGINT) AS col, CASE WHEN max(l_quantity) < 50 THEN max(l_quantity) END AS value FROM lineitem WHERE l_suppkey BETWEEN 10 AND 40 AND l_linenumber BETWEEN 2 AND 5 GROUP BY 1, 2""")
+def pixels_in_a_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster's pixels written and read again in a box, nodata as NULL."""
+    folder = _folder(spark)
+    table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_linenumber").cast("long").alias("col")).agg(F.max("l_quantity").alias("value")).write.parquet(folder)
+    return scans.pixels(spark, folder, nodata=50.0, box=(10, 2, 40, 5))
+
+
+@query("""WITH c AS (SELECT CAST(l_linenumber AS BIGINT) AS event_num, l_suppkey % 10 AS cell, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT event_num, cell, v AS value FROM c""")
+def flood_cells_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flood tables of two depths, written in folders by depth and variable, of which one is read; events without a cell would raise."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("event_num"), (F.col("l_suppkey") % 10).alias("cell")).agg(F.sum("l_quantity").alias("value"))
+    both = rows.withColumns({"depth": F.explode(F.array(F.lit(10), F.lit(30))), "variable": F.lit("area")})
+    scans.write_parts(both.withColumn("value", F.when(F.col("depth") == 10, F.col("value")).otherwise(-F.col("value"))), folder, ["depth", "variable"])
+    return scans.flood_cells(spark, folder, 10, "area").select("event_num", "cell", "value")
+
+
+@query("""SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1""")
+def work_not_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose folder is not there yet."""
+    folder = _folder(spark)
+    n = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    scans.write_parts(n.where("o_orderpriority = '1-URGENT'"), folder, ["o_orderpriority"])
+    return scans.not_written(n, spark, folder, ["o_orderpriority"])

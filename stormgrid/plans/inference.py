@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binning
-from ..ml import models
+from ..ml import explain, models
 from ..operators import aggregates, inference, joins, reshape
 from .base import FACTS, facts, query, r, table, tidy
 
@@ -184,6 +184,29 @@ def late_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(inference.effect(facts(spark, sf_dir), ["region"], F.col("year") >= 1998, "o_totalprice"))
 
 
+@query(f"""WITH {FACTS}, b AS (SELECT region AS g, CASE WHEN year >= 1998 THEN 1.0 ELSE 0.0 END AS a, c_acctbal AS b, o_totalprice AS y FROM facts), m AS (SELECT g, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM b GROUP BY g),
+c AS (SELECT g, n, a - ma AS a, b - mb AS b, y - my AS y FROM b JOIN m USING (g)),
+s AS (SELECT g, any_value(n) AS n, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS yb FROM c GROUP BY g),
+t AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s),
+e AS (SELECT c.g, ca, det, bb, ab, c.a, c.b, c.y - ca * c.a - cb * c.b AS e, 1 / t.n + (c.a * c.a * bb - 2 * c.a * c.b * ab + c.b * c.b * aa) / det AS h FROM c JOIN t USING (g)),
+v AS (SELECT g, any_value(ca) AS c, sqrt(sum(e * e / ((1 - h) * (1 - h)) * ((a * bb - b * ab) / det) * ((a * bb - b * ab) / det))) AS s FROM e GROUP BY g),
+k AS (SELECT g, avg(y) FILTER (a = 0) AS me, count(*) FILTER (a = 0) AS n_early, count(*) FILTER (a = 1) AS n_late FROM b GROUP BY g)
+SELECT g AS region, {r("c / abs(me) * 100", "effect_pct")}, {r("(c - 1.96 * s) / abs(me) * 100", "low_pct")}, {r("(c + 1.96 * s) / abs(me) * 100", "high_pct")}, n_early, n_late FROM v JOIN k USING (g)""")
+def late_effect_with_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(inference.effect(facts(spark, sf_dir), ["region"], F.col("year") >= 1998, "o_totalprice", ["c_acctbal"]))
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS k, CAST(s_nationkey AS DOUBLE) AS x, s_acctbal AS y FROM supplier),
+lines AS (SELECT DISTINCT (b.y - a.y) / (b.x - a.x) AS slope, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS intercept FROM p a JOIN p b ON a.x < b.x),
+fits AS (SELECT slope, intercept, sum(abs(y - intercept - slope * x)) AS objective FROM lines, p GROUP BY 1, 2),
+best AS (SELECT * FROM fits ORDER BY objective LIMIT 1)
+SELECT 'intercept' AS term, {r("intercept", "estimate", 3)}, {r("objective", digits=3)}, true AS proved FROM best UNION ALL SELECT 'x', {r("slope", "estimate", 3)}, {r("objective", digits=3)}, true FROM best""")
+def median_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = inference.median_regression(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("double").alias("x"), "s_acctbal"), "s_acctbal", ["x"])
+    proved = abs(fit.gap) <= 1e-6 * (1 + fit.objective)
+    return tidy(spark.createDataFrame([(t, v, fit.objective, proved) for t, v in fit.coefficients.items()], "term string, estimate double, objective double, proved boolean"), 3)
+
+
 @query(" UNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'''(avg({f}) FILTER (l_returnflag = 'R') - avg({f}) FILTER (l_returnflag <> 'R')) / sqrt((var_samp({f}) FILTER (l_returnflag = 'R') + var_samp({f}) FILTER (l_returnflag <> 'R')) / 2)''', 'smd')} FROM lineitem" for f in _Q))
 def balance_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(inference.balance(table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R", _Q))
@@ -261,6 +284,22 @@ def gain_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.gain_by_class(_sample(spark, sf_dir), "linear", ["l_tax"], ["l_quantity"], "l_extendedprice", "key", "l_returnflag", 2)
 
 
+@query()
+def shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute shares of a forest's predictions by class and feature, and of grouped features."""
+    rows, ready = _sample(spark, sf_dir), models.regressor("forest", _Q, "l_extendedprice", numTrees=5, maxDepth=4)
+    fit = ready.fit(rows)
+    known = explain.share_columns(explain.with_shares(fit.stages[-1], fit.transform(rows), "_features"), _Q)
+    both = explain.share_columns(known, _Q, {"price": ["l_discount", "l_tax"]})
+    return tidy(explain.share_summary(both, [*_Q, "price"], ["l_returnflag"]))
+
+
+@query()
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and deviations of a linear model's scores over three folds."""
+    return tidy(models.fold_summary(models.out_of_fold(_sample(spark, sf_dir), "linear", _Q, "l_extendedprice", "key", 3), "l_extendedprice"))
+
+
 @query()
 def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.cluster_sweep(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("double").alias("nation"), "s_acctbal"), ["nation", "s_acctbal"], (2, 4))

@@ -51,7 +51,7 @@ def test_cluster_that_still_grows_raises(spark):
     cells = spark.createDataFrame([(1, 0, x, 9.0 - x / 100) for x in range(6)], "event int, y int, x int, value double")
     peaks = grids.peak_cell(cells, ["event"])
     with pytest.raises(RuntimeError):
-        grids.peak_cluster(cells, peaks, ["event"], rounds=2)
+        grids.peak_cluster(cells, peaks, ["event"], rounds=1)
     assert grids.peak_cluster(cells, peaks, ["event"]).count() == 6
 
 
@@ -117,7 +117,8 @@ def test_regression_against_numpy(spark):
     assert [got[t]["estimate"] for t in ("intercept", "a", "b", "c")] == pytest.approx(list(beta)) and [got[t]["se"] for t in ("intercept", "a", "b", "c")] == pytest.approx(list(se))
     assert {r["n"] for r in got.values()} == {80}
     fit = inference.median_regression(df.where("k = 'g'"), "y", ["a", "b", "c"])
-    off = np.abs(y - m @ [fit[t] for t in ("intercept", "a", "b", "c")]).sum()
+    off = np.abs(y - m @ [fit.coefficients[t] for t in ("intercept", "a", "b", "c")]).sum()
+    assert off == pytest.approx(fit.objective) and abs(fit.gap) < 1e-6
     assert all(off <= np.abs(y - m @ (beta + rng.normal(size=4) * s)).sum() + 1e-6 for s in (0.0, 0.05, 0.2, 0.5) for _ in range(50))
 
 
