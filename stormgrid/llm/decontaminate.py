@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_SEP, NULL_ID, bloom, maybe_in, mixed, slices, written
 
-#: Largest edit distance as a share of the item's length, the share of such passages to find, and their length in characters that the number of tables is reckoned for.
-EDITS, RECALL, LENGTH = 0.2, 0.9, 120
-#: Steps of a walk, for items long enough; each table samples half of them.
-STEPS = 32
+#: Largest edit distance as a share of the item's length, the share of such passages to find, and the share of random words that tables are reckoned for: texts have fewer and longer words.
+EDITS, RECALL, TRIED = 0.2, 0.9, 0.93
+#: Steps of a walk at most, and the shortest items in characters that have so many: fewer edits fall into shorter walks. Each table samples half of them.
+STEPS, SHORTEST = 32, {32: 120, 24: 72}
 #: Windows begin where words do, and at every further character of a longer word than this.
 LONG_WORD = 12
 #: Candidate places of one item this near to each other are verified together.
@@ -34,8 +34,11 @@ _VALUES = _random.integers(0, 1 << 63, (STEPS, 256), dtype=np.uint64)
 
 
 def steps_for(size: int) -> int:
-    """Steps of an item's windows: STEPS, or the largest smaller power of two with half as many characters again in the item."""
-    n = STEPS
+    """Steps of an item's windows: by SHORTEST, or else 16 or the largest smaller power of two with half as many characters again in the item."""
+    for n, least in SHORTEST.items():
+        if size >= least:
+            return n
+    n = 16
     while n > 1 and 3 * n > 2 * size:
         n //= 2
     return n
@@ -77,29 +80,37 @@ def window_starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~gap & ((within == 0) | (within >= LONG_WORD))).astype(np.int32)
 
 
-def table_keys(kind: np.ndarray, starts: np.ndarray, steps: int, tables: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """CGK's random walk over characters from each start, and for each table a hash of the steps that it samples; where the walks end.
+def table_keys(kind: np.ndarray, starts: np.ndarray, tables: dict[int, int]) -> dict[int, tuple[list[np.ndarray], np.ndarray]]:
+    """CGK's random walk over characters from each start: for each number of steps and its number of tables, a hash for each table of the steps that it samples; and where the walks end.
 
     At each step a random bit of the character there says whether the walk moves
     on. An edit in a window disturbs a few steps until two walks are in step
     again, so the embeddings' Hamming distance follows the edit distance, and a
-    table misses the disturbed steps with a chance that does so as well.
+    table misses the disturbed steps with a chance that does so as well. Shorter
+    walks are the beginnings of longer ones.
     """
     at = starts.copy()
-    out = [np.full(len(starts), t, np.uint64) for t in range(tables)]
-    for j, users in enumerate(sampled(steps, tables)):
+    keys = {n: [np.full(len(starts), t, np.uint64) for t in range(m)] for n, m in tables.items()}
+    users = {n: sampled(n, m) for n, m in tables.items()}
+    out = {}
+    for j in range(max(tables, default=0)):
         now = kind[at]
         value = _VALUES[j][now]
-        for t in users:
-            out[t] += value
+        for n, some in users.items():
+            if j < n:
+                for t in some[j]:
+                    keys[n][t] += value
         at += _MOVES[j][now]
-    return [mixed(x) for x in out], at
+        if j + 1 in tables:
+            out[j + 1] = [mixed(x) for x in keys[j + 1]], at.copy()
+    return out
 
 
 @cache
-def tables_for(edits: float = EDITS, recall: float = RECALL, length: int = LENGTH, most: int = 64, trials: int = 200) -> int:
-    """How many tables find the wanted share of passages of that length with that share of edits: tried out on random words, edited at random. `most` if none does."""
+def tables_for(steps: int, edits: float = EDITS, recall: float = TRIED, most: int = 64, trials: int = 300) -> int:
+    """How many tables of so many steps find the wanted share of the shortest passages that have them, with that share of edits: tried out on random words, edited at random. If none does, as many as find almost what `most` would."""
     rng = np.random.default_rng(3)
+    length = SHORTEST.get(steps, -(-3 * steps // 2))
     first = np.full(trials, most)
     for trial in range(trials):
         text = list(rng.choice(np.array([*"abcdefghijklmnopqrstuvwxyz    "]), length))
@@ -109,12 +120,13 @@ def tables_for(edits: float = EDITS, recall: float = RECALL, length: int = LENGT
             text[k : k + 1] = [] if way == 0 else [chr(97 + int(rng.integers(26)))] if way == 1 else [text[k], chr(97 + int(rng.integers(26)))]
         passage, _ = normalised(["".join(text)])
         a, b = window_starts(item), window_starts(passage)
-        steps = steps_for(int(start[1]) - 1)
-        x, end = table_keys(kinds(item), a, steps, most)
-        y, _ = table_keys(kinds(passage), b, steps, most)
-        fits = (end < start[1] - 1)[:, None] & (np.abs(a[:, None] - b[None, :]) <= edits * length)
+        x, end = table_keys(kinds(item), a, {steps: most})[steps]
+        y, _ = table_keys(kinds(passage), b, {steps: most})[steps]
+        whole = (end < start[1] - 1) | (a == 0)
+        fits = whole[:, None] & (np.abs(a[:, None] - b[None, :]) <= edits * length + 1)
         first[trial] = next((t for t in range(most) if (fits & (x[t][:, None] == y[t][None, :])).any()), most)
-    return int(min(most, np.sort(first)[min(trials - 1, int(np.ceil(recall * trials)) - 1)] + 1))
+    found = np.cumsum(np.bincount(first, minlength=most + 1)[:most]) / trials
+    return int(np.argmax(found >= min(recall, found[-1] - 0.02))) + 1
 
 
 def edit_distance_within(item: str, region: str) -> int:
@@ -148,20 +160,20 @@ def grams(codes: np.ndarray) -> np.ndarray:
 class Items:
     """Benchmark items ready for lookup: keys of all their windows, their texts and pieces."""
 
-    def __init__(self, ids: list[int], texts: list[str], tables: int):
+    def __init__(self, ids: list[int], texts: list[str], edits: float):
         codes, first = normalised(pc.utf8_lower(pa.array(texts, pa.string()).fill_null("")).to_pylist())
         kind, starts = kinds(codes), window_starts(codes)
-        self.ids, self.tables = ids, tables
+        self.ids = ids
         self.texts = [_text(codes[a : b - 1]) for a, b in zip(first[:-1], first[1:], strict=True)]
         whole = grams(codes)
         self.pieces = [whole[a : a + len(t) - PIECE + 1 : PIECE] for a, t in zip(first[:-1].tolist(), self.texts, strict=True)]
         owner = np.searchsorted(first, starts, side="right") - 1
         steps = np.array([steps_for(len(t)) for t in self.texts], np.int64)[owner]
-        self.steps = sorted(set(steps.tolist()))
+        self.tables = {n: tables_for(n, edits) for n in sorted(set(steps.tolist()))}
         self.found = {}
-        for n in self.steps:
+        for n, tables in self.tables.items():
             own = np.flatnonzero(steps == n)
-            keys, end = table_keys(kind, starts[own], n, tables)
+            keys, end = table_keys(kind, starts[own], {n: tables})[n]
             whole = (end < first[owner[own] + 1] - 1) | (starts[own] == first[owner[own]])  # the walk stays in the item
             own, keys = own[whole], np.concatenate([x[whole] for x in keys])
             order = np.argsort(keys, kind="stable")
@@ -182,8 +194,9 @@ class Items:
         """Rows of text, item, and where the item would begin if nothing before the window that led there were edited, in steps of NEAR characters."""
         kind, starts = kinds(codes), window_starts(codes)
         pairs = [np.zeros((0, 3), np.int64)]
+        walks = table_keys(kind, starts, self.tables)
         for n, (sorted_keys, owner, offset, gate) in self.found.items():
-            for keys in table_keys(kind, starts, n, self.tables)[0]:
+            for keys in walks[n][0]:
                 hit = np.flatnonzero(gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 low, high = (np.searchsorted(sorted_keys, keys[hit], side=s) for s in ("left", "right"))
                 size = high - low
@@ -205,10 +218,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     of some passage of the document, in character edits. Windows at each word of
     both sides are embedded by CGK walks over characters; where the steps that a
     table samples agree, the exact edit distance around the aligned place
-    decides, unless too few of the item's pieces are there for it to be small. There are as many tables as find RECALL of the passages of LENGTH
-    characters at the largest distance; less damaged and longer ones are found
-    more often, items under 1.5 STEPS characters less often, and items of a part
-    of a word only where a word begins with it.
+    decides, unless too few of the item's pieces are there for it to be small.
+    Shorter items have shorter walks, and for each length of walk there are as
+    many tables as find TRIED of random passages of the shortest items with it at
+    the largest distance; less damaged and longer ones are found more often, items
+    of under 20 characters less often, and items of a part of a word only where a
+    word begins with it.
 
     Items with null or no text match nothing; null ids of either side stay
     null; repeated rows give one pair; other columns are ignored. Only the
@@ -229,13 +244,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def _scan(rows: DataFrame, ids: list[int], texts: list[str], edits: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(Items(ids, texts, tables_for(edits)))
+    shared = rows.sparkSession.sparkContext.broadcast(Items(ids, texts, edits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for s in slices(batches):
             codes, first = normalised(pc.utf8_lower(s.column("text").fill_null("")).to_pylist())
-            if not items.steps or not len(codes):
+            if not items.tables or not len(codes):
                 continue
             best: dict[tuple[int, int], int] = {}
             text = grams(codes)

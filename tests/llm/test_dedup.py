@@ -243,6 +243,25 @@ def test_decontamination_reaches_its_recall_at_every_damage(spark):
         assert len(at) >= 30 and len(found & at) >= decontaminate.RECALL * len(at), levels[n]
 
 
+def test_decontamination_reaches_its_recall_at_every_length(spark):
+    """Items of one length and passages at the accepted distance: all pairs by brute force, and the share of those that are found."""
+    rng = random.Random(5)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r")]
+    text = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    norm = lambda t: " ".join(ALNUM.findall(t.lower()))
+    lengths = (20, 40, 48, 60, 71, 72, 80, 100, 119, 120, 200)
+    items = [(1000 * n + k, text(80)[:length].strip()) for n, length in enumerate(lengths) for k in range(110)]
+    docs = [(i, text(20) + " " + edited(rng, item, 0.2) + " " + text(20)) for i, item in items]
+    near = {i for (i, item), (_, t) in zip(items, docs, strict=True) if decontaminate.edit_distance_within(norm(item), norm(t)) <= int(decontaminate.EDITS * len(norm(item)))}
+    found = set()
+    for n in range(len(lengths)):
+        own = lambda rows, n=n: [r for r in rows if r[0] // 1000 == n]
+        got = decontaminate.leaks(spark.createDataFrame(own(docs), "doc_id long, text string"), spark.createDataFrame(own(items), "item_id long, text string"))
+        found |= {r["doc_id"] for r in got.collect() if r["doc_id"] == r["item_id"]}
+    shares = {length: len([i for i in found & near if i // 1000 == n]) / len([i for i in near if i // 1000 == n]) for n, length in enumerate(lengths)}
+    assert min(shares.values()) >= decontaminate.RECALL, shares
+
+
 def test_decontamination_of_empty_tables_and_odd_texts(spark):
     docs, items = "doc_id long, text string", "item_id long, text string"
     none = spark.createDataFrame([], items)
