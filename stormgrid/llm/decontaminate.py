@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, NULL_ID, bloom, maybe_in, mixed, slices, written
+from .common import ALNUM_SEP, NULL_ID, bloom, maybe_in, slices, written
 
 #: Largest edit distance as a share of the item's length, the share of such passages to find, and the share of random words that tables are reckoned for: texts have fewer and longer words.
 EDITS, RECALL, TRIED = 0.2, 0.9, 0.93
@@ -23,6 +23,8 @@ LONG_WORD = 12
 NEAR = 16
 #: Characters of the pieces that an item is cut into: of more pieces than edits, the rest is untouched.
 PIECE = 4
+#: Windows whose walks are taken together, so that all tables' keys stay in a processor's cache.
+TOGETHER = 1 << 14
 #: Bytes of benchmark text that one scan takes; a larger benchmark is taken in several scans.
 SCAN_BYTES = 8 << 20
 
@@ -30,7 +32,7 @@ _random = np.random.default_rng(17)
 #: For each step and kind of character: does the walk move on (kind 0, the end of a text, holds it), and the character's hash there.
 _MOVES = (_random.random((STEPS, 256)) < 0.5).astype(np.int32)
 _MOVES[:, 0] = 0
-_VALUES = _random.integers(0, 1 << 63, (STEPS, 256), dtype=np.uint64)
+_VALUES = _random.integers(0, 1 << 32, (STEPS, 256), dtype=np.uint32)
 
 
 def steps_for(size: int) -> int:
@@ -81,7 +83,7 @@ def window_starts(codes: np.ndarray) -> np.ndarray:
 
 
 def table_keys(kind: np.ndarray, starts: np.ndarray, tables: dict[int, int]) -> dict[int, tuple[list[np.ndarray], np.ndarray]]:
-    """CGK's random walk over characters from each start: for each number of steps and its number of tables, a hash for each table of the steps that it samples; and where the walks end.
+    """CGK's random walk over characters from each start: for each number of steps and its number of tables, a hash for each table of the steps that it samples (of 32 bits: some candidates more, which the exact distance refuses); and where the walks end.
 
     At each step a random bit of the character there says whether the walk moves
     on. An edit in a window disturbs a few steps until two walks are in step
@@ -89,21 +91,27 @@ def table_keys(kind: np.ndarray, starts: np.ndarray, tables: dict[int, int]) ->
     table misses the disturbed steps with a chance that does so as well. Shorter
     walks are the beginnings of longer ones.
     """
-    at = starts.copy()
-    keys = {n: [np.full(len(starts), t, np.uint64) for t in range(m)] for n, m in tables.items()}
+    keys = {n: np.empty((m, len(starts)), np.uint32) for n, m in tables.items()}
+    ends = {n: np.empty(len(starts), starts.dtype) for n in tables}
     users = {n: sampled(n, m) for n, m in tables.items()}
-    out = {}
-    for j in range(max(tables, default=0)):
-        now = kind[at]
-        value = _VALUES[j][now]
-        for n, some in users.items():
-            if j < n:
-                for t in some[j]:
-                    keys[n][t] += value
-        at += _MOVES[j][now]
-        if j + 1 in tables:
-            out[j + 1] = [mixed(x) for x in keys[j + 1]], at.copy()
-    return out
+    for low in range(0, len(starts), TOGETHER):
+        at = starts[low : low + TOGETHER].copy()
+        part = slice(low, low + len(at))
+        sums = {n: [np.full(len(at), t, np.uint32) for t in range(m)] for n, m in tables.items()}
+        for j in range(max(tables, default=0)):
+            now = kind[at]
+            value = _VALUES[j][now]
+            for n, some in users.items():
+                if j < n:
+                    for t in some[j]:
+                        sums[n][t] += value
+            at += _MOVES[j][now]
+            if j + 1 in tables:
+                ends[j + 1][part] = at
+        for n, some in sums.items():
+            for t, x in enumerate(some):
+                keys[n][t, part] = x
+    return {n: (list(keys[n]), ends[n]) for n in tables}
 
 
 @cache
@@ -179,7 +187,7 @@ class Items:
             order = np.argsort(keys, kind="stable")
             which = np.tile(own, tables)[order]
             gate = np.zeros(1 << 20, bool)
-            gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            gate[keys & np.uint32((1 << 20) - 1)] = True
             self.found[n] = keys[order], owner[which].astype(np.int64), (starts[which] - first[owner[which]]).astype(np.int64), gate
 
     def possible(self, k: int, at: int, most: int, text: np.ndarray) -> bool:
@@ -197,7 +205,7 @@ class Items:
         walks = table_keys(kind, starts, self.tables)
         for n, (sorted_keys, owner, offset, gate) in self.found.items():
             for keys in walks[n][0]:
-                hit = np.flatnonzero(gate[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                hit = np.flatnonzero(gate[keys & np.uint32((1 << 20) - 1)])
                 low, high = (np.searchsorted(sorted_keys, keys[hit], side=s) for s in ("left", "right"))
                 size = high - low
                 at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
