@@ -25,6 +25,8 @@ NEAR = 16
 PIECE = 4
 #: Windows whose walks are taken together, so that all tables' keys stay in a processor's cache.
 TOGETHER = 1 << 14
+#: Bits of a key that tell whether a table can have it.
+GATE = 18
 #: Bytes of benchmark text that one scan takes; a larger benchmark is taken in several scans.
 SCAN_BYTES = 8 << 20
 
@@ -183,12 +185,13 @@ class Items:
             own = np.flatnonzero(steps == n)
             keys, end = table_keys(kind, starts[own], {n: tables})[n]
             whole = (end < first[owner[own] + 1] - 1) | (starts[own] == first[owner[own]])  # the walk stays in the item
-            own, keys = own[whole], np.concatenate([x[whole] for x in keys])
-            order = np.argsort(keys, kind="stable")
-            which = np.tile(own, tables)[order]
-            gate = np.zeros(1 << 20, bool)
-            gate[keys & np.uint32((1 << 20) - 1)] = True
-            self.found[n] = keys[order], owner[which].astype(np.int64), (starts[which] - first[owner[which]]).astype(np.int64), gate
+            own = own[whole]
+            self.found[n] = []
+            for x in keys:
+                order = np.argsort(x[whole], kind="stable")
+                gate = np.zeros(1 << GATE, bool)
+                gate[x[whole] & np.uint32((1 << GATE) - 1)] = True
+                self.found[n].append((x[whole][order], owner[own[order]].astype(np.int64), (starts[own[order]] - first[owner[own[order]]]).astype(np.int64), gate))
 
     def possible(self, k: int, at: int, most: int, text: np.ndarray) -> bool:
         """Whether enough of the item's pieces are near their places, if it begins about `at`, for at most `most` edits: each spoils one piece. text: grams of the slice."""
@@ -203,9 +206,9 @@ class Items:
         kind, starts = kinds(codes), window_starts(codes)
         pairs = [np.zeros((0, 3), np.int64)]
         walks = table_keys(kind, starts, self.tables)
-        for n, (sorted_keys, owner, offset, gate) in self.found.items():
-            for keys in walks[n][0]:
-                hit = np.flatnonzero(gate[keys & np.uint32((1 << 20) - 1)])
+        for n, tables in self.found.items():
+            for keys, (sorted_keys, owner, offset, gate) in zip(walks[n][0], tables, strict=True):
+                hit = np.flatnonzero(gate[keys & np.uint32((1 << GATE) - 1)])
                 low, high = (np.searchsorted(sorted_keys, keys[hit], side=s) for s in ("left", "right"))
                 size = high - low
                 at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
