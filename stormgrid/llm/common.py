@@ -25,6 +25,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, NULL_ID, bloom, maybe_in, slices, written
+from .common import ALNUM_SEP, NULL_ID, bloom, free_name, maybe_in, slices, written
 
 #: Largest edit distance as a share of the item's length, the share of such passages to find, and the share of random words that tables are reckoned for: texts have fewer and longer words.
 EDITS, RECALL, TRIED = 0.2, 0.9, 0.93
@@ -285,7 +285,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     asked = bloom(found, "doc_id")
     held = maybe_in(named, "doc_id", asked).join(found, "doc_id", "left_anti").select(*docs.columns)
     nameless = docs.where("doc_id is null")
-    digest = F.xxhash64("text")
-    bad = leaks(nameless.select(digest.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("text_digest")).distinct()
-    clean = nameless.withColumn("text_digest", digest).join(bad, "text_digest", "left_anti").select(*docs.columns)
+    digest, name = F.xxhash64("text"), free_name(docs, "text_digest")
+    bad = leaks(nameless.select(digest.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    clean = nameless.withColumn(name, digest).join(bad, name, "left_anti").select(*docs.columns)
     return maybe_in(named, "doc_id", asked, negate=True).unionByName(held).unionByName(clean)

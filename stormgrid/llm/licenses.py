@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,7 +217,8 @@ def _rules() -> list[dict]:
 #: Every rule, in order.
 RULES = _rules()
 #: Type of a text's detections; sorted, the one that decides comes first.
-FOUND = "array<struct<neg_priority:int,neg_words:int,rule:int,start:int,end:int,label:string,weight:double>>"
+ONE = "struct<neg_priority:int,neg_words:int,rule:int,start:int,end:int,label:string,weight:double>"
+FOUND = f"array<{ONE}>"
 
 
 def _text(text: str) -> Column:
@@ -230,6 +232,26 @@ def _words_in(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(" ")))).cast("long")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(n: Column, item: Callable[[Column], Column], state: Column, step: Callable[[Column, Column], tuple[Column, Column]], element: str, block: int = 128) -> Column:
+    """What `step(state, item(k))`, which is (next state, element), gives for k = 1 to n: (state, out), the elements in blocks. No array grows by one element for every item."""
+
+    def one(acc: Column, k: Column) -> Column:
+        after, made = step(acc["state"], item(k))
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    def some(acc: Column, low: Column) -> Column:
+        own = F.aggregate(F.sequence(low, F.least(low + (block - 1), n)), F.struct(acc["state"].alias("state"), F.array().cast(f"array<{element}>").alias("out")), one)
+        return _bound(own, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    none = F.struct(state.alias("state"), F.array().cast(f"array<array<{element}>>").alias("out"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(block)), none, some)).otherwise(none)
+
+
 def _detections() -> Column:
     """All rules' matches in `norm`, for rules whose gate word is there: array of (neg_priority, neg_words, rule, start, end, label, weight), places in words.
 
@@ -244,25 +266,44 @@ def _detections() -> Column:
     gates = F.array_intersect("words", F.array(*map(F.lit, sorted(by_gate))))
     chosen = F.filter(F.flatten(F.transform(gates, lambda g: F.element_at(table, g))), lambda r: F.rlike(F.col("norm"), r["re"]))
 
+    spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" ")))
+
     def places(r: Column) -> Column:
-        hits = F.regexp_extract_all(F.col("norm"), r["re"], F.lit(0))
-        pieces = F.split(F.col("norm"), r["re"], -1)
-        spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" ")))
-        # spaces before a match are the words before it, plus the one at the text's start
-        def step(acc: Column, k: Column) -> Column:
-            start = acc["at"] + spaces(F.element_at(pieces, k))
-            n = spaces(F.element_at(hits, k)) + 1
-            found = F.struct((-r["priority"]).alias("neg_priority"), (-n).cast("int").alias("neg_words"), r["rule"].alias("rule"), (start - 1).cast("int").alias("start"), (start - 1 + n).cast("int").alias("end"), r["label"].alias("label"), r["weight"].alias("weight"))
-            return F.struct((start + n - 1).cast("int").alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
-
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
-        return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(1), F.size(hits)), none, step, lambda a: a["found"])).otherwise(none["found"])
+        """One rule's matches. The text is scanned twice for each rule, whatever the number of matches: `once` holds both results."""
+        once = F.struct(F.regexp_extract_all(F.col("norm"), r["re"], F.lit(0)).alias("hits"), F.split(F.col("norm"), r["re"], -1).alias("pieces"))
+
+        def of(both: Column) -> Column:
+            # spaces before a match are the words before it, plus the one at the text's start
+            def step(at: Column, k: Column) -> tuple[Column, Column]:
+                start = at + spaces(F.element_at(both["pieces"], k))
+                n = spaces(F.element_at(both["hits"], k)) + 1
+                found = F.struct((-r["priority"]).alias("neg_priority"), (-n).cast("int").alias("neg_words"), r["rule"].alias("rule"), (start - 1).cast("int").alias("start"), (start - 1 + n).cast("int").alias("end"), r["label"].alias("label"), r["weight"].alias("weight"))
+                return (start + n - 1).cast("int"), found
+
+            return F.flatten(_folded(F.size(both["hits"]), lambda k: k, F.lit(0), step, ONE)["out"])
+
+        return _bound(once, of)
 
     return F.flatten(F.transform(chosen, places))
 
 
 def _kept() -> Column:
-    """Detections that stand: of the highest priority first, then the longest, then by the order of the rules, each one is dropped if it lies within or overlaps one that stands."""
+    """Detections that stand, as (labels, best, n): of the highest priority first, then the longest, then by the order of the rules, each one is dropped if it lies within or overlaps one that stands.
+
+    Only detections that a chain of overlaps joins can drop one another, so a text's
+    detections are cut into such runs by their places, and each run is settled alone.
+    """
+    cut = F.struct(F.lit(-1).alias("upto"), F.array().cast(FOUND).alias("run"))
+
+    def join(acc: Column, d: Column) -> tuple[Column, Column]:
+        """The open run with one more, or a new one and the run that was closed."""
+        on = (d["start"] < acc["upto"]) | (F.size(acc["run"]) == 0)
+        longer = F.struct(F.greatest(acc["upto"], d["end"]).alias("upto"), F.concat(acc["run"], F.array(d)).alias("run"))
+        return F.when(on, longer).otherwise(F.struct(d["end"].alias("upto"), F.array(d).alias("run"))), F.when(~on, acc["run"])
+
+    placed = F.array_sort(F.transform("found", lambda d: F.struct(d["start"].alias("start"), d.alias("d"))))
+    closed = lambda x: F.concat(F.filter(F.flatten(x["out"]), lambda run: run.isNotNull()), F.array(x["state"]["run"]))
+    runs = _bound(placed, lambda all_: _bound(_folded(F.size(all_), lambda k: F.element_at(all_, k)["d"], cut, join, FOUND), closed))
     start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
 
     def step(acc: Column, d: Column) -> Column:
@@ -270,7 +311,9 @@ def _kept() -> Column:
         with_it = F.struct(F.concat(acc["spans"], F.array(F.struct(d["start"].alias("start"), d["end"].alias("end")))).alias("spans"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["best"], d["weight"]).alias("best"), (acc["n"] + 1).alias("n"))
         return F.when(taken, acc).otherwise(with_it)
 
-    return F.aggregate(F.array_sort("found"), start, step)
+    stand = F.transform(runs, lambda run: F.aggregate(F.array_sort(run), start, step, lambda a: F.struct(a["labels"].alias("labels"), a["best"].alias("best"), a["n"].alias("n"))))
+    total = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+    return F.aggregate(stand, total, lambda acc, x: F.struct(F.array_union(acc["labels"], x["labels"]).alias("labels"), F.greatest(acc["best"], x["best"]).alias("best"), (acc["n"] + x["n"]).alias("n")))
 
 
 def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

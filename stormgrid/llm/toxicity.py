@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, NULL_ID, slices, window_hashes, word_hashes
+from .common import ALNUM_SEP, NULL_ID, free_name, slices, window_hashes, word_hashes
 
 #: Most labelled rows that the model is fitted on, chosen by hash; scoring covers every row.
 FIT_ROWS = 40_000
@@ -252,17 +252,18 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     """Rows whose text scores below the threshold, with their columns. Scored where they stand, without a shuffle."""
     model = fit(docs, labels)
     b0, b1, b2 = model["beta"]
-    z = F.lit(b0) + F.lit(b1) * F.col("_best") + F.lit(b2) * F.col("_several")
+    best, several = free_name(docs, "best"), free_name(docs, "several")
+    z = F.lit(b0) + F.lit(b1) * F.col(best) + F.lit(b2) * F.col(several)
     lexicon, names = json.dumps(model["lexicon"]), docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(json.loads(lexicon))
         for s in slices(iter(batches)):
             got = np.array([matcher.features(t or "") for t in s.column("text").to_pylist()]).reshape(-1, 2)
-            yield pa.record_batch([*s.columns, pa.array(got[:, 0]), pa.array(got[:, 1])], [*names, "_best", "_several"])
+            yield pa.record_batch([*s.columns, pa.array(got[:, 0]), pa.array(got[:, 1])], [*names, best, several])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, _best double, _several double").where(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) < threshold).select(*names)
+    return docs.mapInArrow(run, f"{fields}, {best} double, {several} double").where(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) < threshold).select(*names)
 
 
 __all__ = ["fit", "score", "toxicity", "drop_toxic", "learns", "bounded_sample", "Matcher", "compose", "GRAMMAR", "FIT_ROWS", "NULL_ID"]

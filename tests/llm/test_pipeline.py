@@ -129,3 +129,16 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_bear_columns_with_their_own_names(spark, folder):
+    from pyspark.sql import functions as F
+
+    own = {c: F.lit(7) for c in ("best", "several", "_best", "stage_lines", "stage_dropped", "TEXT_DIGEST", "parts", "kept", "row", "item", "class_id", "n_copies")}
+    docs = common.documents(spark, folder).withColumns(own)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        plain = stage(spark, common.documents(spark, folder), folder)
+        assert got.where(" or ".join(f"`{c}` is distinct from 7" for c in own)).isEmpty(), name
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect())), name

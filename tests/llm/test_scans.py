@@ -129,6 +129,16 @@ def test_no_rule_nests_calls_in_long_repeats(spark):
     assert got[12] == (200_002, "copyright", 1) and got[13][2] == 0 and got[14][2] <= 1
 
 
+def test_thousands_of_detections_in_one_text(spark):
+    rng = random.Random(9)
+    phrases = [*LICENSED[:4], *LICENSED[8:11], "version", "2.0", "public", "x", "gnu general public license version 2 or later", "apache license version 2.0"]
+    texts = [" ".join(rng.choice(phrases) for _ in range(n)) for n in (126, 127, 128, 129, 255, 257, 400)] + ["mit license and apache license version 2.0 of y " * 5000, "apache license " * 129]
+    got = {r["doc_id"]: r for r in licenses.license_scan(table(spark, list(enumerate(texts)))).collect()}
+    assert {k: got[k]["labels"] for k in range(7)} == {k: brute_labels(texts[k]) for k in range(7)}
+    assert got[7]["n_detections"] == 10_000 and got[7]["labels"] == "apache,apache-2,mit"
+    assert got[8]["n_detections"] == 129 and got[8]["labels"] == brute_labels(texts[8])
+
+
 def test_license_priority_decides_overlaps(spark):
     texts = {1: "without warranty of any kind express or implied warranties of merchantability", 2: "under the FreeBSD license", 3: "free for noncommercial use only", 4: "in the GNU General Public License version 2 only", 5: "released under the GNU General Public License version 2.0"}
     got = {r["doc_id"]: (r["labels"], r["n_detections"]) for r in licenses.license_scan(table(spark, list(texts.items()))).collect()}
