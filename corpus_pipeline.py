@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.llm.common import documents, written
+from stormgrid.llm.common import documents, free_name, written
 from stormgrid.llm.decontaminate import drop_leaks
 from stormgrid.llm.line_dedup import drop_boilerplate
 from stormgrid.llm.near_join import one_per_class
@@ -21,8 +21,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Boilerplate lines of each source go, and n_chars follows the text. A document of boilerplate alone stays whole: the next stage keeps one of each group of copies."""
     from pyspark.sql import functions as F
 
-    kept = drop_boilerplate(docs, spare_copies=True, counts=("stage_lines", "stage_dropped"))
-    return kept.withColumn("n_chars", F.when(F.col("stage_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped = free_name(docs, "stage_lines"), free_name(docs, "stage_dropped")
+    kept = drop_boilerplate(docs, spare_copies=True, counts=(lines, dropped))
+    return kept.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
