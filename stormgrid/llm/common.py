@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -144,8 +145,21 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed((total[n:] - total[:-n]) * back[: len(h) - n + 1])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Spark keeps workers for later tasks, and what one keeps adds to what the others of its executor need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most that many bytes of text, or single rows."""
+    """Runs of rows with at most that many bytes of text, or single rows. Memory goes back after the last one."""
+    yield from _slices(batches, text, most)
+    give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -205,6 +219,7 @@ def maybe_in(df: DataFrame, key: str, filter_, negate: bool = False) -> DataFram
         for b in batches:
             hit = bloom_has(filter_.value, b.column(at).fill_null(NULL_ID).to_numpy())
             yield b.filter(pa.array(~hit if negate else hit))
+        give_back()
 
     df_names = df.columns
     return df.mapInArrow(keep, df.schema)
