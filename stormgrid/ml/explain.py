@@ -95,22 +95,33 @@ def shares(ensemble: Sequence[Tree], x: np.ndarray) -> np.ndarray:
     """
     out = np.zeros(x.shape)
     for tree in ensemble:
-        left = tree.goes_left(x)
+        if not len(tree.feature):
+            continue
+        left, row = _patterns(tree.goes_left(x))
+        made = np.zeros((len(left), x.shape[1]))
         for value, steps, features, share in tree.leaves:
             m = len(features)
-            if not m:
-                continue
-            takes = np.ones((len(x), m))
+            takes = np.ones((len(left), m))
             for node, went_left in steps:
                 takes[:, features.index(tree.feature[node])] *= left[:, node] == went_left
             at, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
             t, weight = (at + 1) / 2, weight / 2
             factor = takes[:, :, None] * t + (1 - t) * share[None, :, None]
             others = factor.prod(1)[:, None] / factor
-            out[:, features] += value * (takes - share) * (others @ weight)
+            made[:, features] += value * (takes - share) * (others @ weight)
+        out += made[row]
     return out
 
 
+def _patterns(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a boolean matrix, and the number that each row has among them: a tree tells rows apart by its nodes' answers only."""
+    row = np.zeros(len(left), np.int64)
+    for k in range(0, left.shape[1], 32):  # each answer so far has a number below the rows' count, and 32 more bits fit beside it
+        bits = left[:, k : k + 32] @ (1 << np.arange(min(32, left.shape[1] - k), dtype=np.int64))
+        _, first, row = np.unique((row << 32) | bits, return_index=True, return_inverse=True)
+    return left[first], row
+
+
 def with_shares(model, df: DataFrame, features: str, out: str = "shap") -> DataFrame:
     """df without its vector columns, with `out` (a Shapley value per feature) and `<out>_base`; on each row they add up to the model's prediction.
 

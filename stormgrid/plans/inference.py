@@ -289,7 +289,7 @@ def shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute shares of a forest's predictions by class and feature, and of grouped features."""
     rows, ready = _sample(spark, sf_dir), models.regressor("forest", _Q, "l_extendedprice", numTrees=5, maxDepth=4)
     fit = ready.fit(rows)
-    known = explain.share_columns(explain.with_shares(fit.stages[-1], fit.transform(rows), "_features"), _Q)
+    known = explain.share_columns(explain.with_shares(fit.stages[-1], fit.transform(rows).select("l_returnflag", "_features"), "_features"), _Q)
     both = explain.share_columns(known, _Q, {"price": ["l_discount", "l_tax"]})
     return tidy(explain.share_summary(both, [*_Q, "price"], ["l_returnflag"]))
 

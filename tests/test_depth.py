@@ -65,6 +65,21 @@ def test_shares_equal_shapley_values_and_add_up(spark, monkeypatch, kind):
     assert explain.with_shares(model, made.limit(0), "v").count() == 0
 
 
+def test_shares_are_worked_out_once_for_rows_with_the_same_answers(monkeypatch):
+    rng = np.random.default_rng(3)
+    feature = rng.integers(0, 2, 40)  # a chain of 40 nodes, whose answers take more than one word of bits
+    leaves = [(float(k), [(j, True) for j in range(k)] + [(k, False)], sorted({int(f) for f in feature[: k + 1]}), np.array([0.5] * len({int(f) for f in feature[: k + 1]}))) for k in range(40)]
+    tree = explain.Tree(feature, rng.integers(0, 9, 40) + 0.5, [None] * 40, leaves)
+    x = rng.integers(0, 10, (5000, 2)).astype(float)
+    each = np.array([explain.shares([tree], r[None])[0] for r in x[:200]])
+    seen = []
+    patterns = explain._patterns
+    monkeypatch.setattr(explain, "_patterns", lambda left: seen.append(patterns(left)) or seen[-1])
+    assert explain.shares([tree], x)[:200] == pytest.approx(each) and explain.shares([tree], x[:0]).shape == (0, 2)
+    left, row = seen[0]
+    assert len(left) <= 100 and (left[row] == tree.goes_left(x)).all() and len({r.tobytes() for r in left}) == len(left)
+
+
 def test_importance_over_repeats(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(rng.random(), rng.random(), rng.random()) for _ in range(400)], "a double, b double, c double").withColumn("t", 3 * F.col("a") + F.col("b"))
