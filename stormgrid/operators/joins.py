@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -191,15 +192,31 @@ def remaining(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return todo.join(done, list(keys), "left_anti")
 
 
-def nearest_within_blocks(late: DataFrame, early: DataFrame, block: Sequence[str], features: Sequence[str], key: str, caliper: float = 1.0) -> DataFrame:
+def nearest_within_blocks(late: DataFrame, early: DataFrame, block: Sequence[str], features: Sequence[str], key: str, caliper: float = 1.0, most: int = 4) -> DataFrame:
     """For each late row the nearest early row of its block by Euclidean distance, with replacement; none beyond the caliper.
 
-    Early rows are dealt to cells of the first feature as wide as the caliper, so only rows within reach meet.
+    Equal rows are taken together. Early rows are dealt to cells of all features, and
+    a late row meets those of its cell and the cells around it: whoever it finds
+    within a cell's width is the nearest. Cells begin as narrow as `most` early rows
+    in the usual one ask for, and those who found nobody go on to cells twice as
+    wide, up to the caliper. So a denser table makes cells narrower, not fuller.
     """
-    f = features[0]
-    a = late.withColumn("_c", F.explode(F.array(*[F.floor(F.col(f) / caliper) + k for k in (-1, 0, 1)])))
-    b = early.select(*block, F.floor(F.col(f) / caliper).alias("_c"), F.col(key).alias("match"), *[F.col(x).alias(f"_{x}") for x in features])
+    points = settled(early.groupBy(*block, *features).agg(F.min(key).alias("match")).select(*block, *[F.col(f).alias(f"_{f}") for f in features], "match"))
+    todo, found = settled(late.select(*block, *features).distinct()), None
+    cell = lambda f, width: F.floor(F.col(f) / (width * (1 + 1e-9)))  # noqa: E731 (a little wider, as quotients are rounded)
+    cells = [f"_c{k}" for k in range(len(features))]
+    placed = lambda width: points.withColumns({c: cell(f"_{f}", width) for c, f in zip(cells, features, strict=True)})
+    full = placed(caliper).groupBy(*block, *cells).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n").cast("double")) / F.sum("n")).first()[0] or 1.0
     d = F.sqrt(sum(((F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in features), F.lit(0.0)))
-    hit = a.join(b, [*block, "_c"]).withColumn("distance", d).where(F.col("distance") <= caliper)
-    best = hit.groupBy(*block, key).agg(F.min(F.struct("distance", "match")).alias("m"))
+    for halved in range(max(0, round(math.log2(full / most) / len(features))), -1, -1):
+        width = caliper / 2**halved
+        asking = todo
+        for c, f in zip(cells, features, strict=True):
+            asking = asking.withColumn(c, F.explode(F.array(*[cell(f, width) + k for k in (-1, 0, 1)])))
+        hit = asking.join(placed(width), [*block, *cells]).withColumn("distance", d).where(F.col("distance") <= width)
+        got = settled(hit.groupBy(*block, *features).agg(F.min(F.struct("distance", "match")).alias("m")))
+        found = got if found is None else found.unionByName(got)
+        if halved:
+            todo = settled(todo.join(got, [*block, *features], "left_anti"))
+    best = late.select(*block, *features, key).join(found, [*block, *features]).groupBy(*block, key).agg(F.min("m").alias("m"))
     return best.select(*block, key, "m.match", "m.distance")

@@ -162,6 +162,25 @@ def test_greedy_matching_of_many_equal_rows_takes_few_rounds(spark, monkeypatch)
     assert sorted((r["late"], r["early"]) for r in got.collect()) == [(k + 1, k) for k in range(0, 400, 2)] and len(written) < 10
 
 
+def test_nearest_in_narrowing_cells_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    row = lambda k: (k, rng.choice("ab"), rng.randrange(64) / 16 if k % 2 else rng.random() * 4, rng.randrange(64) / 16 if k % 3 else rng.random() * 40)
+    late, early = [row(k) for k in range(200)], [row(k) for k in range(1000, 1900)]
+    late, early = late + [(k + 500, *r) for k, *r in late[:20]], early + [(k - 600, *r) for k, *r in early[:300]]
+    want = {}
+    for k, b, x, y in late:
+        near = sorted((((x - p) * (x - p) + (y - q) * (y - q)) ** 0.5, e) for e, c, p, q in early if b == c)
+        if near[0][0] <= 1.0:
+            want[k] = near[0][::-1]
+    as_table = lambda r: spark.createDataFrame(r, "id int, block string, x double, y double")
+    met = []
+    floor = F.floor
+    monkeypatch.setattr(F, "floor", lambda c: met.append(1) or floor(c))
+    got = joins.nearest_within_blocks(as_table(late + [(-1, "a", None, 1.0)]), as_table(early + [(-2, "b", 1.0, None)]), ["block"], ["x", "y"], "id", 1.0)
+    assert {r["id"]: (r["match"], r["distance"]) for r in got.collect()} == want and len(want) > 150
+    assert len(met) > 10  # more than one width of cells
+
+
 def test_columns_grouped_by_correlation(spark):
     matrix = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", -0.85), ("a", "d", 0.0), ("b", "d", 0.0), ("c", "d", None)], "a string, b string, rho double")
     assert inference.correlated_groups(matrix, 0.8) == [["a", "b", "c"], ["d"]]
