@@ -334,11 +334,11 @@ def _folder(spark: SparkSession) -> str:
 
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS start, 'status' || o_orderstatus AS catchment, '01' AS ens, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey % 7, o_orderkey) AS event_num FROM orders""")
 def event_files_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event files, one per status, whose rows are in an order of their own, written and read again: numbers follow the files."""
+    """Event files, one per status and in parts, whose rows are in an order of their own, written and read again: numbers follow the files."""
     folder = _folder(spark)
     rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("status"), F.col("o_orderstatus"), F.lit("_01")).alias("file"), (F.col("o_custkey") % 7).alias("_k"), F.col("o_orderkey").cast("int").alias("start_indices"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in scans.EVENT_SCHEMA.split(", ")[1:])])
-    rows.repartition("file").sortWithinPartitions("file", "_k", "start_indices").drop("_k").write.option("header", True).partitionBy("file").csv(folder)
-    got = scans.event_files(spark, folder, r"file=([^/]+)_(\d{2})/[^/]*\.csv$")
+    rows.repartitionByRange("file", "_k", "start_indices").sortWithinPartitions("file", "_k", "start_indices").drop("_k").write.option("header", True).partitionBy("file").csv(folder)
+    got = scans.event_files(spark, folder, r"file=([^/]+)_(\d{2})/[^/]*\.csv$", parts=True)
     return tidy(got.select(F.col("start_indices").cast("long").alias("start"), F.col("catchment_num").alias("catchment"), "ens", "event_num"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binning import clean
+from ..operators.joins import settled
 
 #: Columns of an event file.
 EVENT_SCHEMA = "start_indices int, stop_indices int, peaks double, start_year int, start_month int, start_day int, start_hour int, event_durations int, event_num int"
@@ -19,15 +20,24 @@ def name_parts(path, pattern: str, names: Sequence[str]) -> dict:
     return {n: F.regexp_extract(path, pattern, k + 1) for k, n in enumerate(names)}
 
 
-def event_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)_(\d{2})_full_events[^/]*\.csv$") -> DataFrame:
-    """Event CSVs with the catchment and member of their file names; events are numbered 1..N by position in the file."""
+def event_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)_(\d{2})_full_events[^/]*\.csv$", parts: bool = False) -> DataFrame:
+    """Event CSVs with the catchment and member of their file names; events are numbered 1..N by position in the file.
+
+    parts: the files of a folder are the parts of one file, in the order of their
+    names. Rows are counted by piece of a file and numbered from where their piece
+    begins; no file is gathered in a task.
+    """
     from pyspark.sql import Window
 
     rows = spark.read.schema(EVENT_SCHEMA).csv(path, header=True).withColumn("_path", F.col("_metadata.file_path"))
     rows = rows.withColumns(name_parts(F.col("_path"), pattern, ("catchment_num", "ens")))
-    rows = rows.withColumns({"_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})  # lines of a block come in their order
-    at = Window.partitionBy("_path").orderBy("_block", "_line")
-    return rows.withColumn("event_num", F.row_number().over(at)).drop("_path", "_block", "_line")
+    rows = settled(rows.withColumns({"_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}))  # lines of a block come in their order
+    file = F.regexp_replace("_path", "/[^/]*$", "") if parts else F.col("_path")
+    pieces = rows.groupBy("_path", "_block").agg(F.min("_line").alias("_first"), F.count("*").alias("_n")).withColumn("_file", file)
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("_path", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = (F.col("_line") - F.col("_first") + F.col("_before") + 1).cast("int")
+    return rows.join(F.broadcast(pieces), ["_path", "_block"]).withColumn("event_num", number).drop("_path", "_block", "_line", "_first", "_before")
 
 
 def grid_cells(spark: SparkSession, path: str, ens: str | None = None, hours: tuple[int, int] | None = None, value: str = "value", nodata: float | None = None) -> DataFrame:

@@ -181,6 +181,31 @@ def test_nearest_in_narrowing_cells_equals_all_pairs(spark, monkeypatch):
     assert len(met) > 10  # more than one width of cells
 
 
+def test_event_files_in_parts_are_numbered_through(spark, tmp_path):
+    names = "start_indices,stop_indices,peaks,start_year,start_month,start_day,start_hour,event_durations,event_num"
+    for part, starts in (("part-00000", [5, 3]), ("part-00001", []), ("part-00002", [9, 1, 7])):
+        for file in ("a_01", "b_02"):
+            (tmp_path / f"file={file}").mkdir(exist_ok=True)
+            (tmp_path / f"file={file}" / f"{part}.csv").write_text("\n".join([names, *[f"{s},{s},1.5,2000,1,1,0,24,99" for s in starts]]) + "\n")
+    got = scans.event_files(spark, str(tmp_path), r"file=([^/]+)_(\d{2})/[^/]*\.csv$", parts=True)
+    assert sorted((r["catchment_num"], r["event_num"], r["start_indices"]) for r in got.collect()) == [(c, k + 1, s) for c in "ab" for k, s in enumerate([5, 3, 9, 1, 7])]
+
+
+def test_event_files_are_written_by_more_than_one_task(spark, tmp_path, monkeypatch):
+    from stormgrid.plans import fields as plan
+
+    monkeypatch.setattr(plan, "_folder", lambda spark: str(tmp_path / "out"))
+    spark.range(20_000).selectExpr("id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["start"]: r["event_num"] for r in plan.event_files_numbered(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == {k: n + 1 for n, k in enumerate(sorted(range(20_000), key=lambda k: (k % 7, k)))}
+    assert len(list((tmp_path / "out" / "file=statusO_01").glob("*.csv"))) > 1
+
+
 def test_columns_grouped_by_correlation(spark):
     matrix = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", -0.85), ("a", "d", 0.0), ("b", "d", 0.0), ("c", "d", None)], "a string, b string, rho double")
     assert inference.correlated_groups(matrix, 0.8) == [["a", "b", "c"], ["d"]]
