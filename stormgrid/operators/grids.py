@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -116,11 +116,23 @@ def coarse_mode(binned: DataFrame, klass: str) -> DataFrame:
     return n.groupBy("iy", "ix").agg(F.max(F.struct("n", (-F.col(klass)).alias("neg"))).alias("m"), F.sum("n").alias("total")).select("iy", "ix", (-F.col("m.neg")).alias("mode"), (F.col("m.n") / F.col("total")).alias("mode_share"))
 
 
-def dense(df: DataFrame, nx: int, ny: int, fill: dict[str, float] | None = None) -> DataFrame:
-    """A row for each cell of the grid; the named columns get their fill value, others NULL."""
-    spark = df.sparkSession
-    grid = spark.range(nx * ny).select((F.col("id") / nx).cast("int").alias("iy"), (F.col("id") % nx).cast("int").alias("ix"))
-    out = grid.join(df, ["iy", "ix"], "left")
+def dense(df: DataFrame, nx: int, ny: int, fill: dict[str, float] | None = None, block: int = 1 << 16) -> DataFrame:
+    """A row for each cell of the grid; the named columns get their fill value, others NULL.
+
+    Each row of df is followed by the cells up to the next one, within blocks of
+    cells that begin with a mark: rows and marks are shuffled and sorted, cells are
+    not, so the grid may be far larger than the table.
+    """
+    others = [c for c in df.columns if c not in ("iy", "ix")]
+    at = F.col("iy").cast("long") * nx + F.col("ix").cast("long")
+    inside = df.where((F.col("iy") >= 0) & (F.col("iy") < ny) & (F.col("ix") >= 0) & (F.col("ix") < nx))
+    given = inside.select(at.alias("_at"), F.lit(True).alias("_row"), *others)
+    marks = df.sparkSession.range(0, nx * ny, block).select(F.col("id").alias("_at"), F.lit(False).alias("_row"))
+    both = given.unionByName(marks, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / block))
+    next_ = F.coalesce(F.lead("_at").over(Window.partitionBy("_block").orderBy("_at", "_row")), F.least((F.col("_block") + 1) * block, F.lit(nx * ny)))
+    spans = both.withColumn("_to", next_ - 1).where(F.col("_row") | (F.col("_to") >= F.col("_at")))
+    cells = spans.select("*", F.posexplode(F.sequence("_at", F.greatest("_at", "_to"))).alias("_k", "_cell"))
+    out = cells.select(F.expr(f"_cell div {nx}").cast("int").alias("iy"), (F.col("_cell") % nx).cast("int").alias("ix"), *[F.when(F.col("_k") == 0, F.col(c)).alias(c) for c in others])
     return out.na.fill(fill) if fill else out
 
 

@@ -181,6 +181,15 @@ def test_nearest_in_narrowing_cells_equals_all_pairs(spark, monkeypatch):
     assert len(met) > 10  # more than one width of cells
 
 
+def test_dense_grid_sorts_no_cells(spark):
+    df = spark.createDataFrame([(0, 0, 1.0, "a"), (2, 3, 2.0, "b"), (2, 3, 3.0, "c"), (4, 6, None, "d"), (5, 0, 9.0, "out"), (0, -1, 9.0, "out"), (None, 1, 9.0, "out")], "iy int, ix int, v double, s string")
+    want = [(y, x, None if (y, x) == (9, 9) else 0.0, None) for y in range(5) for x in range(7) if (y, x) not in ((0, 0), (2, 3), (4, 6))] + [(0, 0, 1.0, "a"), (2, 3, 2.0, "b"), (2, 3, 3.0, "c"), (4, 6, 0.0, "d")]
+    for block in (1, 4, 35, 1 << 16):
+        assert sorted(map(tuple, grids.dense(df, 7, 5, {"v": 0}, block).collect()), key=str) == sorted(want, key=str)
+    large = grids.dense(df.drop("s"), 40_000, 40_000).where("v > 1")  # 1,600 million cells; none of them shuffled
+    assert sorted(map(tuple, large.collect())) == [(2, 3, 2.0), (2, 3, 3.0), (5, 0, 9.0)]
+
+
 def test_event_files_in_parts_are_numbered_through(spark, tmp_path):
     names = "start_indices,stop_indices,peaks,start_year,start_month,start_day,start_hour,event_durations,event_num"
     for part, starts in (("part-00000", [5, 3]), ("part-00001", []), ("part-00002", [9, 1, 7])):
