@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_weighted, running_total, settled
+from .joins import in_parts, join_weighted, running_total, settled
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -136,6 +136,35 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return out.select(*keys, (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("rho"), "n")
 
 
+def spearman_each(df: DataFrame, keys: Sequence[str], candidates: Sequence[str], y: str) -> DataFrame:
+    """`spearman` of each candidate with one y: rows keys, k (the candidate's place), rho, n, over rows where both are there.
+
+    Rows are counted by all values once and dealt out by range of y, so that y's
+    ranks for every candidate come from one sort; a candidate's own ranks are
+    joined from its margin. Rows with a NULL key go.
+    """
+    xs, each = [f"_x{k}" for k in range(len(candidates))], range(len(candidates))
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in (*keys, y))).select(*keys, F.col(y).alias("_y"), *[F.col(c).alias(x) for c, x in zip(candidates, xs, strict=True)])
+    counts = in_parts(rows.groupBy(*rows.columns).agg(F.count("*").alias("_c")), [*keys, "_y"], 8).drop("_mono")  # equal values are in one part; small parts are dealt evenly below
+    counts = counts.withColumns({f"_w{k}": F.when(F.col(x).isNotNull(), F.col("_c")).otherwise(0) for k, x in enumerate(xs)})
+    over = Window.partitionBy(*keys)
+    earlier = over.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("_pid", *keys).agg(*[F.sum(f"_w{k}").alias(f"_t{k}") for k in each])  # a row per group and part
+    parts = parts.select("_pid", *keys, *[c for k in each for c in (F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_b{k}"), F.sum(f"_t{k}").over(over).alias(f"_n{k}"))])
+    here, same = Window.partitionBy("_pid", *keys).orderBy("_y").rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("_pid", *keys, "_y")
+    spread = counts.repartition(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_pid", *keys)  # a part or two in a task
+    both = spread.select("*", *[c for k in each for c in (F.sum(f"_w{k}").over(here).alias(f"_u{k}"), F.sum(f"_w{k}").over(same).alias(f"_m{k}"))]).join(parts, ["_pid", *keys])
+    for k, x in enumerate(xs):
+        margin = counts.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum("_c").alias("_m"))
+        ranks = running_total(margin, keys, [x], "_m", "_b").select(*keys, x, (F.col("_b") + (F.col("_m") + 1) / 2).alias(f"_r{k}"))
+        both = both.join(ranks, [*keys, x], "left")
+    rx = lambda k: F.col(f"_r{k}") - (F.col(f"_n{k}") + 1) / 2
+    ry = lambda k: F.col(f"_b{k}") + F.col(f"_u{k}") - (F.col(f"_m{k}") - 1) / 2 - (F.col(f"_n{k}") + 1) / 2
+    sums = both.groupBy(*keys).agg(*[c for k in each for c in (F.max(f"_n{k}").alias(f"n{k}"), *[F.sum(F.col(f"_w{k}") * a * b).alias(f"{name}{k}") for name, a, b in (("xx", rx(k), rx(k)), ("yy", ry(k), ry(k)), ("xy", rx(k), ry(k)))])])
+    one = lambda k: F.struct(F.lit(k).alias("k"), (F.col(f"xy{k}") / F.nullif(F.sqrt(F.col(f"xx{k}") * F.col(f"yy{k}")), F.lit(0.0))).alias("rho"), F.col(f"n{k}").alias("n"))
+    return sums.select(*keys, F.explode(F.array(*[one(k) for k in each])).alias("_r")).select(*keys, "_r.*").where("n > 0")
+
+
 def correlation(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation over rows where both are there; NULL if one of them does not vary (corr raises then, under ANSI rules)."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))

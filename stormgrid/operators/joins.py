@@ -126,9 +126,9 @@ def join_weighted(left: DataFrame, right: DataFrame, keys: Sequence[str], weight
     return left.join(F.broadcast(hot), list(keys)).unionByName(left.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(other, list(keys)))
 
 
-def in_parts(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """df in range partitions of an order, sorted, with their numbers in `_pid`. Settled: bounds come from samples, and all uses have to see the same parts."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def in_parts(df: DataFrame, order: Sequence[str | Column], times: int = 1) -> DataFrame:
+    """df in range partitions of an order, `times` as many as a shuffle has, sorted, with their numbers in `_pid`. Settled: bounds come from samples, and all uses have to see the same parts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * times
     return settled(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
 
 

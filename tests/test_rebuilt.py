@@ -215,6 +215,22 @@ def test_event_files_are_written_by_more_than_one_task(spark, tmp_path, monkeypa
     assert len(list((tmp_path / "out" / "file=statusO_01").glob("*.csv"))) > 1
 
 
+def test_rank_correlations_of_several_columns_with_one(spark, monkeypatch):
+    rng = random.Random(7)
+    some = lambda v: None if rng.random() < 0.2 else v
+    made = [(rng.choice(["a", "b", None]), some(float(rng.randrange(8))), some(rng.random()), None, some(float(rng.randrange(30)))) for _ in range(400)]
+    made += [("c", 1.0, 2.0, None, 3.0), ("d", 1.0, None, None, None)]
+    df = spark.createDataFrame(made, "g string, p double, q double, none double, y double")
+    monkeypatch.setattr(aggregates, "settled", None)  # y is not ranked anew for each column
+    each = {(r["g"], r["k"]): (r["rho"], r["n"]) for r in aggregates.spearman_each(df, ["g"], ["p", "q", "none"], "y").collect()}
+    monkeypatch.undo()
+    want = {(r["g"], k): (r["rho"], r["n"]) for k, c in enumerate(("p", "q", "none")) for r in aggregates.spearman(df, ["g"], c, "y").collect()}
+    assert set(each) == set(want) == {(g, k) for g in "abc" for k in (0, 1)}
+    for at, (rho, n) in want.items():
+        assert each[at] == (rho if rho is None else pytest.approx(rho), n)
+    assert aggregates.spearman_each(df.where("g = 'a'"), [], ["p"], "y").first()["rho"] == pytest.approx(want["a", 0][0])
+
+
 def test_columns_grouped_by_correlation(spark):
     matrix = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", -0.85), ("a", "d", 0.0), ("b", "d", 0.0), ("c", "d", None)], "a string, b string, rho double")
     assert inference.correlated_groups(matrix, 0.8) == [["a", "b", "c"], ["d"]]
