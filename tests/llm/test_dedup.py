@@ -381,3 +381,19 @@ def test_wand_skips_but_loses_nothing():
         want = sorted((-round(s, 9), d) for d, s in total.items())[:8]
         got = [(-round(s, 9), d) for s, d in search.block_max_wand(lists, 8)]
         np.testing.assert_allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_rows_are_found_in_single_precision_and_scored_in_double():
+    """Scores that single precision cannot tell apart are ranked by what double precision says."""
+    rng = np.random.default_rng(8)
+    n, terms, k = 700, 40, 5
+    part = 1 + rng.random((terms, 1)) + rng.permutation(n) * 1e-7
+    term, number = np.nonzero(part)
+    index = search.Shard(np.arange(terms), term, number, np.arange(n), part[term, number], np.full(n, 9))
+    assert index.dense.dtype == np.float32
+    weight = np.full(terms, 3.0)
+    q, d, s = index.long(np.arange(terms), np.zeros(terms, np.int64), weight, np.zeros(1), k)
+    total = np.round(weight @ part, 6)
+    assert len(set(total.astype(np.float32).tolist())) < n < len(set(total.tolist())) + 1
+    assert d.tolist() == np.lexsort((np.arange(n), -total))[:k].tolist()
+    np.testing.assert_allclose(s, np.sort(total)[::-1][:k], atol=2e-6)
