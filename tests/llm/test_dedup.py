@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import types
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stormgrid.llm import common, decontaminate, line_dedup, near_join, search, substring_dedup
@@ -397,3 +399,91 @@ def test_rows_are_found_in_single_precision_and_scored_in_double():
     assert len(set(total.astype(np.float32).tolist())) < n < len(set(total.tolist())) + 1
     assert d.tolist() == np.lexsort((np.arange(n), -total))[:k].tolist()
     np.testing.assert_allclose(s, np.sort(total)[::-1][:k], atol=2e-6)
+
+
+def queries_of(texts: dict[int, list[tuple[int, int]]], n: int, kinds=None) -> tuple:
+    """Some queries as lists of (term, frequency), as the operator holds them; every term is in 7 of n rows."""
+    lists = pa.table({
+        "digest": pa.array([str(q).encode() for q in texts], pa.binary()),
+        "n": pa.array([len(t) for t in texts.values()], pa.int32()),
+        "terms": pa.array([np.array([x for x, _ in t], np.int64).tobytes() for t in texts.values()], pa.binary()),
+        "tf": pa.array([np.array([x for _, x in t], np.int32).tobytes() for t in texts.values()], pa.binary()),
+    })
+    terms = sorted({x for t in texts.values() for x, _ in t})
+    return lists, search.Queries(lists, pa.table({"term": pa.array(terms, pa.int64()), "df": pa.array([7] * len(terms), pa.int64())}), n, kinds or search.Kinds(lists))
+
+
+def test_short_queries_are_found_by_arrays_as_long_ones_are(monkeypatch):
+    """Cursors took 20 ms and more for a short query and shard, so that a twentieth of the queries took half of the time."""
+
+    def cursors(*_):
+        raise AssertionError("a walk by cursors")
+
+    monkeypatch.setattr(search, "block_max_wand", cursors)
+    rng = np.random.default_rng(21)
+    held = [np.sort(rng.choice(60, int(rng.integers(1, 25)), replace=False)).astype(np.int64) for _ in range(700)]
+    texts = {q: [(int(x), int(rng.integers(1, 4))) for x in np.sort(rng.choice(60, size, replace=False))] for q, size in enumerate([1, 1, 2, 3, 16, 17, 40])}
+    _, q = queries_of(texts, 700)
+    size, k = np.array([len(x) for x in held]), 10
+    batch = pa.record_batch([pa.array(np.arange(700) * 3), pa.array(size.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in held], pa.binary()), pa.array([np.ones(len(x), np.int32).tobytes() for x in held], pa.binary())], ["id", "size", "n", "terms", "tf"])
+    rows = types.SimpleNamespace(mapInArrow=lambda run, _: [r for b in run(iter([batch])) for r in b.to_pylist()])
+    got = search._searched(rows, types.SimpleNamespace(value=q), float(size.mean()), k)
+    idf = math.log1p((700 - 7 + 0.5) / (7 + 0.5))
+    for number, digest in enumerate(q.digest):
+        tf = dict(texts[int(digest)])
+        part = (search.K1 + 1) / (1 + search.K1 * (1 - search.B + search.B * size / size.mean()))
+        total = [round(sum(idf * tf.get(int(x), 0) for x in row) * p, 5) for row, p in zip(held, part, strict=True)]
+        want = sorted((-s, 3 * d) for d, s in enumerate(total) if s > 0)[:k]
+        mine = [(-round(r["score"], 5), r["doc"]) for r in got if r["query"] == number]
+        np.testing.assert_allclose([s for s, _ in mine], [s for s, _ in want], atol=2e-5)
+
+
+def test_a_query_that_cannot_reach_its_floor_reads_no_postings(monkeypatch):
+    rng = np.random.default_rng(22)
+    n, terms = 900, 300
+    held = rng.random((terms, n)) < 0.01
+    term, number = np.nonzero(held)
+    index = search.Shard(np.arange(terms), term, number, np.arange(n), np.ones(len(term)), held.sum(0))
+    asked, real = [], search.Shard._rare
+    monkeypatch.setattr(search.Shard, "_rare", lambda self, t, weight, *rest: asked.append(len(rest[-1])) or real(self, t, weight, *rest))
+    t, owner = np.concatenate([np.arange(terms)] * 3), np.repeat(np.arange(3), terms)
+    q, _, s = index.long(t, owner, np.ones(len(t)), np.array([0.0, terms + 1.0, 1e9]), 5)
+    assert asked == [1] and set(q.tolist()) == {0} and s.tolist() == sorted(held.sum(0).tolist())[::-1][:5]
+
+
+def test_kinds_tell_languages_apart_whatever_odd_texts_are_among_them():
+    rng = np.random.default_rng(23)
+    language = rng.choice(4, 600, p=[0.6, 0.15, 0.15, 0.1])
+    texts = {}
+    for i, x in enumerate(language.tolist()):
+        size = int(rng.integers(5, 60))
+        texts[i] = [(int(t), int(rng.integers(1, 9))) for t in np.unique(np.concatenate((x * 1000 + (rng.zipf(1.3, size) % 200), rng.integers(5000, 5100, 3))))]
+    for i in range(600, 620):
+        texts[i] = [(9000 + i, 5)] if i % 2 else [(int(t), 1) for t in rng.integers(0, 4000, 1)]
+    lists, q = queries_of(texts, 620)
+    kind = search.Kinds(lists).of(np.concatenate([[t for t, _ in x] for x in texts.values()]), np.concatenate([[f for _, f in x] for x in texts.values()]), np.array([len(x) for x in texts.values()]))[:600]
+    most = [Counter(kind[language == x].tolist()).most_common(1)[0] for x in range(4)]
+    assert len({k for k, _ in most}) == 4 and sum(c for _, c in most) > 570
+
+
+def test_rows_of_a_kind_come_in_partitions_of_about_a_shard(spark, monkeypatch, tmp_path):
+    """Each file was searched as a shard of its own, however few rows it had, and every language in it."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 40)
+    rows = spark.range(0, 400, 1, 50).selectExpr("id", "1 as size", "1 as n", "binary('') as terms", "binary('') as tf", "int(id % 2) as level", "int(id % 4 > 1) as kind")
+    rows.write.partitionBy("level", "kind").parquet(str(tmp_path / "postings"))
+    postings = spark.read.schema("id long, size int, n int, terms binary, tf binary, level int, kind int").parquet(str(tmp_path / "postings"))
+    dealt = search._dealt(postings, 1, {(a, b): (100, 100) for a in (0, 1) for b in (0, 1)})
+    parts = [r["kinds"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.collect_set("kind").alias("kinds")).collect()]
+    assert dealt.count() == 200 and 2 <= len(parts) <= 6 and all(len(k) == 1 for k in parts)
+    assert search._dealt(postings, 5, {}).count() == 0
+    monkeypatch.setattr(search, "SHARD_ROWS", 400)
+    dealt = search._dealt(postings, 0, {(a, b): (100, 100) for a in (0, 1) for b in (0, 1)})
+    assert sorted((r["kind"], r["count"]) for r in dealt.groupBy(F.spark_partition_id().alias("part"), "kind").count().collect()) == [(0, 100), (1, 100)]
+    assert len({r["part"] for r in dealt.select(F.spark_partition_id().alias("part")).distinct().collect()}) == 2
+
+
+def test_levels_grow_by_the_factor_and_end_with_all_rows():
+    for n in (0, 1, 9000, 51_282, 256_410, 10**8):
+        shares = search._levels(n)
+        assert shares[-1] == 1 and all(a < b <= a * search.LEVEL_FACTOR * (1 + 1e-9) for a, b in zip(shares[:-1], shares[1:], strict=True))
+        assert shares[0] * n <= 2 * search.FIRST_LEVEL and (len(shares) == 1 or shares[0] * n >= search.FIRST_LEVEL * (1 - 1e-9))
