@@ -414,7 +414,7 @@ def queries_of(texts: dict[int, list[tuple[int, int]]], n: int, kinds=None) -> t
 
 
 def test_short_queries_are_found_by_arrays_as_long_ones_are(monkeypatch):
-    """Cursors took 20 ms and more for a short query and shard, so that a twentieth of the queries took half of the time."""
+    """Cursors took 20 ms and more for a short query and shard, so that a twentieth of the queries took half of a shard's time."""
 
     def cursors(*_):
         raise AssertionError("a walk by cursors")
